@@ -18,12 +18,58 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.warc import captures
+
+    page = F.col("metadata.fields")["page-id"].cast("long")
+    return captures(table(spark, sf_dir, "pages"), least_bytes=0).where("response is not null").select(
+        page.alias("page_id"),
+        F.coalesce("response.payload_bytes", "original.response.payload_bytes").alias("payload_bytes"),
+        "response.payload_digest",
+        "response.record_type",
+        F.col("original.metadata.fields")["page-id"].cast("long").alias("refers_to"),
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048)
 
 
+def op3_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.mtree import build_index, top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=85, side=10)
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.surrogates import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents"), key="surrogate-key").select("doc_id", "n_entities", "text")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.decontaminate import benchmark_hits
+
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.toxicity import is_held_out, toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), threshold=0.7)
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "rejected")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.token_counts import token_counts
 
