@@ -44,6 +44,12 @@ def op3_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.minhash import near_duplicates
 
@@ -70,6 +76,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "rejected")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), width=200)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.token_counts import token_counts
 

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _kept: list[str] = []
+_in_stage: int | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,16 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, stage: bool = True) -> str:
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    _kept.append(path)
+    if stage:
+        _kept.append(path)
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and give it back as a table without its lineage."""
+def keep(df: DataFrame, name: str, stage: bool = True) -> DataFrame:
+    """Write ``df`` once and give it back as a table without its lineage. ``stage``: a helper table that ``release_stage`` may delete."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, stage)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,7 +45,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every kept table of this process. Call it only when no result that reads one is still needed."""
-    while _kept:
-        delete(spark, _kept.pop())
+def release_stage(spark: SparkSession) -> None:
+    """Begin a pipeline stage: the helper tables of the stage before, whose result is stored by now, are deleted. Tables kept outside
+    of stages stay."""
+    global _in_stage
+    if _in_stage is not None:
+        for path in _kept[_in_stage:]:
+            delete(spark, path)
+        del _kept[_in_stage:]
+    _in_stage = len(_kept)
