@@ -1,7 +1,68 @@
-"""The corpus pipeline (being built)."""
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each a thin call of an operator.
+
+Each stage takes (spark, docs, sf_dir) and returns all that it kept; ``docs`` is stored data, and its result is to be stored before the next stage
+is called, as ``run`` does. All but the last return the columns of ``documents``. A stage deletes the helper tables of the stage before it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import store
+from plumbline.llm.decontaminate import benchmark_hits
+from plumbline.llm.linededup import dedup_lines
+from plumbline.llm.minhash import near_duplicates
+from plumbline.llm.packing import pack_documents
+from plumbline.llm.queries import table, vocabulary
+from plumbline.llm.toxicity import toxicity as score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject, by the threshold of their language."""
+    store.release_stage(spark)
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.where(~F.col("rejected")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier document or line has; one that had text and loses all of it goes."""
+    store.release_stage(spark)
+    out = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), the one with the smallest id."""
+    store.release_stage(spark)
+    gone = near_duplicates(docs, width=5, threshold=80).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark within its edit budget."""
+    store.release_stage(spark)
+    hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, packed."""
+    store.release_stage(spark)
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), capacity=2048)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+
+#: A trained classifier and an iterated packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each result stored before the next begins."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = store.keep(docs, f"stage-{name}", stage=False)
+    return docs
