@@ -6,13 +6,15 @@ survives the loss of any executor.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_kept: list[str] = []
-_in_stage: int | None = None
+_of_stage: list[str] = []
+_in_stage = False
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,17 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str, stage: bool = True) -> str:
+def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    if stage:
-        _kept.append(path)
+    if _in_stage:
+        _of_stage.append(path)
     return path
 
 
-def keep(df: DataFrame, name: str, stage: bool = True) -> DataFrame:
-    """Write ``df`` once and give it back as a table without its lineage. ``stage``: a helper table that ``release_stage`` may delete."""
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and give it back as a table without its lineage."""
     spark = df.sparkSession
-    path = new_path(spark, name, stage)
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,12 +47,21 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release_stage(spark: SparkSession) -> None:
-    """Begin a pipeline stage: the helper tables of the stage before, whose result is stored by now, are deleted. Tables kept outside
-    of stages stay."""
-    global _in_stage
-    if _in_stage is not None:
-        for path in _kept[_in_stage:]:
-            delete(spark, path)
-        del _kept[_in_stage:]
-    _in_stage = len(_kept)
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage: it first deletes the helper tables of the stage before it, whose result is stored by now. Tables kept outside of
+    stages stay."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _in_stage
+        while _of_stage:
+            delete(spark, _of_stage.pop())
+        _in_stage = True
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _in_stage = False
+
+    return run
+
+
