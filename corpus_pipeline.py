@@ -18,37 +18,37 @@ from plumbline.llm.queries import table, vocabulary
 from plumbline.llm.toxicity import toxicity as score_toxicity
 
 
+@store.stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, by the threshold of their language."""
-    store.release_stage(spark)
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.where(~F.col("rejected")).select(*docs.columns)
 
 
+@store.stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document or line has; one that had text and loses all of it goes."""
-    store.release_stage(spark)
     out = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+@store.stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8), the one with the smallest id."""
-    store.release_stage(spark)
     gone = near_duplicates(docs, width=5, threshold=80).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@store.stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark within its edit budget."""
-    store.release_stage(spark)
     hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
 
 
+@store.stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, packed."""
-    store.release_stage(spark)
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"), capacity=2048)
 
 
@@ -64,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = store.keep(docs, f"stage-{name}", stage=False)
+            docs = store.keep(docs, f"stage-{name}")
     return docs
