@@ -154,12 +154,13 @@ def choose(entities: DataFrame, key: str) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with entities in ``text_col`` replaced and ``n_entities`` added (an own column of that name is replaced).
+    """``docs`` with entities in ``text_col`` replaced and ``n_entities`` added (an own column of that name is replaced; the helper names ``_n, _k, _digest,
+    _list_k, _list_digest, _news`` are left out).
 
     A null text stays null with 0 entities; an empty one stays empty. Very long texts are searched whole. Repeated rows and ids
     each keep their row. Other columns stay as they are. An empty table gives no rows. Text without entities is not shuffled.
     """
-    columns = [c for c in docs.columns if c != "n_entities"]
+    columns = [c for c in docs.columns if c not in ("n_entities", "_n", "_k", "_digest", "_list_k", "_list_digest", "_news")]
     rows = docs.select(*columns)
     found = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0)
     row_key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.sha2(F.col(text_col), 256)
@@ -172,12 +173,12 @@ def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_
     spelled = mentions.select("kind", "mention", "norm").distinct().join(chosen, ["kind", "norm"]).select("kind", "mention", in_format(F.col("kind"), F.col("mention"), F.col("chosen")).alias("new"))
     spelled = store.keep(spelled, "spelled")
     # equal rows have equal lists: one is enough
-    lists = mentions.select("k", "digest", "at", "kind", "mention").join(spelled, ["kind", "mention"]).groupBy("k", "digest").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "new"))), lambda s: s["new"]).alias("news"))
+    lists = mentions.select("k", "digest", "at", "kind", "mention").join(spelled, ["kind", "mention"]).groupBy(F.col("k").alias("_list_k"), F.col("digest").alias("_list_digest")).agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "new"))), lambda s: s["new"]).alias("_news"))
 
     marked = rows.withColumn("_n", F.when(cheap, F.size(found)).otherwise(F.lit(0)))
     plain = marked.where("_n = 0").select(*columns, F.lit(0).cast("long").alias("n_entities"))
     hit = marked.where("_n > 0").withColumn("_k", row_key[0]).withColumn("_digest", row_key[1])
-    joined = hit.join(lists, (F.col("_k") == F.col("k")) & (F.col("_digest") == F.col("digest")))
+    joined = hit.join(lists, (F.col("_k") == F.col("_list_k")) & (F.col("_digest") == F.col("_list_digest")))
     gaps = F.split(F.col(text_col), PATTERN, -1)
-    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("news", i), F.lit("")))), "")
+    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_news", i), F.lit("")))), "")
     return plain.unionByName(joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in columns), F.col("_n").cast("long").alias("n_entities")))

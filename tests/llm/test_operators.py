@@ -236,6 +236,22 @@ def test_surrogates(spark):
     assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
 
 
+def test_clashing_names(spark, docs, plain):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.linededup import dedup_lines
+    from plumbline.llm.surrogates import replace_entities
+    from plumbline.llm.toxicity import toxicity
+
+    odd = ["row", "gone", "key", "k", "digest", "news", "at", "line", "h", "score", "word"]
+    more = docs.select("doc_id", "text", *(F.lit(7).alias(c) for c in odd))
+    out = dedup_lines(more)
+    assert out.columns == ["doc_id", "text", *odd, "n_lines", "n_removed"] and out.where("row = 7 and gone = 7").count() == len(plain)
+    assert replace_entities(more, "k").where("k = 7 and news = 7").count() == len(plain)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert toxicity(more, labels).where("row = 7 and score between 0 and 1").count() == len(plain)
+
+
 def test_surrogates_stay_distinct(spark):
     from plumbline.llm.surrogates import replace_entities
 
