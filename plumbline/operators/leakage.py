@@ -32,7 +32,7 @@ def risk_counts(risks: DataFrame) -> DataFrame:
 
 
 def leakage_report(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """All risks in one table. ``prints``: ``id, split, capture_key, frame, blade_key, hash, decode_error``; rows with a decode error are reported and take no further
+    """All risks in one table. ``prints``: ``id, split, capture_key, frame, part_key, hash, decode_error``; rows with a decode error are reported and take no further
     part."""
     bad = prints.where(F.col("decode_error").isNotNull())
     good = prints.where(F.col("decode_error").isNull())
@@ -42,12 +42,12 @@ def leakage_report(prints: DataFrame, threshold: int = 4) -> DataFrame:
         return df.select(*((F.lit(kind) if c == "risk_type" else columns.get(c, F.lit(None))).cast(kinds.get(c, "string")).alias(c) for c in RISK_COLUMNS))
 
     near_frames = adjacent_frames(good)
-    groups = cross_split_groups(good, "blade_key")
+    groups = cross_split_groups(good, "part_key")
     same = identical_hash_pairs(good, near_frames)
     close = near_hash_pairs(good, threshold, exclude=near_frames)
     return (
         row(bad, "full_decode_error", train_image=F.when(F.col("split") == "train", F.col("id")), val_image=F.when(F.col("split") == "val", F.col("id")), note=F.col("decode_error"))
-        .unionByName(row(groups, "cross_split_group", group_key=F.col("blade_key"), train_group_count=F.col("train_count"), val_group_count=F.col("val_count")))
+        .unionByName(row(groups, "cross_split_group", group_key=F.col("part_key"), train_group_count=F.col("train_count"), val_group_count=F.col("val_count")))
         .unionByName(row(near_frames, "adjacent_frame", group_key=F.col("capture_key"), train_image=F.col("train_id"), val_image=F.col("val_id"), frame_delta=F.col("frame_delta")))
         .unionByName(row(same, "identical_hash", train_image=F.col("train_id"), val_image=F.col("val_id"), dhash_distance=F.lit(0), train_group_count=F.col("train_group_count"), val_group_count=F.col("val_group_count")))
         .unionByName(row(close, "near_duplicate", train_image=F.col("train_id"), val_image=F.col("val_id"), dhash_distance=F.col("distance")))

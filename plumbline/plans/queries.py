@@ -704,10 +704,10 @@ def class_diverse(spark, d):
 def leak_prints(spark, d) -> DataFrame:
     p = V.prints(spark, d)
     i = F.col("id")
-    return p.select(i.cast("string").alias("id"), "split", F.when(i % 9 != 0, F.concat(F.lit("c"), (i % 50).cast("string"))).otherwise("").alias("capture_key"), F.floor(i / 50).alias("frame"), F.concat(F.lit("b"), (i % 40).cast("string")).alias("blade_key"), "hash", F.when(i % 101 == 0, "broken").alias("decode_error"))
+    return p.select(i.cast("string").alias("id"), "split", F.when(i % 9 != 0, F.concat(F.lit("c"), (i % 50).cast("string"))).otherwise("").alias("capture_key"), F.floor(i / 50).alias("frame"), F.concat(F.lit("b"), (i % 40).cast("string")).alias("part_key"), "hash", F.when(i % 101 == 0, "broken").alias("decode_error"))
 
 
-_LEAK = f"(SELECT id::VARCHAR AS id, split, CASE WHEN id % 9 <> 0 THEN 'c' || (id % 50)::VARCHAR ELSE '' END AS capture_key, id // 50 AS frame, 'b' || (id % 40)::VARCHAR AS blade_key, hash FROM {V.PRINTS} WHERE id % 101 <> 0)"
+_LEAK = f"(SELECT id::VARCHAR AS id, split, CASE WHEN id % 9 <> 0 THEN 'c' || (id % 50)::VARCHAR ELSE '' END AS capture_key, id // 50 AS frame, 'b' || (id % 40)::VARCHAR AS part_key, hash FROM {V.PRINTS} WHERE id % 101 <> 0)"
 _LEAK_ADJ = f"(SELECT t.id AS train_id, v.id AS val_id FROM {_LEAK} t JOIN {_LEAK} v USING (capture_key) WHERE capture_key <> '' AND t.split = 'train' AND v.split = 'val' AND abs(t.frame - v.frame) <= 3)"
 _LEAK_RANKED = f"(SELECT *, row_number() OVER (PARTITION BY hash, split ORDER BY id) AS place FROM {_LEAK})"
 _LEAK_SAME = f"(SELECT t.id AS train_id, v.id AS val_id FROM {_LEAK_RANKED} t JOIN {_LEAK_RANKED} v ON t.hash = v.hash WHERE t.split = 'train' AND v.split = 'val' AND t.place <= 10 AND v.place <= 10)"
@@ -716,7 +716,7 @@ _LEAK_NEAR = f"""(SELECT DISTINCT t.id AS train_id, v.id AS val_id, bit_count(xo
 _NOT_ADJ = f"(train_id, val_id) NOT IN (SELECT (train_id, val_id) FROM {_LEAK_ADJ})"
 
 
-_REPORT = f"""SELECT 'full_decode_error' AS risk_type, count(*) AS n FROM documents WHERE doc_id % 101 = 0 UNION ALL SELECT 'cross_split_group', count(*) FROM (SELECT blade_key FROM {_LEAK} GROUP BY 1 HAVING count(*) FILTER (split = 'train') > 0 AND count(*) FILTER (split = 'val') > 0)
+_REPORT = f"""SELECT 'full_decode_error' AS risk_type, count(*) AS n FROM documents WHERE doc_id % 101 = 0 UNION ALL SELECT 'cross_split_group', count(*) FROM (SELECT part_key FROM {_LEAK} GROUP BY 1 HAVING count(*) FILTER (split = 'train') > 0 AND count(*) FILTER (split = 'val') > 0)
   UNION ALL SELECT 'adjacent_frame', count(*) FROM {_LEAK_ADJ} UNION ALL SELECT 'identical_hash', count(*) FROM {_LEAK_SAME} WHERE {_NOT_ADJ} UNION ALL SELECT 'near_duplicate', least(50000, count(*)) FROM {_LEAK_NEAR} WHERE {_NOT_ADJ}"""
 
 

@@ -62,7 +62,7 @@ def test_conversion(spark):
 
 
 def test_small_forms(spark):
-    row = spark.createDataFrame([("2-0-1625-DSC05818-47.JPG", "Nested/Blade.JPG")], "name string, path string").select(
+    row = spark.createDataFrame([("2-0-1625-DSC05818-47.JPG", "Nested/Frame.JPG")], "name string, path string").select(
         C.capture_key(F.col("name")), C.frame_number(F.col("name")), C.sample_key(F.col("path")), C.format_number(F.lit(10.0)), C.format_number(F.lit(0.5)), C.clamp01(F.lit(float("nan"))), C.class_label(F.lit(None).cast("string"), F.lit(7)), C.class_group(F.lit("a--b"))
     ).first()
-    assert list(row) == ["2-0-1625", 5818, "nested/blade", "10", "0.5", 0.0, "unknown_7", "a"]
+    assert list(row) == ["2-0-1625", 5818, "nested/frame", "10", "0.5", 0.0, "unknown_7", "a"]
