@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.columns import sample_key
 
 # Suffixes of image files.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 DECISION_SCHEMA = "filename string, action string, issue string, reason string, status string"
-PREDICTION_SCHEMA = T.StructType.fromDDL("experiment_id string, samples array<struct<image_path: string, split: string, true_classes: array<int>, predicted_classes: array<int>, predictions: array<struct<class_id: int, class_name: string, confidence: double, bbox: array<double>>>>>")
+PREDICTION_SCHEMA = "experiment_id string, samples array<struct<image_path: string, split: string, true_classes: array<int>, predicted_classes: array<int>, predictions: array<struct<class_id: int, class_name: string, confidence: double, bbox: array<double>>>>>"
 
 
 def _keyed(files: DataFrame, root: str) -> DataFrame:
