@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import store
 from plumbline.llm.bloom import bloom, combine
-from plumbline.llm.textbytes import BASE, mix, powers, prefix_sums, range_hash, slices, word_bounds, word_hashes
+from plumbline.llm.textbytes import buffers, mix, powers, prefix_sums, range_hash, slices, word_bounds, word_hashes
 
 LEAST_WORDS, NEAR_WORDS = 5, 8
 
@@ -85,16 +85,17 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """``docs`` without the lines that have an earlier same line, and ``n_lines``, ``n_removed`` (own columns of these names are replaced).
+    """``docs`` without the lines that have an earlier same line, and ``n_lines``, ``n_removed`` (own columns of these names are replaced, and
+    ``_row``, ``_key``, ``_gone`` and ``_gone_row`` are left out).
 
     Lines end at ``\\n``. Earlier: smaller id, then the order of rows, then of lines; a line goes if any earlier line is the same, itself kept
     or not. Lines under ``least_words`` words always stay. A null text stays null (0 lines), an empty one stays empty (1 line); a text that
     loses all lines becomes empty. Null ids come first. Very long texts are taken whole. Repeated rows and ids are rows of
     their own. Other columns stay. An empty table gives no rows. ``docs`` is read several times: give a stored table.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_row")]
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_row", "_key", "_gone", "_gone_row")]
     rows = docs.select(*columns).withColumn("_row", F.monotonically_increasing_id())
-    texts = rows.select("_row", F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = rows.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(docs.dtypes)[id_col]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +124,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     flat = ends.select(F.col("first.row").alias("row"), F.col("first.line").alias("line"), "key")
     emitting = store.keep(flat.mapInArrow(_inside(in_shared, 2, ["row", "line", "key"]), "row long, line int, key long").join(shared, "key").select("row", "line").distinct(), "emitting")
     in_emitting = bloom(emitting.mapInArrow(_combined, "key long"), "key")
+    emitting_rows = bloom(emitting.select(F.xxhash64("row").alias("key")).distinct(), "key")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _rows_inside(batches, emitting_rows):
             for start, _, data, at in slices(batch.column(2), 1 << 20):
                 lines = Lines(data, at, max(least_words, near_words - 1))
                 row = batch.column(0).to_numpy()[lines.text + start]
@@ -135,7 +137,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(gap.astype(np.int32)), pa.array(row[own]), batch.column(1).take(pa.array(lines.text[own] + start)), pa.array(lines.line[own].astype(np.int32))], names=["h", "gap", "row", "id", "line"])
 
     schema = f"h long, gap int, row long, id {kind}, line int"
-    emitted = store.keep(texts.mapInArrow(variants, schema), "variants")
+    keyed = texts.withColumn("key", F.xxhash64("row"))
+    emitted = store.keep(keyed.mapInArrow(variants, schema), "variants")
     whole, short = F.when(F.col("gap") < 0, place), F.when(F.col("gap") >= 0, place)
     met = store.keep(emitted.groupBy("h").agg(F.count("*").alias("n"), F.min(whole).alias("whole"), F.min(short).alias("short")).where("n > 1").drop("n"), "met")
     meeting = store.keep(emitted.mapInArrow(_inside(bloom(met, "h"), 0, ["h", "gap", "row", "id", "line"]), schema), "meeting")
@@ -148,9 +151,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # the words of both sides, to verify
     wanted = pairs.select("row", "line").unionByName(pairs.select(F.col("other_row").alias("row"), F.col("other_line").alias("line"))).distinct()
     in_wanted = bloom(wanted.mapInArrow(_combined, "key long"), "key")
+    wanted_rows = bloom(wanted.select(F.xxhash64("row").alias("key")).distinct(), "key")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _rows_inside(batches, wanted_rows):
             for start, _, data, at in slices(batch.column(2)):
                 lines = Lines(data, at, max(least_words, near_words - 1))
                 row = batch.column(0).to_numpy()[lines.text + start]
@@ -164,14 +168,22 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             ok = [min(len(a), len(b)) >= near_words - 1 and max(len(a), len(b)) >= near_words and one_edit(a, b) for a, b in zip(*split, strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["row", "line"])
 
-    content = store.keep(texts.mapInArrow(read, "row long, line int, content binary").join(wanted, ["row", "line"], "left_semi"), "content")
+    content = store.keep(keyed.mapInArrow(read, "row long, line int, content binary").join(wanted, ["row", "line"], "left_semi"), "content")
     both = pairs.join(content, ["row", "line"]).join(content.select(F.col("row").alias("other_row"), F.col("line").alias("other_line"), F.col("content").alias("other_content")), ["other_row", "other_line"])
     near = both.select("row", "line", "content", "other_content").mapInArrow(verify, "row long, line int")
 
-    gone = store.keep(copies.unionByName(near).groupBy("row").agg(F.collect_set("line").alias("gone")), "gone")
+    gone = store.keep(copies.unionByName(near).groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("line").alias("_gone")), "gone")
     return _rewrite(rows, gone, columns, text_col)
 
 
+def _rows_inside(batches: Iterator[pa.RecordBatch], rows, step: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Small batches of the rows whose key, the last column, passes the filter."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, step):
+            part = batch.slice(k, step)
+            yield part.filter(pa.array(rows.value.test(part.column(part.num_columns - 1).to_numpy().view(np.uint64))))
+
+
 def _inside(filter_, at: int, names: list[str]):
     """Keep the rows whose key, column ``at``, passes the filter; columns by name."""
 
@@ -190,35 +202,42 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rewrite(rows: DataFrame, gone: DataFrame, columns: list[str], text_col: str) -> DataFrame:
     """Texts without the lines in ``gone``; texts that surely lose none are not shuffled."""
-    in_gone = bloom(gone.select(F.xxhash64("row").alias("key")), "key")
+    in_gone = bloom(gone.select(F.xxhash64("_gone_row").alias("key")), "key")
     schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
     names = rows.columns
 
     def part(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = in_gone.value.test(batch.column(len(names)).to_numpy().view(np.uint64))
-                keep = pa.array(hit if inside else ~hit)
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[: len(names)]], names=names)
+                for k in range(0, batch.num_rows, 512):
+                    some = batch.slice(k, 512)
+                    hit = in_gone.value.test(some.column(len(names)).to_numpy().view(np.uint64))
+                    some = some.filter(pa.array(hit if inside else ~hit))
+                    data, edges = buffers(some.column(at))
+                    ends = np.flatnonzero(data[edges[0] : edges[-1]] == 10) + edges[0]
+                    n = np.searchsorted(ends, edges[1:]) - np.searchsorted(ends, edges[:-1]) + 1
+                    n[some.column(at).is_null().to_numpy(zero_copy_only=False)] = 0
+                    yield pa.RecordBatch.from_arrays([*some.columns[: len(names)], pa.array(n, pa.int64())], names=[*names, "n_lines"])
 
         return run
 
-    keyed = rows.withColumn("_key", F.xxhash64("_row"))
-    total = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long")
-    count = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(total)
-    stay = keyed.mapInArrow(part(False), schema).select(*columns, count.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    change = keyed.mapInArrow(part(True), schema).join(gone, F.col("_row") == F.col("row"), "left")
     at = names.index(text_col)
+    keyed = rows.withColumn("_key", F.xxhash64("_row"))
+    counted = schema + ", n_lines long"
+    stay = keyed.mapInArrow(part(False), counted).select(*columns, "n_lines", F.lit(0).cast("long").alias("n_removed"))
+    change = keyed.mapInArrow(part(True), counted).join(gone, F.col("_row") == F.col("_gone_row"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, removed = [], []
-            for text, lost in zip(batch.column(at), batch.column(len(names)), strict=True):
-                lost = set(lost.as_py() or ())
-                removed.append(len(lost))
-                texts.append(text.as_py() if not lost else "\n".join(x for k, x in enumerate(text.as_py().split("\n")) if k not in lost))
-            out = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[: len(names)])]
-            yield pa.RecordBatch.from_arrays([*out, batch.column(len(names) + 1), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
-
-    changed = change.select(*names, "gone", count.alias("n_lines")).mapInArrow(cut, schema + ", n_lines long, n_removed long")
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                texts, removed = [], []
+                for text, lost in zip(batch.column(at), batch.column(len(names)), strict=True):
+                    lost = set(lost.as_py() or ())
+                    removed.append(len(lost))
+                    texts.append(text.as_py() if not lost else "\n".join(x for k, x in enumerate(text.as_py().split("\n")) if k not in lost))
+                out = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns[: len(names)])]
+                yield pa.RecordBatch.from_arrays([*out, batch.column(len(names) + 1), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
+
+    changed = change.select(*names, "_gone", "n_lines").mapInArrow(cut, counted + ", n_removed long")
     return stay.unionByName(changed.select(*columns, "n_lines", "n_removed"))
