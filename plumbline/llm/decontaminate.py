@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.store import bound_batches
 from plumbline.llm.textbytes import LOWER, SPACE, buffers, powers, prefix_sums, mix, slices
 
 #: Bytes of items that one pass holds in a task; a larger benchmark takes more passes.
@@ -140,6 +141,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08,
     The benchmark is read in passes of ``PASS_BYTES``, so what is sent to the tasks has that bound at any size.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, distance int, start long, end long"
     names = [id_col, item_col, "distance", "start", "end"]

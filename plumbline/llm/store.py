@@ -13,10 +13,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch on its way to or from Python: what a task holds beside its arrays stays small.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _of_stage: list[str] = []
 _in_stage = False
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` at most in this session; a smaller setting stays."""
+    now = spark.conf.get(_BATCH, None)
+    now = int(now) if now and now.lstrip("-").isdigit() else 0
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +47,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and give it back as a table without its lineage."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
