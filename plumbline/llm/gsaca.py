@@ -91,14 +91,14 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return np.array(out[1:], np.int64)
 
 
-def repeated_windows(pieces: list[bytes], width: int) -> list[np.ndarray]:
-    """For each piece the starts of its ``width``-byte strings that also start somewhere else in the pieces."""
+def repeated_windows(pieces: list, width: int) -> list[np.ndarray]:
+    """For each piece (bytes, or non-negative integers) the starts of its strings of ``width`` symbols that also start somewhere else in the pieces."""
     lengths = np.array([len(p) for p in pieces])
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])
     symbols = np.zeros(int(begin[-1]), np.int64)
     for p, b in zip(pieces, begin[:-1].tolist(), strict=True):
-        symbols[b : b + len(p)] = np.frombuffer(p, np.uint8)
-        symbols[b : b + len(p)] += 1
+        symbols[b : b + len(p)] = np.frombuffer(p, np.uint8) if isinstance(p, bytes) else p
+        symbols[b : b + len(p)] += 1  # 0 ends a piece
     order = suffix_array(symbols)
     owner = np.searchsorted(begin, order, "right") - 1
     whole = order + width <= begin[owner] + lengths[owner]

@@ -3,9 +3,10 @@
 Every window of ``width`` bytes has an anchor that follows from its content: the place of its least ``GRAM``-byte hash. Neighbouring windows
 with one anchor form a segment, so a text is some ``2 * len / width`` segments, and equal windows always lie in segments with equal anchors
 at equal distances. Segments meet by the hash of their anchor; a key met once has no repeats. Segments that are equal as a
-whole are one with a count. Where different segments share an anchor, they are cut into classes of windows whose
-common core is hashed, and the classes that still meet go, by key, to suffix arrays (linear grouping), which tell exactly
-which windows repeat. A core that very many different strings share is cut once more, down to single windows.
+whole are one with a count. Where different segments share an anchor, they are cut into classes of neighbouring windows whose
+common core is hashed. The classes that still meet go, by key, to suffix arrays (linear grouping), in which the core, the same for all strings of
+a key, is one symbol; they tell exactly which windows repeat. A core that very many different strings share is cut once more, down to single
+windows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import store
-from plumbline.llm.bloom import bloom, combine
+from plumbline.llm.bloom import bloom
 from plumbline.llm.gsaca import repeated_windows
 from plumbline.llm.textbytes import BASE, mix, prefix_sums, range_hash, slices
 
@@ -77,7 +78,8 @@ class Segments:
         own = np.repeat(np.arange(len(self.low)), times)
         number = nearest[own] + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
         self.take(own)
-        core = range_hash(self.sums, self.anchor - number * size, self.anchor - (number * size + size - 1) + self.width)
+        self.core_start, self.core_end = self.anchor - number * size, self.anchor - (number * size + size - 1) + self.width
+        core = range_hash(self.sums, self.core_start, self.core_end)
         self.low = np.maximum(self.low, self.anchor - (number * size + size - 1))
         self.high = np.minimum(self.high, self.anchor - number * size)
         self.key = mix(core + number.astype(np.uint64) * BASE + np.uint64(size))
@@ -94,9 +96,9 @@ def _stretches(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray,
             yield start, part, np.array([0, len(part)]), s
 
 
-def _scan(texts: DataFrame, width: int, gram: int, through: list[tuple[object, int]], content_of=None) -> DataFrame:
-    """``key, sid, row, low, windows`` (and ``content`` of the segments whose place passes ``content_of``). ``through``: (filter on the key, class
-    size to cut those that pass), one level after the other."""
+def _scan(texts: DataFrame, width: int, gram: int, through: list[tuple[object, int]]) -> DataFrame:
+    """``key, sid, row, low, windows``, and of classes also ``left`` and ``right``, the bytes beside the core. ``through``: (filter on the key, class size to cut those
+    that pass), one level after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,19 +108,13 @@ def _scan(texts: DataFrame, width: int, gram: int, through: list[tuple[object, i
                 for keys, size in through:
                     s.take(keys.value.test(s.key))
                     s.cut(size)
-                row = rows[start + s.text]
-                low = s.low - at[s.text] + base
-                if content_of is not None:
-                    use = content_of.value.test(combine(combine(row, low), s.key.view(np.int64)).view(np.uint64))
-                    s.take(use)
-                    row, low = row[use], low[use]
-                out = [pa.array(s.key.view(np.int64)), pa.array(s.identity().view(np.int64)), pa.array(row), pa.array(low), pa.array((s.high - s.low + 1).astype(np.int32))]
-                if content_of is not None:
+                out = [pa.array(s.key.view(np.int64)), pa.array(s.identity().view(np.int64)), pa.array(rows[start + s.text]), pa.array(s.low - at[s.text] + base), pa.array((s.high - s.low + 1).astype(np.int32))]
+                if through:
                     raw = data.tobytes()
-                    out.append(pa.array([raw[a:b] for a, b in zip(s.low.tolist(), (s.high + width).tolist(), strict=True)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=["key", "sid", "row", "low", "windows"] + ["content"] * (content_of is not None))
+                    out += [pa.array([raw[a:b] for a, b in zip(x.tolist(), y.tolist(), strict=True)], pa.binary()) for x, y in ((s.low, s.core_start), (s.core_end, s.high + width))]
+                yield pa.RecordBatch.from_arrays(out, names=["key", "sid", "row", "low", "windows"] + ["left", "right"] * bool(through))
 
-    return texts.mapInArrow(run, "key long, sid long, row long, low long, windows int" + ", content binary" * (content_of is not None))
+    return texts.mapInArrow(run, "key long, sid long, row long, low long, windows int" + ", left binary, right binary" * bool(through))
 
 
 def _level(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,34 +149,28 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, tex
         spans.append(covered(met.where("not mixed")))
         if size == 1:
             break  # windows of one key are equal
-        strings = store.keep(met.where("mixed").groupBy("key", "sid").agg(F.count("*").alias("n"), F.min(F.struct("row", "low")).alias("at")), "strings")
+        strings = store.keep(met.where("mixed").groupBy("key", "sid").agg(F.count("*").alias("n"), F.max("left").alias("left"), F.max("right").alias("right")), "strings")
         crowded = strings.groupBy("key").agg(F.count("*").alias("strings"))
         keys = store.keep(crowded.withColumn("mixed", F.col("strings") > most).select("key", "mixed"), "crowded")
-        spans.append(covered_by_arrays(strings.join(keys.where("not mixed").select("key"), "key"), met, texts, width, gram, through))
+        spans.append(covered_by_arrays(strings.join(keys.where("not mixed").select("key"), "key"), met, width, size))
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
     return out
 
 
-def covered_by_arrays(strings: DataFrame, met: DataFrame, texts: DataFrame, width: int, gram: int, through: list) -> DataFrame:
-    """Spans of the segments in ``met`` whose strings go to suffix arrays. ``strings``: ``key, sid, n, at``."""
-    places = strings.select("key", "sid", "n", F.col("at.row").alias("row"), F.col("at.low").alias("low"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, low, key = (batch.column(k).to_numpy() for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(combine(combine(row, low), key))], names=["place"])
-
-    wanted = bloom(places.select("row", "low", "key").mapInArrow(hashed, "place long"), "place")
-    content = _scan(texts, width, gram, through, wanted).select("key", "sid", "row", "low", "content").join(places, ["key", "sid", "row", "low"])
+def covered_by_arrays(strings: DataFrame, met: DataFrame, width: int, size: int) -> DataFrame:
+    """Spans of the segments in ``met`` whose strings go to suffix arrays. ``strings``: ``key, sid, n, left, right``. A window of ``width`` bytes is ``size`` symbols once
+    its core is one."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: list[tuple]) -> pa.RecordBatch:
+            cores = {key: 256 + k for k, key in enumerate(dict.fromkeys(r[0] for r in rows))}
+            pieces = [np.concatenate([np.frombuffer(left, np.uint8), [cores[key]], np.frombuffer(right, np.uint8)]).astype(np.int64) for key, _, _, left, right in rows]
             out = [[], [], [], []]
-            for (key, sid, n, text), hits in zip(rows, repeated_windows([r[3] for r in rows], width), strict=True):
+            for (key, sid, n, _, _), piece, hits in zip(rows, pieces, repeated_windows(pieces, size), strict=True):
                 if n > 1:
-                    hits = np.arange(len(text) - width + 1)
+                    hits = np.arange(len(piece) - size + 1)
                 if len(hits):
                     breaks = np.flatnonzero(np.diff(hits) > 1)
                     for a, b in zip(hits[np.append(0, breaks + 1)].tolist(), hits[np.append(breaks, len(hits) - 1)].tolist(), strict=True):
@@ -190,16 +180,16 @@ def covered_by_arrays(strings: DataFrame, met: DataFrame, texts: DataFrame, widt
 
         rows, held = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if held >= ARRAY_BYTES and row[0] != rows[-1][0]:
                     yield solved(rows)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[3])
+                held += len(row[3]) + len(row[4]) + 2
         if rows:
             yield solved(rows)
 
-    dealt = content.select("key", "sid", "n", "content").repartition("key").sortWithinPartitions("key")
+    dealt = strings.select("key", "sid", "n", "left", "right").repartition("key").sortWithinPartitions("key")
     found = store.keep(dealt.mapInArrow(arrays, "key long, sid long, first long, last long"), "found")
     return met.join(found, ["key", "sid"]).select("row", (F.col("low") + F.col("first")).alias("start"), (F.col("low") + F.col("last") + width).alias("end"))
 
