@@ -6,8 +6,10 @@ the pairs of one key of each collection. ``side`` squared tables thus cost ``2 *
 
 Texts with equal sets are one class from the start. A class keeps a key only if another class has it too, so the pairs of
 keys are made for classes with possible partners alone. In each table bucket every member is first compared with the smallest
-member, which costs as many comparisons as rows; members of a bucket that are still in different components after that are
-compared with each other, so no link within a bucket is lost.
+member, which costs as many comparisons as rows. Members of a bucket that are still in different components after that are compared with
+each other inside the task that reads the bucket, by one byte of each minhash and then by a longer sketch; pairs that could reach the threshold (all
+but one in a hundred thousand of those that do) are named once, from the first table that they share. A crowded bucket is first split by one
+more key.
 """
 
 from __future__ import annotations
@@ -25,6 +27,12 @@ from plumbline.llm.textbytes import BASE, distinct_per_text, mix, shingles, slic
 
 #: With 3 rows a pair at similarity 0.85 shares a key of one side of 10 with 0.99993, at 0.8 a key of 12 with 0.9998.
 SIDE, ROWS = 12, 3
+#: Members of a bucket that are compared with each other in one task; larger buckets are split by further keys, ``SPLITS`` times at most.
+MOST, SPLITS = 2000, 2
+#: Minhashes of the longer sketch that in-bucket comparisons end with; it is made for the classes in buckets alone.
+FINE = 512
+#: Nearest members of other components that a member is verified with in each round, before all pairs that are left.
+NEAREST, NEAREST_ROUNDS = 3, 2
 
 
 def _parameters(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +41,8 @@ def _parameters(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, *, width: int, side: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, node, left, right``: ``node`` is a digest of the set (null for an empty one), ``left`` and ``right`` the keys."""
+    """``id, n_shingles, node, left, right, sketch``: ``node`` is a digest of the set (null for an empty one), ``left`` and ``right`` the keys, ``sketch`` one
+    byte of each minhash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, plus = _parameters(2 * side * rows)
@@ -45,35 +54,118 @@ def signatures(docs: DataFrame, *, width: int, side: int, rows: int, id_col: str
                 some = np.flatnonzero(counts)
                 node = np.zeros(n, np.uint64)
                 keys = np.zeros((n, 2 * side), np.uint64)
+                sketch = np.zeros((n, 2 * side * rows), np.uint8)
                 if len(some):
                     begin = edges[some]
                     node[some] = mix(np.add.reduceat(mix(sets ^ BASE), begin) + counts[some].astype(np.uint64))
                     for k in range(2 * side):
                         key = np.full(len(some), k + 1, np.uint64)
                         for r in range(k * rows, (k + 1) * rows):
-                            key = mix(key * BASE + np.minimum.reduceat(sets * times[r] + plus[r], begin))
+                            least = mix(np.minimum.reduceat(sets * times[r] + plus[r], begin))
+                            sketch[some, r] = (least >> np.uint64(56)).astype(np.uint8)
+                            key = mix(key * BASE + least)
                         keys[some, k] = key
                 signed = keys.view(np.int64)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * side, side, dtype=np.int32)), pa.array(np.ascontiguousarray(signed[:, s]).ravel())) for s in (slice(0, side), slice(side, None))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(counts), pa.array(node.view(np.int64), mask=counts == 0), *lists], names=["id", "n_shingles", "node", "left", "right"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(counts), pa.array(node.view(np.int64), mask=counts == 0), *lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "n_shingles", "node", "left", "right", "sketch"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, node long, left array<long>, right array<long>")
+    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, node long, left array<long>, right array<long>, sketch binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``key, node`` of every table bucket with two classes at least. ``classes``: ``node, left, right``."""
+    """``key, i, j, node, members, least`` of every table bucket (i, j) with two classes at least. ``classes``: ``node, left, right``."""
     sides = [classes.select("node", F.lit(s).alias("side"), F.posexplode(c).alias("at", "value")) for s, c in enumerate(("left", "right"))]
     keys = store.keep(sides[0].unionByName(sides[1]), "keys")
     shared = keys.groupBy("side", "at", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     # at most 2 * side values for a node
     held = keys.join(shared, ["side", "at", "value"]).groupBy("node").agg(*(F.collect_list(F.when(F.col("side") == s, F.struct("at", "value"))).alias(c) for s, c in enumerate(("l", "r"))))
     pairs = held.where((F.size("l") > 0) & (F.size("r") > 0)).select("node", "r", F.explode("l").alias("l")).select("node", "l", F.explode("r").alias("r"))
-    table_keys = store.keep(pairs.select("node", F.xxhash64("l.at", "l.value", "r.at", "r.value").alias("key")), "table-keys")
+    table_keys = store.keep(pairs.select("node", F.col("l.at").alias("i"), F.col("r.at").alias("j"), F.xxhash64("l.at", "l.value", "r.at", "r.value").alias("key")), "table-keys")
     full = table_keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1")
     return store.keep(table_keys.join(full, "key"), "buckets")
 
 
+def sketch_floor(threshold: int, hashes: int) -> int:
+    """Equal bytes of ``hashes`` that a pair at the threshold has, less 4.2 standard deviations."""
+    t = threshold / 100
+    return int(hashes * t - 4.2 * (hashes * t * (1 - t)) ** 0.5)
+
+
+def _pair_blocks(sizes: np.ndarray, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs within runs of the given sizes, in blocks of bounded size."""
+    held, total, offset = [], 0, 0
+    for m in sizes.tolist():
+        step = max(1, block // m)
+        for x in range(0, m - 1, step):
+            u = np.arange(x, min(x + step, m - 1))
+            later = m - 1 - u
+            left = np.repeat(u, later)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later) - later, later)
+            held.append((offset + left, offset + right))
+            total += len(left)
+            if total >= block:
+                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                held, total = [], 0
+        offset += m
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def pairs_across(members: DataFrame, *, side: int, rows: int, threshold: int, canonical: bool = False, best: bool = False) -> DataFrame:
+    """``a, b``: pairs of a bucket's members in different components whose sizes and sketches allow a link. ``members``: ``key, i, j, node, root, n,
+    sketch, fine``. ``canonical``: only from the first table that a pair shares. ``best``: for each member only the one whose
+    sketch is nearest, with the number of equal bytes as ``same``."""
+    floor, fine_floor = sketch_floor(threshold, 2 * side * rows), sketch_floor(threshold, FINE)
+
+    def found(key, i, j, node, root, n, sketch, fine) -> pa.RecordBatch:
+        out = [[], []]
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        top = np.zeros(len(key), np.int64)  # of each member: equal bytes, then the partner's row
+        for u, v in _pair_blocks(np.diff(edges)):
+            ok = (root[u] != root[v]) & (100 * np.minimum(n[u], n[v]) >= threshold * np.maximum(n[u], n[v]))
+            u, v = u[ok], v[ok]
+            same = sketch[u] == sketch[v]
+            equal = same.sum(1)
+            ok = equal >= floor
+            if best:
+                np.maximum.at(top, u[ok], equal[ok] * len(key) + v[ok])
+                np.maximum.at(top, v[ok], equal[ok] * len(key) + u[ok])
+                continue
+            if canonical:
+                keys = same.reshape(len(u), 2, side, rows).all(3)
+                ok &= (np.argmax(keys[:, 0], axis=1) == i[u]) & (np.argmax(keys[:, 1], axis=1) == j[u])
+            u, v = u[ok], v[ok]
+            for k in range(0, len(u), 1 << 14):
+                a, b = u[k : k + (1 << 14)], v[k : k + (1 << 14)]
+                ok = (fine[a] == fine[b]).sum(1) >= fine_floor
+                out[0].append(np.maximum(node[a], node[b])[ok])
+                out[1].append(np.minimum(node[a], node[b])[ok])
+        if best:
+            x = np.flatnonzero(top)
+            return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[top[x] % len(key)]), pa.array(top[x] // len(key))], names=["a", "b", "same"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:  # a bucket may go on in the next batch
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            key = table["key"].to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            rest = table.slice(last)
+            if last:
+                yield solved(table.slice(0, last))
+        if rest is not None and rest.num_rows:
+            yield solved(rest)
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        columns = [table[c].to_numpy() for c in ("key", "i", "j", "node", "root", "n")]
+        return found(*columns, *(np.frombuffer(b"".join(table[c].to_pylist()), np.uint8).reshape(table.num_rows, -1) for c in ("sketch", "fine")))
+
+    dealt = members.select("key", "i", "j", "node", "root", "n", "sketch", "fine").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long" + ", same long" * best)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The ``a, b`` of ``pairs`` with 100 * intersection >= threshold * union. ``sets``: ``node, hashes`` (sorted 64-bit numbers)."""
 
@@ -91,7 +183,14 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, *, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``node, hashes`` of the classes in ``wanted`` (``node, id``), from the text of one row of each."""
+    """``node, hashes, fine`` of the classes in ``wanted`` (``node, id``), from the text of one row of each; ``fine`` is the longer sketch."""
+    times, plus = _parameters(FINE)
+
+    def sketched(hashes: np.ndarray) -> bytes:
+        least = np.full(FINE, np.uint64(0xFFFFFFFFFFFFFFFF))
+        for k in range(0, len(hashes), 256):
+            least = np.minimum(least, (hashes[k : k + 256, None] * times + plus).min(0))
+        return (mix(least) >> np.uint64(56)).astype(np.uint8).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,11 +201,11 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, *, width: int, id_col: str
                 if len(some := np.flatnonzero(counts)):
                     node[some] = mix(np.add.reduceat(mix(sets ^ BASE), edges[some]) + counts[some].astype(np.uint64))
                 right = node.view(np.int64) == batch.column(0).slice(start, stop - start).to_numpy()
-                hashes = pa.array([sets[edges[i] : edges[i + 1]].tobytes() for i in np.flatnonzero(right)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[right]), hashes], names=["node", "hashes"])
+                own = [sets[edges[i] : edges[i + 1]] for i in np.flatnonzero(right)]
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[right]), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([sketched(x) for x in own], pa.binary())], names=["node", "hashes", "fine"])
 
     texts = docs.select(F.col(id_col).alias("doc"), text_col).join(wanted.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("id"))).select("node", text_col)
-    return texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, hashes binary, fine binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, side: int = SIDE, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,19 +218,28 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, sid
     """
     signed = store.keep(signatures(docs, width=width, side=side, rows=rows, id_col=id_col, text_col=text_col), "signatures")
     rows_of = signed.where("node is not null")
-    classes = store.keep(rows_of.groupBy("node").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("n_shingles").alias("n")), "classes")
+    classes = store.keep(rows_of.groupBy("node").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     held = buckets(classes.select("node", "left", "right"))
 
     # every member against the smallest of its bucket, first the pairs that meet in most tables
     star = store.keep(held.where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("tables")), "star")
     nodes = held.select("node").distinct()
     sets = store.keep(_shingle_sets(docs, classes.select("node", "id").join(nodes, "node"), width=width, id_col=id_col, text_col=text_col), "sets")
-    sizes = classes.select("node", "n")
+    shapes = classes.select("node", "n", "sketch")
+    floor = sketch_floor(threshold, 2 * side * rows)
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        """Sets whose sizes alone rule a link out are not read."""
-        x, y = (sizes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-        return pairs.join(x, "a").join(y, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold).select("a", "b")
+        """Sets whose sizes or sketches rule a link out are not read."""
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, 2 * side * rows) for k in (2, 3))
+                keep = pa.array((x == y).sum(1) >= floor)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
+
+        x, y = (shapes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+        sized = pairs.join(x, "a").join(y, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold)
+        return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
 
     def roots(edges: DataFrame) -> DataFrame:
         return store.keep(components(edges), "roots")
@@ -149,13 +257,38 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, sid
     edges = edges.unionByName(more)
     root = roots(edges)
 
-    # buckets whose members are still apart: their pairs across components that were not tried yet
-    where = held.where("members > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = where.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    members = where.join(mixed, "key").join(sizes, "node").select("key", "node", "root", "n")
-    x, y = (members.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n"))) for k in "ab")
-    across = x.join(y, "key").where((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold))
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    def apart_in_buckets(root: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components."""
+        where = held.where("members > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = where.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+        return store.keep(where.join(mixed, "key").join(shapes, "node").join(sets.select("node", "fine"), "node").select("key", "size", "i", "j", "node", "root", "n", "sketch", "fine"), "mixed")
+
+    # buckets whose members are still apart: first each member with its nearest ones of other components, which joins most of what belongs together
+    members = apart_in_buckets(root)
+    for _ in range(NEAREST_ROUNDS):
+        near = pairs_across(members.where(F.col("size") <= MOST), side=side, rows=rows, threshold=threshold, best=True).groupBy("a", "b").agg(F.max("same").alias("same"))
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))).where(F.col("rank") <= NEAREST)
+        found = store.keep(verified(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets, threshold), "links")
+        if found.isEmpty():
+            break
+        edges = edges.unionByName(found)
+        root = roots(edges)
+        members = apart_in_buckets(root)
+    # then all pairs across components
+    across = pairs_across(members.where(F.col("size") <= MOST), side=side, rows=rows, threshold=threshold, canonical=True)
+    crowded = members.where(F.col("size") > MOST)
+    for depth in range(SPLITS):
+        if crowded.isEmpty():
+            break
+        # members of a crowded bucket meet again if one more key of the left side is equal
+        more = crowded.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).where(F.col("k") != F.col("i"))
+        finer = more.withColumn("key", F.xxhash64("key", "k", F.substring("sketch", F.col("k") * rows + 1, F.lit(rows)))).drop("size", "k")
+        counts = finer.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+        finer = store.keep(finer.join(counts, "key"), "split")
+        last = depth + 1 == SPLITS
+        across = across.unionByName(pairs_across(finer if last else finer.where(F.col("size") <= MOST), side=side, rows=rows, threshold=threshold, canonical=False))
+        crowded = finer.where(F.col("size") > MOST)
+    across = across.distinct().join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     last = store.keep(verified(across, sets, threshold), "links")
     root = roots(edges.unionByName(last))
 
