@@ -17,8 +17,8 @@ import numpy as np
 from plumbline.llm.textbytes import SPACE, prefix_sums, range_hash
 
 #: Rows of the cache; when it is full it starts anew.
-CACHE_ROWS = 1_500_000
-_SLOTS = 1 << 22
+CACHE_ROWS = 700_000
+_SLOTS = 1 << 21
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[ord(c) for c in ".,;:!?)"]] = True
 _LETTER = np.zeros(256, bool)
