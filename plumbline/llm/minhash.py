@@ -112,29 +112,28 @@ def _pair_blocks(sizes: np.ndarray, block: int = 1 << 17) -> Iterator[tuple[np.n
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
-def pairs_across(members: DataFrame, *, side: int, rows: int, threshold: int, canonical: bool = False, best: bool = False) -> DataFrame:
-    """``a, b``: pairs of a bucket's members in different components whose sizes and sketches allow a link. ``members``: ``key, i, j, node, root, n,
-    sketch, fine``. ``canonical``: only from the first table that a pair shares. ``best``: for each member only the one whose
-    sketch is nearest, with the number of equal bytes as ``same``."""
+def pairs_across(members: DataFrame, *, side: int, rows: int, threshold: int, best: bool = False) -> DataFrame:
+    """``a, b``: pairs of a bucket's members in different components whose sizes and sketches allow a link, each only from the first table that it
+    shares by its whole keys. ``members``: ``key, i, j, node, root, n, left, right, sketch, fine``. ``best``: from any table, and for each member
+    only the one whose sketch is nearest, with the number of equal bytes as ``same``."""
     floor, fine_floor = sketch_floor(threshold, 2 * side * rows), sketch_floor(threshold, FINE)
 
-    def found(key, i, j, node, root, n, sketch, fine) -> pa.RecordBatch:
+    def found(key, i, j, node, root, n, left, right, sketch, fine) -> pa.RecordBatch:
         out = [[], []]
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         top = np.zeros(len(key), np.int64)  # of each member: equal bytes, then the partner's row
         for u, v in _pair_blocks(np.diff(edges)):
             ok = (root[u] != root[v]) & (100 * np.minimum(n[u], n[v]) >= threshold * np.maximum(n[u], n[v]))
             u, v = u[ok], v[ok]
-            same = sketch[u] == sketch[v]
-            equal = same.sum(1)
+            equal = (sketch[u] == sketch[v]).sum(1)
             ok = equal >= floor
             if best:
                 np.maximum.at(top, u[ok], equal[ok] * len(key) + v[ok])
                 np.maximum.at(top, v[ok], equal[ok] * len(key) + u[ok])
                 continue
-            if canonical:
-                keys = same.reshape(len(u), 2, side, rows).all(3)
-                ok &= (np.argmax(keys[:, 0], axis=1) == i[u]) & (np.argmax(keys[:, 1], axis=1) == j[u])
+            u, v = u[ok], v[ok]
+            # the sketches hold one byte of a minhash and may agree where the keys do not
+            ok = ((left[u] == left[v]).argmax(1) == i[u]) & ((right[u] == right[v]).argmax(1) == j[u])
             u, v = u[ok], v[ok]
             for k in range(0, len(u), 1 << 14):
                 a, b = u[k : k + (1 << 14)], v[k : k + (1 << 14)]
@@ -160,9 +159,10 @@ def pairs_across(members: DataFrame, *, side: int, rows: int, threshold: int, ca
 
     def solved(table: pa.Table) -> pa.RecordBatch:
         columns = [table[c].to_numpy() for c in ("key", "i", "j", "node", "root", "n")]
-        return found(*columns, *(np.frombuffer(b"".join(table[c].to_pylist()), np.uint8).reshape(table.num_rows, -1) for c in ("sketch", "fine")))
+        keys = (table[c].combine_chunks().flatten().to_numpy().reshape(table.num_rows, side) for c in ("left", "right"))
+        return found(*columns, *keys, *(np.frombuffer(b"".join(table[c].to_pylist()), np.uint8).reshape(table.num_rows, -1) for c in ("sketch", "fine")))
 
-    dealt = members.select("key", "i", "j", "node", "root", "n", "sketch", "fine").repartition("key").sortWithinPartitions("key")
+    dealt = members.select("key", "i", "j", "node", "root", "n", "left", "right", "sketch", "fine").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long" + ", same long" * best)
 
 
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, sid
         """Members of the buckets that hold several components."""
         where = held.where("members > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = where.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-        return store.keep(where.join(mixed, "key").join(shapes, "node").join(sets.select("node", "fine"), "node").select("key", "size", "i", "j", "node", "root", "n", "sketch", "fine"), "mixed")
+        return store.keep(where.join(mixed, "key").join(classes.select("node", "n", "left", "right", "sketch"), "node").join(sets.select("node", "fine"), "node").select("key", "size", "i", "j", "node", "root", "n", "left", "right", "sketch", "fine"), "mixed")
 
     # buckets whose members are still apart: first each member with its nearest ones of other components, which joins most of what belongs together
     members = apart_in_buckets(root)
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, sid
         root = roots(edges)
         members = apart_in_buckets(root)
     # then all pairs across components
-    across = pairs_across(members.where(F.col("size") <= MOST), side=side, rows=rows, threshold=threshold, canonical=True)
+    across = pairs_across(members.where(F.col("size") <= MOST), side=side, rows=rows, threshold=threshold)
     crowded = members.where(F.col("size") > MOST)
     for depth in range(SPLITS):
         if crowded.isEmpty():

@@ -318,3 +318,28 @@ def test_pipeline_columns(spark):
     rows = out.collect()
     assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert len({r["doc_id"] for r in rows}) > 0.7 * docs.count()
+
+
+def chains(n: int = 12, length: int = 14) -> list[str]:
+    """Texts that are near the next ones of their chain and far from the others."""
+    rng = random.Random(9)
+    out = []
+    for c in range(n):
+        words = [f"c{c}w{k}" for k in range(60 + 4 * length)]
+        out += [" ".join(words[k * 2 : k * 2 + 60]) for k in range(length)]
+    rng.shuffle(out)
+    return out
+
+
+def test_near_duplicates_by_whole_keys(spark, tmp_path, monkeypatch):
+    import plumbline.llm.minhash as module
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame(list(enumerate(chains())), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    made = module.signatures
+    monkeypatch.setattr(module, "NEAREST_ROUNDS", 0)
+    want = sorted(module.near_duplicates(docs, side=4).collect())
+    # sketches that agree where the keys do not name no other table
+    monkeypatch.setattr(module, "signatures", lambda *a, **k: made(*a, **k).withColumn("sketch", F.lit(bytes(2 * 4 * 3))))
+    assert sorted(module.near_duplicates(docs, side=4).collect()) == want
