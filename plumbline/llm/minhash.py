@@ -8,8 +8,8 @@ Texts with equal sets are one class from the start. A class keeps a key only if
 keys are made for classes with possible partners alone. In each table bucket every member is first compared with the smallest
 member, which costs as many comparisons as rows. Members of a bucket that are still in different components after that are compared with
 each other inside the task that reads the bucket, by one byte of each minhash and then by a longer sketch; pairs that could reach the threshold (all
-but one in a hundred thousand of those that do) are named once, from the first table that they share. A crowded bucket is first split by one
-more key.
+but one in a hundred thousand of those that do) are named once, from the first table that they share. A crowded bucket is compared whole too, in
+pairs of blocks.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from plumbline.llm.textbytes import BASE, distinct_per_text, mix, shingles, slic
 
 #: With 3 rows a pair at similarity 0.85 shares a key of one side of 10 with 0.99993, at 0.8 a key of 12 with 0.9998.
 SIDE, ROWS = 12, 3
-#: Members of a bucket that are compared with each other in one task; larger buckets are split by further keys, ``SPLITS`` times at most.
-MOST, SPLITS = 2000, 2
+#: Members of a bucket that are compared with each other in one group; larger buckets are dealt into blocks of about so many, and each pair of blocks is a group.
+MOST = 2000
 #: Minhashes of the longer sketch that in-bucket comparisons end with; it is made for the classes in buckets alone.
 FINE = 512
 #: Nearest members of other components that a member is verified with in each round, before all pairs that are left.
@@ -112,18 +112,27 @@ def _pair_blocks(sizes: np.ndarray, block: int = 1 << 17) -> Iterator[tuple[np.n
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
+def blocks(members: DataFrame) -> DataFrame:
+    """``members`` with ``half``: a bucket of more than ``MOST`` is dealt into blocks, and each pair of blocks gets a key. ``half`` is 0 or 1 where only pairs
+    across the two blocks count, and null where all do."""
+    parts = F.ceil(F.col("size") / MOST)
+    dealt = members.withColumn("_own", F.pmod(F.xxhash64("node"), parts)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    half = F.when(F.col("_own") != F.col("_other"), (F.col("_own") > F.col("_other")).cast("int"))
+    return dealt.withColumn("half", half).withColumn("key", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other")
+
+
 def pairs_across(members: DataFrame, *, side: int, rows: int, threshold: int, best: bool = False) -> DataFrame:
     """``a, b``: pairs of a bucket's members in different components whose sizes and sketches allow a link, each only from the first table that it
-    shares by its whole keys. ``members``: ``key, i, j, node, root, n, left, right, sketch, fine``. ``best``: from any table, and for each member
+    shares by its whole keys. ``members``: ``key, half, i, j, node, root, n, left, right, sketch, fine`` (see ``blocks``). ``best``: from any table, and for each member
     only the one whose sketch is nearest, with the number of equal bytes as ``same``."""
     floor, fine_floor = sketch_floor(threshold, 2 * side * rows), sketch_floor(threshold, FINE)
 
-    def found(key, i, j, node, root, n, left, right, sketch, fine) -> pa.RecordBatch:
+    def found(key, half, i, j, node, root, n, left, right, sketch, fine) -> pa.RecordBatch:
         out = [[], []]
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         top = np.zeros(len(key), np.int64)  # of each member: equal bytes, then the partner's row
         for u, v in _pair_blocks(np.diff(edges)):
-            ok = (root[u] != root[v]) & (100 * np.minimum(n[u], n[v]) >= threshold * np.maximum(n[u], n[v]))
+            ok = (root[u] != root[v]) & ((half[u] < 0) | (half[u] != half[v])) & (100 * np.minimum(n[u], n[v]) >= threshold * np.maximum(n[u], n[v]))
             u, v = u[ok], v[ok]
             equal = (sketch[u] == sketch[v]).sum(1)
             ok = equal >= floor
@@ -158,11 +167,11 @@ def pairs_across(members: DataFrame, *, side: int, rows: int, threshold: int, be
             yield solved(rest)
 
     def solved(table: pa.Table) -> pa.RecordBatch:
-        columns = [table[c].to_numpy() for c in ("key", "i", "j", "node", "root", "n")]
+        columns = [table[c].to_numpy() for c in ("key", "half", "i", "j", "node", "root", "n")]
         keys = (table[c].combine_chunks().flatten().to_numpy().reshape(table.num_rows, side) for c in ("left", "right"))
         return found(*columns, *keys, *(np.frombuffer(b"".join(table[c].to_pylist()), np.uint8).reshape(table.num_rows, -1) for c in ("sketch", "fine")))
 
-    dealt = members.select("key", "i", "j", "node", "root", "n", "left", "right", "sketch", "fine").repartition("key").sortWithinPartitions("key")
+    dealt = members.select("key", F.coalesce("half", F.lit(-1)).alias("half"), "i", "j", "node", "root", "n", "left", "right", "sketch", "fine").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long" + ", same long" * best)
 
 
@@ -266,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, sid
     # buckets whose members are still apart: first each member with its nearest ones of other components, which joins most of what belongs together
     members = apart_in_buckets(root)
     for _ in range(NEAREST_ROUNDS):
-        near = pairs_across(members.where(F.col("size") <= MOST), side=side, rows=rows, threshold=threshold, best=True).groupBy("a", "b").agg(F.max("same").alias("same"))
+        near = pairs_across(blocks(members), side=side, rows=rows, threshold=threshold, best=True).groupBy("a", "b").agg(F.max("same").alias("same"))
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))).where(F.col("rank") <= NEAREST)
         found = store.keep(verified(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets, threshold), "links")
         if found.isEmpty():
@@ -275,19 +284,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, sid
         root = roots(edges)
         members = apart_in_buckets(root)
     # then all pairs across components
-    across = pairs_across(members.where(F.col("size") <= MOST), side=side, rows=rows, threshold=threshold)
-    crowded = members.where(F.col("size") > MOST)
-    for depth in range(SPLITS):
-        if crowded.isEmpty():
-            break
-        # members of a crowded bucket meet again if one more key of the left side is equal
-        more = crowded.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).where(F.col("k") != F.col("i"))
-        finer = more.withColumn("key", F.xxhash64("key", "k", F.substring("sketch", F.col("k") * rows + 1, F.lit(rows)))).drop("size", "k")
-        counts = finer.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-        finer = store.keep(finer.join(counts, "key"), "split")
-        last = depth + 1 == SPLITS
-        across = across.unionByName(pairs_across(finer if last else finer.where(F.col("size") <= MOST), side=side, rows=rows, threshold=threshold, canonical=False))
-        crowded = finer.where(F.col("size") > MOST)
+    across = pairs_across(blocks(members), side=side, rows=rows, threshold=threshold)
     across = across.distinct().join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     last = store.keep(verified(across, sets, threshold), "links")
     root = roots(edges.unionByName(last))

@@ -343,3 +343,14 @@ def test_near_duplicates_by_whole_keys(spark, tmp_path, monkeypatch):
     # sketches that agree where the keys do not name no other table
     monkeypatch.setattr(module, "signatures", lambda *a, **k: made(*a, **k).withColumn("sketch", F.lit(bytes(2 * 4 * 3))))
     assert sorted(module.near_duplicates(docs, side=4).collect()) == want
+
+
+def test_crowded_buckets_are_compared_whole(spark, tmp_path, monkeypatch):
+    import plumbline.llm.minhash as module
+
+    spark.createDataFrame(list(enumerate(chains())), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(module, "NEAREST_ROUNDS", 0)
+    want = sorted(module.near_duplicates(docs, side=2).collect())
+    monkeypatch.setattr(module, "MOST", 2)
+    assert sorted(module.near_duplicates(docs, side=2).collect()) == want
