@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import hamming, hash_chunks
 
+#: Distinct hashes of a side that one block of a crowded chunk holds, about.
+HASHES = 2000
+
 
 def content_hash(files: DataFrame, content: str, out: str = "sha256") -> DataFrame:
     return files.withColumn(out, F.sha2(F.col(content), 256))
@@ -44,8 +47,34 @@ def identical_hash_pairs(prints: DataFrame, exclude: DataFrame | None = None, ea
     return pairs if exclude is None else pairs.join(exclude.select("train_id", "val_id"), ["train_id", "val_id"], "left_anti")
 
 
-def near_hash_pairs(prints: DataFrame, threshold: int = 4, bucket_pairs: int = 50_000, cap: int = 50_000, exclude: DataFrame | None = None, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
-    """Pairs across two splits that share one of four 16-bit chunks of their hash and differ in ``threshold`` bits at most: the first ``cap`` by distance and ids. Buckets of more than
+def near_hash_pairs(prints: DataFrame, threshold: int = 4, exclude: DataFrame | None = None, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
+    """All pairs across two splits whose hashes differ in ``threshold`` bits at most: ``train_id, val_id, distance``. Distinct hashes meet by one of ``threshold + 1``
+    chunks, one of which any such pair shares whole. A chunk that many hashes have is dealt into blocks, and blocks meet in pairs, so no task gets a crowded chunk
+    alone. Members are joined to the hash pairs last."""
+    members = prints.where(F.col("hash").isNotNull() & F.col("split").isin(*sides)).select("id", "split", "hash")
+    chunks = members.select("split", "hash").distinct().select("split", "hash", F.inline(_even_chunks(F.col("hash"), threshold + 1)))
+    keys = ["chunk_index", "chunk"]
+    sizes = chunks.groupBy(*keys).agg(*(F.ceil(F.count_if(F.col("split") == s) / HASHES).alias(f"{n}_parts") for s, n in zip(sides, ("train", "val"), strict=True))).where("train_parts > 0 and val_parts > 0")
+    dealt = chunks.join(sizes, keys)
+    # each side picks its own block and lists all blocks of the other side
+    block = {n: F.pmod(F.xxhash64("hash"), F.col(f"{n}_parts")).alias(f"{n}_block") for n in ("train", "val")}
+    every = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{n}_parts") - 1)).alias(f"{n}_block") for n in ("train", "val")}
+    a = dealt.where(F.col("split") == sides[0]).select(*keys, block["train"], every["val"], F.col("hash").alias("train_hash"))
+    b = dealt.where(F.col("split") == sides[1]).select(*keys, block["val"], every["train"], F.col("hash").alias("val_hash"))
+    near = a.join(b, [*keys, "train_block", "val_block"]).withColumn("distance", hamming(F.col("train_hash"), F.col("val_hash"))).where(F.col("distance") <= threshold).select("train_hash", "val_hash", "distance").distinct()
+    a, b = (members.where(F.col("split") == s).select(F.col("id").alias(f"{n}_id"), F.col("hash").alias(f"{n}_hash")) for s, n in zip(sides, ("train", "val"), strict=True))
+    pairs = near.join(a, "train_hash").join(b, "val_hash").select("train_id", "val_id", "distance").distinct()
+    return pairs if exclude is None else pairs.join(exclude.select("train_id", "val_id"), ["train_id", "val_id"], "left_anti")
+
+
+def _even_chunks(h: Column, n: int) -> Column:
+    """``array<struct<chunk_index, chunk>>``: 64 bits in ``n`` parts of nearly equal width."""
+    edges = [64 * k // n for k in range(n + 1)]
+    return F.array(*(F.struct(F.lit(k).alias("chunk_index"), F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1).cast("long")).alias("chunk")) for k, (low, high) in enumerate(zip(edges, edges[1:]))))
+
+
+def near_hash_report(prints: DataFrame, threshold: int = 4, bucket_pairs: int = 50_000, cap: int = 50_000, exclude: DataFrame | None = None, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
+    """The reference's cut of ``near_hash_pairs``, for its reports: pairs across two splits that share one of four 16-bit chunks of their hash and differ in ``threshold`` bits at most: the first ``cap`` by distance and ids. Buckets of more than
     ``bucket_pairs`` pairs are skipped. Four chunks find every pair up to distance 3; at 4 some may be missed."""
     chunks = prints.where(F.col("hash").isNotNull()).select("id", "split", "hash", F.inline(hash_chunks(F.col("hash"))))
     keys = ["chunk_index", "chunk"]

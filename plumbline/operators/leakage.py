@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.dedup import identical_hash_pairs, near_hash_pairs
+from plumbline.operators.dedup import identical_hash_pairs, near_hash_pairs, near_hash_report
 
 RISK_COLUMNS = ["risk_type", "group_key", "train_image", "val_image", "frame_delta", "dhash_distance", "train_group_count", "val_group_count", "note"]
 
@@ -31,8 +31,8 @@ def risk_counts(risks: DataFrame) -> DataFrame:
     return risks.groupBy("risk_type").agg(F.count("*").alias("n"))
 
 
-def leakage_report(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """All risks in one table. ``prints``: ``id, split, capture_key, frame, part_key, hash, decode_error``; rows with a decode error are reported and take no further
+def leakage_report(prints: DataFrame, threshold: int = 4, capped: bool = False) -> DataFrame:
+    """All risks in one table; ``capped``: near duplicates within the reference's limits only. ``prints``: ``id, split, capture_key, frame, part_key, hash, decode_error``; rows with a decode error are reported and take no further
     part."""
     bad = prints.where(F.col("decode_error").isNotNull())
     good = prints.where(F.col("decode_error").isNull())
@@ -44,7 +44,7 @@ def leakage_report(prints: DataFrame, threshold: int = 4) -> DataFrame:
     near_frames = adjacent_frames(good)
     groups = cross_split_groups(good, "part_key")
     same = identical_hash_pairs(good, near_frames)
-    close = near_hash_pairs(good, threshold, exclude=near_frames)
+    close = (near_hash_report if capped else near_hash_pairs)(good, threshold, exclude=near_frames)
     return (
         row(bad, "full_decode_error", train_image=F.when(F.col("split") == "train", F.col("id")), val_image=F.when(F.col("split") == "val", F.col("id")), note=F.col("decode_error"))
         .unionByName(row(groups, "cross_split_group", group_key=F.col("part_key"), train_group_count=F.col("train_count"), val_group_count=F.col("val_count")))

@@ -390,6 +390,12 @@ _NEAR = f"""SELECT DISTINCT t.id AS train_id, v.id AS val_id, bit_count(xor(t.ha
 
 @query(_NEAR)
 def near_duplicates(spark, d):
+    """Within the reference's limits, as its SQL; ``near_duplicates_whole`` has none."""
+    return dedup.near_hash_report(V.prints(spark, d))
+
+
+@query(f"SELECT t.id AS train_id, v.id AS val_id, bit_count(xor(t.hash, v.hash))::INTEGER AS distance FROM {V.PRINTS} t JOIN {V.PRINTS} v ON bit_count(xor(t.hash, v.hash)) <= 4 WHERE t.split = 'train' AND v.split = 'val'")
+def near_duplicates_whole(spark, d):
     return dedup.near_hash_pairs(V.prints(spark, d))
 
 
@@ -722,6 +728,17 @@ _REPORT = f"""SELECT 'full_decode_error' AS risk_type, count(*) AS n FROM docume
 
 @query(f"SELECT * FROM ({_REPORT}) WHERE n > 0")
 def risk_counts(spark, d):
+    """Within the reference's limits, as its SQL; ``risk_counts_whole`` has none."""
+    return leakage.risk_counts(leakage.leakage_report(leak_prints(spark, d), capped=True))
+
+
+_LEAK_PAIRS = f"(SELECT t.id AS train_id, v.id AS val_id, bit_count(xor(t.hash, v.hash))::INTEGER AS distance FROM {_LEAK} t JOIN {_LEAK} v ON bit_count(xor(t.hash, v.hash)) <= 4 WHERE t.split = 'train' AND v.split = 'val')"
+_REPORT_WHOLE = f"""SELECT 'full_decode_error' AS risk_type, count(*) AS n FROM documents WHERE doc_id % 101 = 0 UNION ALL SELECT 'cross_split_group', count(*) FROM (SELECT part_key FROM {_LEAK} GROUP BY 1 HAVING count(*) FILTER (split = 'train') > 0 AND count(*) FILTER (split = 'val') > 0)
+  UNION ALL SELECT 'adjacent_frame', count(*) FROM {_LEAK_ADJ} UNION ALL SELECT 'identical_hash', count(*) FROM {_LEAK_SAME} WHERE {_NOT_ADJ} UNION ALL SELECT 'near_duplicate', count(*) FROM {_LEAK_PAIRS} WHERE {_NOT_ADJ}"""
+
+
+@query(f"SELECT * FROM ({_REPORT_WHOLE}) WHERE n > 0")
+def risk_counts_whole(spark, d):
     return leakage.risk_counts(leakage.leakage_report(leak_prints(spark, d)))
 
 

@@ -66,3 +66,15 @@ def test_small_forms(spark):
         C.capture_key(F.col("name")), C.frame_number(F.col("name")), C.sample_key(F.col("path")), C.format_number(F.lit(10.0)), C.format_number(F.lit(0.5)), C.clamp01(F.lit(float("nan"))), C.class_label(F.lit(None).cast("string"), F.lit(7)), C.class_group(F.lit("a--b"))
     ).first()
     assert list(row) == ["2-0-1625", 5818, "nested/frame", "10", "0.5", 0.0, "unknown_7", "a"]
+
+
+def test_near_hash_pairs_are_whole(spark, monkeypatch):
+    from plumbline.operators import dedup
+
+    monkeypatch.setattr(dedup, "HASHES", 3)
+    spread = sum(1 << k for k in (3, 20, 40, 60))  # one bit in each 16-bit chunk
+    hashes = [0, spread, -1, (1 << 63) - 1, 7, 15, 1 << 50] + [1 << k for k in range(30)]
+    rows = [(k, "val" if k % 3 == 0 else "train", h - (1 << 64) if h >= 1 << 63 else h) for k, h in enumerate(hashes)] + [(1000 + k, "val" if k % 2 else "train", 99) for k in range(600)]
+    got = {tuple(r) for r in dedup.near_hash_pairs(spark.createDataFrame(rows, "id long, split string, hash long")).collect()}
+    want = {(a, b, n) for a, s, x in rows if s == "train" for b, t, y in rows if t == "val" and (n := ((x ^ y) & (1 << 64) - 1).bit_count()) <= 4}
+    assert got == want and (1, 0, 4) in want and len(want) > 90_000
