@@ -747,6 +747,20 @@ def leakage_report(spark, d):
     return leakage.leakage_report(leak_prints(spark, d)).where("risk_type in ('identical_hash', 'adjacent_frame')").select("risk_type", "train_image", "val_image", "dhash_distance")
 
 
+_LEAK_COUNTED = f"(SELECT *, row_number() OVER (PARTITION BY hash, split ORDER BY id) AS place, count(*) OVER (PARTITION BY hash, split) AS n FROM {_LEAK})"
+
+
+@query(f"""SELECT 'full_decode_error' AS risk_type, NULL::VARCHAR AS group_key, CASE WHEN split = 'train' THEN id::VARCHAR END AS train_image, CASE WHEN split = 'val' THEN id::VARCHAR END AS val_image, NULL::BIGINT AS frame_delta, NULL::INTEGER AS dhash_distance, NULL::BIGINT AS train_group_count, NULL::BIGINT AS val_group_count, 'broken' AS note FROM {V.PRINTS} WHERE id % 101 = 0
+  UNION ALL SELECT 'cross_split_group', 'p' || (id::BIGINT % 39)::VARCHAR AS part, NULL, NULL, NULL, NULL, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'val') AS b, NULL FROM {_LEAK} GROUP BY part HAVING a > 0 AND b > 0
+  UNION ALL SELECT 'adjacent_frame', capture_key, t.id, v.id, abs(t.frame - v.frame), NULL, NULL, NULL, NULL FROM {_LEAK} t JOIN {_LEAK} v USING (capture_key) WHERE capture_key <> '' AND t.split = 'train' AND v.split = 'val' AND abs(t.frame - v.frame) <= 3
+  UNION ALL SELECT 'identical_hash', NULL, t.id, v.id, NULL, 0, t.n, v.n, NULL FROM {_LEAK_COUNTED} t JOIN {_LEAK_COUNTED} v ON t.hash = v.hash WHERE t.split = 'train' AND v.split = 'val' AND t.place <= 10 AND v.place <= 10 AND (t.id, v.id) NOT IN (SELECT (train_id, val_id) FROM {_LEAK_ADJ})
+  UNION ALL SELECT 'near_duplicate', NULL, train_id, val_id, NULL, distance, NULL, NULL, NULL FROM {_LEAK_PAIRS} WHERE {_NOT_ADJ}""")
+def leakage_report_whole(spark, d):
+    """All five risks with all their columns; ``leakage_report`` selects two of them. Parts by 39, as those by 40 never cross the splits."""
+    part = F.concat(F.lit("p"), (F.col("id").cast("long") % 39).cast("string"))
+    return leakage.leakage_report(leak_prints(spark, d).withColumn("part_key", part))
+
+
 @query(f"""SELECT split, count(*) AS lines, count(strict_error) AS faults, CASE WHEN split = 'val' THEN 0 ELSE (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) END::BIGINT AS missing, 0::BIGINT AS orphan, count(strict_error) = 0 AND split = 'val' AS passed FROM {V.VALIDATED} GROUP BY split""")
 def gate(spark, d):
     lines = V.validated(spark, d, "strict").select("split", "error_type")
@@ -755,6 +769,15 @@ def gate(spark, d):
     return lines.groupBy("split").agg(F.count("*").alias("lines")).join(out, "split")
 
 
+@query(f"""SELECT *, faults + missing + orphan = 0 AS passed FROM (SELECT split, count(*) AS lines, count(strict_error) AS faults, CASE WHEN split = 'val' THEN 0 ELSE (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) END::BIGINT AS missing, CASE WHEN split = 'val' THEN 0 ELSE (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')) END::BIGINT AS orphan FROM {V.VALIDATED} GROUP BY split)""")
+def gate_orphans(spark, d):
+    """The gate with orphans: labels without an English document, as in ``error_type_counts``, counted to train."""
+    lines = V.validated(spark, d, "strict").select("split", "error_type")
+    docs, labels = V.read(spark, d, "documents").withColumn("split", F.lit("train")), V.read(spark, d, "labels").withColumn("split", F.lit("train"))
+    out = freeze.gate(lines, pairing.missing_labels(docs, labels, ["doc_id"]), pairing.orphan_labels(docs.where("lang = 'en'"), labels, ["doc_id"]))
+    return lines.groupBy("split").agg(F.count("*").alias("lines")).join(out, "split")
+
+
 @query(f"SELECT count(*) AS repaired, 0::BIGINT AS still_faulty FROM {_REPAIRED}")
 def repair_then_strict(spark, d):
     fixed = V.validated(spark, d).where("fixed_line is not null").select(F.col("fixed_line").alias("raw"))

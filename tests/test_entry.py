@@ -41,3 +41,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_reports(spark):
+    risks = {r["risk_type"] for r in QUERIES["leakage_report_whole"](spark, DATA).select("risk_type").distinct().collect()}
+    assert {"full_decode_error", "cross_split_group", "near_duplicate"} <= risks
+    assert QUERIES["gate_orphans"](spark, DATA).agg({"orphan": "sum"}).first()[0] > 0
