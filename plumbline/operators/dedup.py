@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,19 +26,40 @@ def exact_duplicates(files: DataFrame, content: str, path: str) -> DataFrame:
     return hashed.join(firsts, "sha256").where(F.col(path) != F.col("first_path")).select(path, "first_path", "sha256")
 
 
-def dataset_digest(files: DataFrame, path: str, sha256: str, buckets: int | None = None) -> DataFrame:
-    """One digest of a set of files in path order. With ``buckets``, of digests by path bucket, so that no task gathers all paths; the number of buckets is
-    then part of the digest's definition."""
-    line = F.concat(F.col(path).cast("string"), F.lit(":"), F.col(sha256), F.lit("\n"))
-
-    def joined(pairs):
-        return F.array_join(F.transform(F.array_sort(F.collect_list(pairs)), lambda p: p["line"]), "")
-
-    rows = files.select(F.col(path).cast("string").alias("path"), line.alias("line"))
-    if buckets is None:
-        return rows.agg(F.sha2(joined(F.struct("path", "line")), 256).alias("digest"), F.count("*").alias("files"))
-    part = rows.groupBy(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(buckets)).alias("bucket")).agg(F.sha2(joined(F.struct("path", "line")), 256).alias("line"), F.count("*").alias("n"))
-    return part.agg(F.sha2(joined(F.struct("bucket", "line")), 256).alias("digest"), F.sum("n").alias("files"))
+def dataset_digest(files: DataFrame, path: str, sha256: str, buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
+    """One digest of a set of files in path order. With ``buckets`` (by CRC of the path) or an own integer ``bucket``, of digests by path bucket, made in many tasks; the buckets are
+    then part of the digest's definition. Sorted rows are streamed through the hash, so no task holds the paths of a bucket, however many there are."""
+    name = F.col(path).cast("string")
+    own = bucket if bucket is not None else F.lit(0) if buckets is None else F.pmod(F.crc32(name.cast("binary")), F.lit(buckets))
+    parts = _digests(files.select(own.cast("long").alias("bucket"), name.alias("path"), F.concat(name, F.lit(":"), F.col(sha256), F.lit("\n")).alias("line")))
+    if bucket is not None or buckets is not None:
+        parts = _digests(parts.select(F.lit(0).cast("long").alias("bucket"), F.format_string("%020d", "bucket").alias("path"), F.col("digest").alias("line"), "files"))
+    nothing = hashlib.sha256(b"").hexdigest()
+    return parts.agg(F.coalesce(F.first("digest"), F.lit(nothing)).alias("digest"), F.coalesce(F.sum("files"), F.lit(0).cast("long")).alias("files"))
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    """``bucket, digest, files``: the digest of each bucket's lines in path order; null lines are counted alone. ``rows``: ``bucket, path, line`` and perhaps the ``files`` of a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest, files = None, hashlib.sha256(), 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([digest.hexdigest()]), pa.array([files], pa.int64())], names=["bucket", "digest", "files"])
+
+        for batch in batches:
+            for bucket, line, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if files and bucket != last:
+                    yield made()
+                    digest, files = hashlib.sha256(), 0
+                last, files = bucket, files + n
+                digest.update((line or "").encode())
+        if files:
+            yield made()
+
+    n = F.col("files") if "files" in rows.columns else F.lit(1).cast("long")
+    dealt = rows.withColumn("files", n).repartition("bucket").sortWithinPartitions("bucket", "path", "line")
+    return dealt.select("bucket", "line", "files").mapInArrow(run, "bucket long, digest string, files long")
 
 
 def identical_hash_pairs(prints: DataFrame, exclude: DataFrame | None = None, each: int = 10, sides: tuple[str, str] = ("train", "val")) -> DataFrame:

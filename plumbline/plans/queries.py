@@ -536,9 +536,8 @@ def exact_duplicates(spark, d):
 @query("SELECT sha256(string_agg(line, '' ORDER BY bucket)) AS digest, sum(n)::BIGINT AS files FROM (SELECT bucket, sha256(string_agg(doc_id::VARCHAR || ':' || sha256(text) || chr(10), '' ORDER BY doc_id::VARCHAR)) AS line, count(*) AS n FROM (SELECT doc_id, text, doc_id % 16 AS bucket FROM documents) GROUP BY bucket)")
 def dataset_digest(spark, d):
     """Buckets here by id, as DuckDB has no CRC; the operator's own are by CRC of the path."""
-    rows = V.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), (F.col("doc_id") % 16).alias("bucket"))
-    parts = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("p"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), "sha256", F.lit("\n")).alias("line")))), lambda x: x["line"]), ""), 256).alias("line"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "line"))), lambda x: x["line"]), ""), 256).alias("digest"), F.sum("n").alias("files"))
+    rows = V.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return dedup.dataset_digest(rows, "doc_id", "sha256", bucket=F.col("doc_id") % 16)
 
 
 @query(f"""SELECT metric, before, after, after - before AS difference FROM (SELECT unnest(['lines', 'faulty']) AS metric, unnest([count(*)::DOUBLE, count(strict_error)::DOUBLE]) AS before, unnest([count(*)::DOUBLE, count(error_type)::DOUBLE]) AS after FROM {V.VALIDATED})""")

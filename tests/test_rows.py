@@ -78,3 +78,24 @@ def test_near_hash_pairs_are_whole(spark, monkeypatch):
     got = {tuple(r) for r in dedup.near_hash_pairs(spark.createDataFrame(rows, "id long, split string, hash long")).collect()}
     want = {(a, b, n) for a, s, x in rows if s == "train" for b, t, y in rows if t == "val" and (n := ((x ^ y) & (1 << 64) - 1).bit_count()) <= 4}
     assert got == want and (1, 0, 4) in want and len(want) > 90_000
+
+
+def test_dataset_digest_holds_no_group(spark):
+    import hashlib
+    import zlib
+
+    from plumbline.operators.dedup import dataset_digest
+
+    names = [f"f{k}" for k in range(300)]
+    files = spark.createDataFrame([(n, f"s{n}") for n in names], "path string, sha256 string")
+
+    def digest(lines):
+        return hashlib.sha256("".join(lines).encode()).hexdigest()
+
+    for buckets in (None, 16):
+        out = dataset_digest(files, "path", "sha256", buckets)
+        assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+        by = [sorted(n for n in names if buckets is None or zlib.crc32(n.encode()) % buckets == k) for k in range(buckets or 1)]
+        parts = [digest(f"{n}:s{n}\n" for n in b) for b in by if b]
+        assert tuple(out.first()) == (parts[0] if buckets is None else digest(parts), 300)
+    assert tuple(dataset_digest(files.limit(0), "path", "sha256").first()) == (digest([]), 0)
