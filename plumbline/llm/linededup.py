@@ -132,7 +132,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 lines = Lines(data, at, max(least_words, near_words - 1))
                 row = batch.column(0).to_numpy()[lines.text + start]
                 use = np.flatnonzero(in_emitting.value.test(combine(row, lines.line).view(np.uint64)))
-                own, gap, h = lines.without_one(use)
+                # a line one word short of the bound is met by longer ones alone: its own shorter variants would only hide valid partners
+                own, gap, h = lines.without_one(use[lines.count[use] >= near_words])
                 own, gap, h = np.concatenate([use, own]), np.concatenate([np.full(len(use), -1), gap]), np.concatenate([lines.whole()[use], h])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(gap.astype(np.int32)), pa.array(row[own]), batch.column(1).take(pa.array(lines.text[own] + start)), pa.array(lines.line[own].astype(np.int32))], names=["h", "gap", "row", "id", "line"])
 

@@ -354,3 +354,12 @@ def test_crowded_buckets_are_compared_whole(spark, tmp_path, monkeypatch):
     want = sorted(module.near_duplicates(docs, side=2).collect())
     monkeypatch.setattr(module, "MOST", 2)
     assert sorted(module.near_duplicates(docs, side=2).collect()) == want
+
+
+def test_short_line_hides_no_valid_partner(spark, tmp_path):
+    from plumbline.llm.linededup import dedup_lines
+
+    a, b, c = "k1 k2 k3 x4 k5 k6 k7", "k1 k2 k3 k4 k5 k6 k7 k8", "k1 k2 k3 k4 k5 k6 k7"
+    spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == {1: (a, 0), 2: (b, 0), 3: ("", 1)}
