@@ -137,12 +137,17 @@ def in_format(kind: Column, mention: Column, chosen: Column) -> Column:
 
 def choose(entities: DataFrame, key: str) -> DataFrame:
     """``kind, norm, chosen`` for distinct ``kind, norm``: no two of a kind share a surrogate, and none is an entity of the corpus."""
-    originals = entities.select("kind", F.col("norm").alias("candidate"))
+    originals = entities.select("kind", F.col("norm").alias("form"))
     left, done = entities, None
+
+    def form(c: str) -> Column:
+        """The normal form of a surrogate: names are drawn with capitals."""
+        return F.when(F.col("kind") == "person", F.lower(c)).otherwise(F.col(c)).alias("form")
+
     for draw in range(DRAWS):
         drawn = left.withColumn("candidate", surrogate(F.col("kind"), F.col("norm"), F.lit(draw), key))
-        taken = originals if done is None else originals.unionByName(done.select("kind", F.col("chosen").alias("candidate")))
-        free = drawn.join(taken, ["kind", "candidate"], "left_anti")
+        taken = originals if done is None else originals.unionByName(done.select("kind", form("chosen")))
+        free = drawn.withColumn("form", form("candidate")).join(taken, ["kind", "form"], "left_anti")
         winners = free.groupBy("kind", "candidate").agg(F.min("norm").alias("norm")).select("kind", "norm", F.col("candidate").alias("chosen"))
         won = store.keep(winners, "surrogates")
         done = won if done is None else done.unionByName(won)

@@ -363,3 +363,16 @@ def test_short_line_hides_no_valid_partner(spark, tmp_path):
     spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(spark.read.parquet(str(tmp_path / "d"))).collect()}
     assert got == {1: (a, 0), 2: (b, 0), 3: ("", 1)}
+
+
+def test_surrogate_is_no_person_of_the_corpus(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.surrogates import choose, surrogate
+
+    real = spark.createDataFrame([("person", "mr smith"), ("person", "mrs ana jones")], "kind string, norm string")
+    planted = real.select("kind", F.lower(surrogate(F.col("kind"), F.col("norm"), F.lit(0), "k")).alias("norm"))
+    names = real.unionByName(planted).localCheckpoint()
+    taken = {r["norm"] for r in names.collect()}
+    chosen = [r["chosen"].lower() for r in choose(names, "k").collect()]
+    assert len(taken) == 4 == len(set(chosen)) and not taken & set(chosen)
