@@ -34,6 +34,8 @@ PATTERNS = {
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What a text with an entity has at least, cheaper to look for: each pattern needs a digit, ``@``, a title before a name, or a secret's prefix or letters.
+CHEAP = rf"[0-9@]|(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? \p{{Lu}}|AKIA[A-Z]|(?:sk|ghp|pat)[-_]|[a-f]{{32}}"
 
 # Alphabets by script and case, and syllables that surrogate names are made of.
 ALPHABETS = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("[ß-öø-ÿ]", "àáâäèéêëìíîïòóôöùúûü"), ("[À-ÖØ-Þ]", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ"), ("[а-яё]", "абвгдежзийклмнопрстуфхцчшщыэюя"), ("[А-ЯЁ]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")]
@@ -169,7 +171,7 @@ def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_
     rows = docs.select(*columns)
     found = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0)
     row_key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.sha2(F.col(text_col), 256)
-    cheap = F.coalesce(F.col(text_col).rlike(r"[0-9@]|\b(?:" + "|".join(t for g in TITLES.values() for t in g) + r")\b"), F.lit(False))
+    cheap = F.coalesce(F.col(text_col).rlike(CHEAP), F.lit(False))
     mentions = rows.where(cheap).select(row_key[0].alias("k"), row_key[1].alias("digest"), F.posexplode(found).alias("at", "mention"))
     mentions = mentions.withColumn("kind", kind_of(F.col("mention"))).withColumn("norm", normal_form(F.col("kind"), F.col("mention")))
     mentions = store.keep(mentions, "mentions")

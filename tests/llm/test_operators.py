@@ -376,3 +376,11 @@ def test_surrogate_is_no_person_of_the_corpus(spark):
     taken = {r["norm"] for r in names.collect()}
     chosen = [r["chosen"].lower() for r in choose(names, "k").collect()]
     assert len(taken) == 4 == len(set(chosen)) and not taken & set(chosen)
+
+
+def test_secrets_of_letters_alone(spark):
+    from plumbline.llm.surrogates import replace_entities
+
+    texts = ["key AKIA" + "QWERTYUIOPASDFGH", "key sk-" + "abcdefghijklmnopqrst", "key pat_" + "ABCDEFGHijklmnopqrst", "key " + "abcdefab" * 4, "met _Mr Smith", "plain sk words"]
+    got = dict(replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").select("doc_id", "n_entities").collect())
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
