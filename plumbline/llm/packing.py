@@ -5,9 +5,11 @@ The number of ways to fill a row depends on the lengths alone, so the plan is ma
 
     minimise sum x_c  subject to  sum_c x_c * count(c, l) >= n_l  for every length l
 
-is solved by multiplicative weights: each round prices the lengths, a knapsack dynamic program finds the fullest
-configuration at these prices, and the prices of the lengths that it serves fall. The mean of the configurations is rounded down
-and the rest is placed best-fit decreasing. Pieces then find their row by their rank within their length.
+is solved by multiplicative weights. The price of a length falls exponentially with the share of its pieces that is covered (``cover``), and each step
+adds the configuration that a knapsack dynamic program finds for the prices. The program runs over the lengths with the dearest tokens and a draw of others first; as no
+configuration is worth more than a row of the dearest tokens, its value shows by how much it may miss the best one, and where it
+misses more, more lengths are priced. The same reasoning makes the prices a dual solution, a lower bound on the rows. The fractional solution is rounded: the fullest configurations get whole
+rows while their pieces last, and the program is solved again for what is left. Only a last remainder, ``REMAINDER`` of the tokens, is placed by best-fit decreasing. Pieces then find their row by their rank within their length.
 """
 
 from __future__ import annotations
@@ -25,87 +27,140 @@ from plumbline.llm import store
 from plumbline.llm.encoders import encoder
 from plumbline.llm.textbytes import slices
 
-#: Rounds of multiplicative weights; each is one dynamic program over the capacity.
-ROUNDS = 150
-
-
-def price_knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of greatest total price: length -> copies. Unbounded knapsack over positive lengths."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
-    for room in range(1, capacity + 1):
-        fits = int(np.searchsorted(lengths, room, "right"))
-        best[room] = best[room - 1]
-        if fits:
-            value = prices[:fits] + best[room - lengths[:fits]]
-            k = int(np.argmax(value))
-            if value[k] > best[room]:
-                best[room], took[room] = value[k], k
-    out: Counter[int] = Counter()
-    room = capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            out[int(lengths[took[room]])] += 1
-            room -= int(lengths[took[room]])
-    return dict(out)
-
-
-def best_fit_decreasing(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Rows for what rounding left over: each row takes, again and again, the longest length that still fits and is left.
-    Equal rows are made together, so the work follows the number of different rows."""
-    out = []
-    left = {l: n for l, n in left.items() if n > 0}
-    while left:
-        room, row = capacity, Counter()
-        for l in sorted(left, reverse=True):
-            copies = min(left[l], room // l)
-            if copies:
-                row[l] += copies
-                room -= copies * l
-        times = min(left[l] // n for l, n in row.items())
-        for l, n in row.items():
-            left[l] -= n * times
-            if not left[l]:
-                del left[l]
-        out.append((dict(row), times))
-    return out
-
-
-def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """[(configuration, number of rows)] that together hold each length exactly ``histogram`` times."""
-    todo = {l: n for l, n in histogram.items() if n > 0 and 0 < l < capacity}
-    out = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
-    if not todo:
-        return out
-    lengths = np.array(sorted(todo))
-    need = np.array([todo[l] for l in lengths], float)
-    # prices start at the share of a row that a length takes, the dual solution when rows can be filled exactly
-    log_price = np.log(lengths / capacity)
-    used: Counter[tuple[tuple[int, int], ...]] = Counter()
-    served = np.zeros(len(lengths))
-    goal = need / need.sum()
-    for k in range(rounds):
-        prices = np.exp(log_price - log_price.max())
-        config = price_knapsack(prices, lengths, capacity)
-        used[tuple(sorted(config.items()))] += 1
-        got = np.zeros(len(lengths))
-        at = np.searchsorted(lengths, list(config))
-        got[at] = list(config.values())
-        served += got
-        # a length that is ahead of its share loses price, one behind gains; the step shrinks as the mean settles
-        ahead = served / served.sum() - goal
-        log_price -= (4.0 / np.sqrt(k + 1.0)) * np.clip(got / max(1.0, got.max()) - goal * got.sum() / max(1.0, got.max()), -1, 1) + np.clip(ahead / (goal + 1.0 / need.sum()), -1, 1) * 0.02
-    left = dict(zip(lengths.tolist(), need.astype(np.int64).tolist(), strict=True))
-    # the LP value of each configuration: its share of the rounds, scaled to the rows that the volume needs
-    rows = float(np.dot(lengths, need)) / capacity
-    for config, times in used.most_common():
-        share = int(min(rows * times / rounds, min(left[l] // n for l, n in config)))
-        if share > 0:
-            out.append((dict(config), share))
-            for l, n in config:
-                left[l] -= n * share
-    return out + best_fit_decreasing(left, capacity)
+#: Share of a length's pieces that one step may cover, the rate at which its price falls with the share covered, and the shortfall of a
+#: configuration's value that is taken.
+STEP, RATE, SLACK = 0.34, 0.7, 0.03
+#: Lengths of the knapsack that is tried first, half of them the dearest, and of the one that is tried last.
+DEAREST, WIDEST = 64, 256
+#: Share of the tokens that a solution covers before it is rounded, and share that is left to best-fit decreasing in the end.
+COVERED, REMAINDER = 0.9, 0.06
+#: How much dearer the tokens of the longest pieces start, so that short ones are spared for filling: the first, and those tried while the rows are more
+#: than ``GAP`` over the bound.
+LARGE, GAP = (0.05, 0.3, 1.0, 3.0), 0.001
+#: Share of the fractional rows, the fullest, that get whole rows.
+FULLEST = 0.7
+
+#: Pieces of one length that are numbered in one window.
+BUCKET_PIECES = 100_000
+
+Configuration = dict[int, int]
+
+
+def price_knapsack(prices: np.ndarray, lengths: np.ndarray, available: np.ndarray, capacity: int) -> tuple[float, Configuration]:
+    """(value, configuration) of greatest total price within ``capacity`` and the ``available`` pieces; copies go in by powers of two."""
+    items: list[tuple[int, int]] = []  # (index, copies)
+    for k, (l, n) in enumerate(zip(lengths.tolist(), available.tolist(), strict=True)):
+        left, times = min(n, capacity // l), 1
+        while left > 0:
+            items.append((k, min(times, left)))
+            left, times = left - min(times, left), times * 2
+    best = np.zeros(capacity + 1)
+    took = np.zeros((len(items), capacity + 1), bool)
+    for i, (k, times) in enumerate(items):
+        w = int(lengths[k]) * times
+        with_it = best[: capacity + 1 - w] + prices[k] * times
+        np.greater(with_it, best[w:], out=took[i, w:])
+        np.maximum(with_it, best[w:], out=best[w:])
+    room, out = capacity, {}
+    for i in range(len(items) - 1, -1, -1):
+        if took[i, room]:
+            k, times = items[i]
+            out[int(lengths[k])] = out.get(int(lengths[k]), 0) + times
+            room -= int(lengths[k]) * times
+    return float(best[capacity]), out
+
+
+def best_fit_decreasing(left: Configuration, capacity: int) -> list[tuple[Configuration, int]]:
+    """Rows for what rounding left over: pieces, longest first, each into the fullest row that has room. Equal rows are filled together."""
+    open_rows: dict[int, list[tuple[Configuration, int]]] = {}  # room -> (row, how many)
+    for l in sorted((l for l, n in left.items() if n > 0), reverse=True):
+        n = left[l]
+        while n:
+            room = min((r for r in open_rows if r >= l), default=None)
+            row, times = open_rows[room].pop() if room is not None else ({}, n)
+            if room is not None and not open_rows[room]:
+                del open_rows[room]
+            room = capacity if room is None else room
+            copies = min(room // l, n)
+            use = min(times, n // copies)
+            if use < times and row:
+                open_rows.setdefault(room, []).append((row, times - use))
+            open_rows.setdefault(room - copies * l, []).append(({**row, l: copies}, use))
+            n -= copies * use
+    return [x for rows in open_rows.values() for x in rows]
+
+
+def cover(need: Configuration, capacity: int, seed: int = 0, large: float = LARGE[0]) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """(fractional rows of each configuration, lower bound on the rows) of the covering program by multiplicative weights, up to ``COVERED`` of the tokens.
+    Short of all, so that every row still finds pieces to be filled with and what is left has the mix of the whole."""
+    rng = np.random.default_rng(seed)
+    lengths = np.array(sorted(need, reverse=True))
+    wanted = np.array([need[l] for l in lengths], float)
+    tokens = wanted * lengths
+    covered = np.zeros(len(lengths))
+    out: dict[tuple[tuple[int, int], ...], float] = {}
+    bound = 0.0
+    while np.dot(tokens, covered) < COVERED * tokens.sum():
+        # one price for each token is the dual solution where rows can be filled; coverage then moves the prices
+        price = np.exp(-RATE * covered) * (1 + large * lengths / capacity)
+        bound = max(bound, float(np.dot(tokens, price)) / capacity / float(price.max()))
+        todo = np.flatnonzero(covered < 1 - 1e-9)
+        todo = todo[np.argsort(-price[todo], kind="stable")]
+        left = np.ceil(wanted * (1 - covered) - 1e-9).astype(np.int64)
+        # no configuration is worth more than the dearest tokens that are left
+        room = np.clip(capacity - np.concatenate([[0], np.cumsum((left * lengths)[todo])[:-1]]), 0, (left * lengths)[todo])
+        most = float(np.dot(room, price[todo]))
+        others, use = rng.permutation(todo[DEAREST // 2 :]), DEAREST // 2
+        while True:
+            own = np.sort(np.concatenate([todo[: DEAREST // 2], others[:use]]))
+            value, config = price_knapsack(price[own] * lengths[own], lengths[own], left[own], capacity)
+            if value >= (1 - SLACK) * most or sum(l * n for l, n in config.items()) == capacity or use >= min(WIDEST, len(others)):
+                break
+            use *= 4
+        at = np.searchsorted(-lengths, -np.array(list(config)))
+        copies = np.array(list(config.values()), float)
+        rows = float(min(STEP * (wanted[at] / copies).min(), ((1 - covered[at]) * wanted[at] / copies).max()))
+        covered[at] += rows * copies / wanted[at]
+        key = tuple(sorted(config.items()))
+        out[key] = out.get(key, 0.0) + rows
+    return out, bound
+
+
+def plan(histogram: Configuration, capacity: int) -> tuple[list[tuple[Configuration, int]], int]:
+    """[(configuration, number of rows)] that together hold each length exactly ``histogram`` times, and how many of these rows the linear program placed."""
+    bound, best = -(-sum(l * n for l, n in histogram.items()) // capacity), None
+    for large in LARGE:
+        got = _solved(histogram, capacity, large)
+        if best is None or sum(n for _, n in got[0]) < sum(n for _, n in best[0]):
+            best = got
+        if sum(n for _, n in best[0]) <= max(bound + 1, bound * (1 + GAP)):
+            break
+    return best
+
+
+def _solved(histogram: Configuration, capacity: int, large: float) -> tuple[list[tuple[Configuration, int]], int]:
+    left = {l: n for l, n in histogram.items() if n > 0 and l < capacity}
+    out: dict[tuple[tuple[int, int], ...], int] = {((capacity, 1),): histogram[capacity]} if histogram.get(capacity) else {}
+    total, seed = sum(l * n for l, n in left.items()), 0
+    while sum(l * n for l, n in left.items()) > max(REMAINDER * total, 2 * capacity):
+        solution, _ = cover(left, capacity, seed, large)
+        seed, before = seed + 1, sum(out.values())
+        order = sorted(solution, key=lambda c: (-sum(l * n for l, n in c), -solution[c], c))
+        fill = [sum(l * n for l, n in c) for c in order]
+        enough = fill[min(len(fill) - 1, int(np.searchsorted(np.cumsum([solution[c] for c in order]), FULLEST * sum(solution.values()))))]
+        for config, full in zip(order, fill, strict=True):
+            if full < enough:
+                break  # what fills rows worse is solved again with what is left
+            whole = min(min(left.get(l, 0) // n for l, n in config), int(solution[config]) or 1)
+            if whole:
+                out[config] = out.get(config, 0) + whole
+                for l, n in config:
+                    left[l] -= n * whole
+        left = {l: n for l, n in left.items() if n}
+        if sum(out.values()) == before:
+            break
+    placed = sum(out.values())
+    return [(dict(c), n) for c, n in out.items()] + best_fit_decreasing(left, capacity), placed
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -136,14 +191,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048,
 def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, id_col: str = "doc_id", buckets: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` is read twice: give a kept table.
 
-    Collected to the driver: the histogram, at most ``capacity`` rows. Sent to the tasks: the plan, at most ``ROUNDS``
-    configurations and one more for each length.
+    Collected to the driver: the histogram, at most ``capacity`` rows. Sent to the tasks: the plan, some thousand configurations, a number that follows the
+    number of different lengths and not that of the pieces.
     """
     spark = pieces.sparkSession
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, base = [], 0
     upto: Counter[int] = Counter()
-    for config, rows in plan(histogram, capacity):
+    for config, rows in plan(histogram, capacity)[0]:
         offset = 0
         for l, n in sorted(config.items(), reverse=True):
             slots.append((l, upto[l], n, base, offset))
@@ -154,7 +209,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, id_col: str = "doc_i
     chosen = spark.sparkContext.broadcast([np.array(c, np.int64) for c in zip(*slots, strict=True)] if slots else None)
 
     # rank within a length: place within (length, bucket), plus the pieces of the length in earlier buckets
-    buckets = buckets or max(32, spark.sparkContext.defaultParallelism * 4)
+    buckets = buckets or max(32, -(-max(histogram.values(), default=0) // BUCKET_PIECES))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int"))
     within = dealt.withColumn("place", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id_col, "piece", "ids_crc32")).cast("long") - 1)
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
