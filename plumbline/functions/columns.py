@@ -6,6 +6,7 @@ beyond that or not a number (NaN and infinities are hard everywhere).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,12 @@ SOFT_LOW, SOFT_HIGH = -0.01, 1.01
 SMALL_AREA, MEDIUM_AREA = 1024.0, 9216.0
 #: Line ends of a label file; a file may mix them.
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
+_NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:nan|inf|infinity))$"
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it. Unlike a step of its own it leaves columns that nobody asks for to be pruned."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def sample_key(path: Column) -> Column:
@@ -42,7 +47,7 @@ def tokens(raw: Column) -> Column:
 
 def number(token: Column) -> Column:
     """The token as a double, null if it isn't one. Forms that only some parsers take (1d, 1f, 1_0, 0x1) are not numbers."""
-    return F.when(token.rlike(_NUMBER) | token.rlike(_NOT_FINITE), token.try_cast("double"))
+    return let(token, lambda t: F.when(t.rlike(_NUMBER), t.try_cast("double")))
 
 
 def finite(x: Column) -> Column:
@@ -51,8 +56,12 @@ def finite(x: Column) -> Column:
 
 def integral_class(token: Column) -> Column:
     """The class id, null if the token is not numeric, not integral or negative."""
-    v = number(token)
-    return F.when(finite(v) & (v == F.floor(v)) & (v >= 0) & (v < 2147483648.0), v.cast("int"))
+    return let(number(token), lambda v: F.when(finite(v) & (v == F.floor(v)) & (v >= 0) & (v < 2147483648.0), v.cast("int")))
+
+
+def line_class(raw: Column) -> Column:
+    """``integral_class`` of a line's first token, without parsing the rest."""
+    return integral_class(F.regexp_extract(raw, r"(\S+)", 1))
 
 
 def inside(x: Column) -> Column:
@@ -140,12 +149,21 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def _parsed(lines: DataFrame, raw: str) -> DataFrame:
-    """Lines with ``_t`` tokens, ``_rest`` of them, ``_cls``, ``_coords``, ``_used`` (clamped) and ``_p`` points."""
-    step = staged(lines, _t=tokens(F.col(raw)))
-    step = staged(step, _rest=F.slice("_t", F.lit(2), F.greatest(F.size("_t") - 1, F.lit(0))), _cls=integral_class(F.get("_t", F.lit(0))))
-    step = staged(step, _coords=F.transform("_rest", number))
-    return staged(step, _used=F.transform("_coords", clamp01), _p=points(F.col("_coords")), _null=F.exists("_coords", lambda v: v.isNull()))
+def _parsed(raw: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a line's ``head`` token, its number of tokens ``size``, the ``rest`` of them, their ``coords``, and ``used``, those clamped."""
+
+    def of_tokens(t: Column) -> Column:
+        return F.struct(F.get(t, F.lit(0)).alias("head"), F.size(t).alias("size"), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))).alias("rest"))
+
+    def with_coords(x: Column) -> Column:
+        return let(F.transform(x["rest"], number), lambda c: F.struct(x["head"].alias("head"), x["size"].alias("size"), x["rest"].alias("rest"), c.alias("coords"), F.transform(c, clamp01).alias("used"), F.exists(c, lambda v: v.isNull()).alias("null"), integral_class(x["head"]).alias("cls")))
+
+    return let(let(let(tokens(raw), of_tokens), with_coords), f)
+
+
+def _first_point(coords: Column, ok: Callable[[Column], Column]) -> Column:
+    """Number of the first point with a coordinate that isn't ``ok``, 0 if there is none."""
+    return F.floor((F.array_position(F.transform(coords, ok), False) + 1) / 2).cast("long")
 
 
 def validate_lines(lines: DataFrame, num_classes: int | None = None, mode: str = "strict", raw: str = "raw") -> DataFrame:
@@ -155,53 +173,67 @@ def validate_lines(lines: DataFrame, num_classes: int | None = None, mode: str =
     three points), polygon_coordinate_range (a point beyond the tolerance; in mode ``strict`` any point outside [0, 1]), polygon_geometry (under three
     distinct points). In other modes soft points are clamped: only clamped tokens are rewritten, as 0 or 1, and points and offset are reported.
     """
-    step = _parsed(lines, raw)
-    good = F.transform("_p", lambda q: within_tolerance(q["x"]) & within_tolerance(q["y"]))
-    fine = F.transform("_p", lambda q: inside(q["x"]) & inside(q["y"]))
-    step = staged(step, _hard=F.array_position(good, False), _fine=fine, _distinct=distinct_points(F.col("_coords")), _distinct_used=distinct_points(F.col("_used")), _n=F.size("_rest"))
-    soft, hard, n = F.array_position("_fine", False), F.col("_hard"), F.col("_n")
-    bad_class = F.col("_cls").isNull() if num_classes is None else F.col("_cls").isNull() | (F.col("_cls") >= num_classes)
     strict = mode == "strict"
-    error = (
-        F.when(F.size("_t") == 0, "polygon_format").when(bad_class, "class_id").when(F.col("_null"), "polygon_non_numeric").when(n == 4, "bbox_format")
-        .when((n % 2 == 1) | (n < 6), "polygon_coordinate_count").when(hard > 0, "polygon_coordinate_range").when(F.lit(strict) & (soft > 0), "polygon_coordinate_range")
-        .when(F.when(soft > 0, F.col("_distinct_used")).otherwise(F.col("_distinct")) < 3, "polygon_geometry")
-    )
-    step = staged(step, error_type=error, _soft=soft)
-    message = F.when(F.col("error_type") == "class_id", F.get("_t", F.lit(0))).when(F.col("error_type") == "polygon_coordinate_count", n.cast("string")).when(F.col("error_type") == "polygon_coordinate_range", F.concat(F.lit("point "), F.when(hard > 0, hard).otherwise(F.col("_soft")).cast("string")))
-    fixed = F.col("error_type").isNull() & (F.col("_soft") > 0)
-    rewritten = F.zip_with("_rest", "_coords", lambda s, v: F.when(inside(v), s).when(v < 0, "0").otherwise("1"))
-    out = step.withColumns({
-        "message": message,
-        "fixed_line": F.when(fixed, F.concat_ws(" ", F.get("_t", F.lit(0)), F.array_join(rewritten, " "))),
-        "fixed_points": F.when(fixed, F.size(F.filter("_fine", lambda x: ~x))),
-        "max_offset": F.when(fixed, F.array_max(F.transform("_coords", overflow))),
-    })
-    return out.drop(*(c for c in out.columns if c.startswith("_")))
+
+    def checked(x: Column) -> Column:
+        n = F.size(x["rest"])
+        bad_class = x["cls"].isNull() if num_classes is None else x["cls"].isNull() | (x["cls"] >= num_classes)
+        soft = _first_point(x["coords"], inside)
+        early = (
+            F.when(x["size"] == 0, "polygon_format").when(bad_class, "class_id").when(x["null"], "polygon_non_numeric").when(n == 4, "bbox_format")
+            .when((n % 2 == 1) | (n < 6), "polygon_coordinate_count")
+        )
+        return let(F.struct(early.alias("early"), F.when(early.isNull(), soft).alias("soft")), lambda y: let(y_error(x, y), lambda z: outcome(x, y, z)))
+
+    def y_error(x: Column, y: Column) -> Column:
+        hard = F.when(y["soft"] > 0, _first_point(x["coords"], within_tolerance)).otherwise(F.lit(0).cast("long"))
+        late = lambda h: F.when(h > 0, "polygon_coordinate_range").when(F.lit(strict) & (y["soft"] > 0), "polygon_coordinate_range").when(distinct_points(x["used"]) < 3, "polygon_geometry")
+        return let(hard, lambda h: F.struct(h.alias("hard"), F.coalesce(y["early"], late(h)).alias("error")))
+
+    def outcome(x: Column, y: Column, z: Column) -> Column:
+        message = F.when(z["error"] == "class_id", x["head"]).when(z["error"] == "polygon_coordinate_count", F.size(x["rest"]).cast("string")).when(z["error"] == "polygon_coordinate_range", F.concat(F.lit("point "), F.when(z["hard"] > 0, z["hard"]).otherwise(y["soft"]).cast("string")))
+        fixed = z["error"].isNull() & (y["soft"] > 0)
+        rewritten = F.zip_with(x["rest"], x["coords"], lambda s, v: F.when(inside(v), s).when(v < 0, "0").otherwise("1"))
+        return F.struct(
+            z["error"].alias("error_type"), message.alias("message"), F.when(fixed, F.concat_ws(" ", x["head"], F.array_join(rewritten, " "))).alias("fixed_line"),
+            F.when(fixed, F.size(F.filter(points(x["coords"]), lambda q: ~(inside(q["x"]) & inside(q["y"]))))).alias("fixed_points"), F.when(fixed, F.array_max(F.transform(x["coords"], overflow))).alias("max_offset"),
+        )
+
+    names = ("error_type", "message", "fixed_line", "fixed_points", "max_offset")
+    own = [c for c in lines.columns if c not in names]
+    return lines.select(*own, _parsed(F.col(raw), checked).alias("_v")).select(*own, *(F.col(f"_v.{c}").alias(c) for c in names))
 
 
 def parse_instances(lines: DataFrame, class_ids: list[int], raw: str = "raw") -> DataFrame:
     """``lines`` with ``class_id, coords, geometry_status, hard_error, soft_error``: label lines for the statistics.
 
-    The class counts before the coordinates are looked at. A line has at most two errors: a soft range error, and then the geometry that clamping
-    leaves. ``geometry_status`` is valid, soft_clipped or null; ``coords`` are the clamped ones.
+    The class counts before the coordinates are looked at, and is read on its own: counts of classes parse no coordinates. A line has at most two errors: a
+    soft range error, and then the geometry that clamping leaves. ``geometry_status`` is valid, soft_clipped or null; ``coords`` are the clamped ones.
     """
-    step = _parsed(lines, raw)
-    known = F.col("_cls").isNotNull() & F.col("_cls").isin(*class_ids)
-    step = staged(step, _known=F.coalesce(known, F.lit(False)), _outside=F.exists("_coords", lambda v: ~inside(v)), _all_soft=F.forall("_coords", within_tolerance), _flat=(distinct_points(F.col("_used")) < 3) | (area(F.col("_used")) <= 0))
-    hard = (
-        F.when(~F.col("_known"), "class_id").when((F.size("_t") < 7) | (F.size("_coords") % 2 == 1), "polygon_coordinate_count").when(F.col("_null"), "polygon_coordinate_value")
-        .when(F.col("_outside") & ~F.col("_all_soft"), "polygon_coordinate_range").when(F.col("_flat"), "polygon_geometry")
-    )
-    step = staged(step, hard_error=hard)
-    ok = F.col("hard_error").isNull()
-    out = step.withColumns({
-        "class_id": F.when(F.col("_known"), F.col("_cls")),
-        "coords": F.when(ok, F.col("_used")),
-        "geometry_status": F.when(ok, F.when(F.col("_outside"), "soft_clipped").otherwise("valid")),
-        "soft_error": F.when(ok | (F.col("hard_error") == "polygon_geometry"), F.col("_outside")).otherwise(F.lit(False)),
-    })
-    return out.drop(*(c for c in out.columns if c.startswith("_")))
+
+    def known(c: Column) -> Column:
+        return F.coalesce(c.isin(*class_ids), F.lit(False))
+
+    def checked(x: Column) -> Column:
+        early = F.when(~known(x["cls"]), "class_id").when((x["size"] < 7) | (F.size(x["coords"]) % 2 == 1), "polygon_coordinate_count").when(x["null"], "polygon_coordinate_value")
+        outside = F.exists(x["coords"], lambda v: ~inside(v))
+        return let(F.struct(early.alias("early"), F.when(early.isNull(), outside).otherwise(F.lit(False)).alias("outside")), lambda y: let(y_error(x, y), lambda e: outcome(x, y, e)))
+
+    def y_error(x: Column, y: Column) -> Column:
+        flat = (distinct_points(x["used"]) < 3) | (area(x["used"]) <= 0)
+        return F.coalesce(y["early"], F.when(y["outside"] & ~F.forall(x["coords"], within_tolerance), "polygon_coordinate_range").when(flat, "polygon_geometry"))
+
+    def outcome(x: Column, y: Column, e: Column) -> Column:
+        ok = e.isNull()
+        return F.struct(
+            F.when(ok, x["used"]).alias("coords"), F.when(ok, F.when(y["outside"], "soft_clipped").otherwise("valid")).alias("geometry_status"), e.alias("hard_error"),
+            F.when(ok | (e == "polygon_geometry"), y["outside"]).otherwise(F.lit(False)).alias("soft_error"),
+        )
+
+    names = ("coords", "geometry_status", "hard_error", "soft_error")
+    own = [c for c in lines.columns if c not in (*names, "class_id")]
+    cls = let(line_class(F.col(raw)), lambda c: F.when(known(c), c))
+    return lines.select(*own, cls.alias("class_id"), _parsed(F.col(raw), checked).alias("_v")).select(*own, "class_id", *(F.col(f"_v.{c}").alias(c) for c in names))
 
 
 def coordinate_issues(coords: Column) -> Column:

@@ -17,6 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is one file, which one task would read and work on alone, over all cores; other tables as they are."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, image_id, split, class_id, coords, width, height``: four points from the first eight components."""
     image = F.when(F.col("vec_id") % 3 == 2, F.col("vec_id") - 1).otherwise(F.col("vec_id"))
@@ -45,7 +50,8 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cls = F.when(p % 53 == 0, "x").when(p % 47 == 0, "2.5").when(p % 43 == 0, "99").otherwise((p % CLASSES).cast("string"))
     count = F.when(p % 41 == 0, 4).when(p % 37 == 0, 7).otherwise(8)
     raw = F.when(p % 71 == 0, "").otherwise(F.concat_ws(" ", cls, F.array_join(F.slice(F.array(*(coordinate(i) for i in range(8))), F.lit(1), count), " ")))
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.when(F.col("l_orderkey") % 10 == 0, "val").otherwise("train").alias("split"), n.alias("line_no"), raw.alias("raw"))
+    rows = staged(spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), raw=raw)  # made once, as if it were read
+    return rows.select(F.col("l_orderkey").alias("file_id"), F.when(F.col("l_orderkey") % 10 == 0, "val").otherwise("train").alias("split"), n.alias("line_no"), "raw")
 
 
 def _coordinate_sql(i: int) -> str:
@@ -162,7 +168,7 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.functions.columns import difference_hash
 
     cell = [((F.length("text") - F.length(F.replace(F.col("text"), F.lit(g)))) / len(g)).cast("int") for g in GRID]
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"), "text")
+    rows = spread(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"), "text")
     return staged(rows, grid=F.array(*cell)).select("id", "split", difference_hash(F.col("grid")).alias("hash"))
 
 
