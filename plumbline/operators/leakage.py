@@ -31,6 +31,12 @@ def risk_counts(risks: DataFrame) -> DataFrame:
     return risks.groupBy("risk_type").agg(F.count("*").alias("n"))
 
 
+def refresh(risks: DataFrame, dropped: str = "full_decode_error") -> tuple[DataFrame, DataFrame]:
+    """A stored report after its files were filtered: the rows without the type that filtering settles, and their counts."""
+    left = risks.where(F.col("risk_type") != dropped)
+    return left, risk_counts(left)
+
+
 def leakage_report(prints: DataFrame, threshold: int = 4, capped: bool = False) -> DataFrame:
     """All risks in one table; ``capped``: near duplicates within the reference's limits only. ``prints``: ``id, split, capture_key, frame, part_key, hash, decode_error``; rows with a decode error are reported and take no further
     part."""

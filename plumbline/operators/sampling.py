@@ -64,16 +64,18 @@ def balanced_sample(df: DataFrame, key: str, splits: list[str], n: int, seed: in
 
 def class_diverse(df: DataFrame, key: str, classes: str, count: int) -> DataFrame:
     """``count`` rows chosen greedily: each round takes the row with most classes not covered yet (ties to the smaller key) until none adds any, then the rest in key
-    order. One distributed top-1 a round, at most as many rounds as there are classes."""
+    order. Rows with the same classes compete by key alone, so the rounds look at one row for each set of classes; at most as many rounds as there are classes."""
+    kind = df.schema[classes].dataType
+    sets = df.where(F.size(classes) > 0).groupBy(F.array_sort(F.array_distinct(classes)).alias("_set")).agg(F.min(key).alias("_key")).cache()
     chosen, covered = [], []
     while len(chosen) < count:
-        left = df.where(~F.col(key).isin(*chosen)) if chosen else df
-        gain = F.size(F.array_except(F.col(classes), F.array(*(F.lit(c) for c in covered)).cast(df.schema[classes].dataType)))
-        best = left.select(key, classes, gain.alias("gain")).orderBy(F.desc("gain"), key).limit(1).collect()
+        gain = F.size(F.array_except("_set", F.array(*(F.lit(c) for c in covered)).cast(kind)))
+        best = sets.select("_key", "_set", gain.alias("gain")).orderBy(F.desc("gain"), "_key").limit(1).collect()
         if not best or best[0]["gain"] <= 0:
             break
-        chosen.append(best[0][key])
-        covered = sorted({*covered, *best[0][classes]})
+        chosen.append(best[0]["_key"])
+        covered = sorted({*covered, *best[0]["_set"]})
+    sets.unpersist()
     first = df.where(F.col(key).isin(*chosen)) if chosen else df.limit(0)
     rest = (df.where(~F.col(key).isin(*chosen)) if chosen else df).orderBy(key).limit(max(0, count - len(chosen)))
     return first.unionByName(rest)

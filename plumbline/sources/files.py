@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +52,8 @@ def image_sizes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def grey_grids(spark: SparkSession, root: str, rows: int = 8, columns: int = 9) -> DataFrame:
-    """``path, grid``: mean grey of each cell of a coarse grid, for difference hashes."""
+    """``path, grid``: mean grey of each cell of a coarse grid, for difference hashes; null for an image that can't be decoded. A plain mean over each cell: hashes
+    are comparable with each other, not with those of a resampling filter."""
     import numpy as np
     import pandas as pd
 
@@ -58,12 +61,14 @@ def grey_grids(spark: SparkSession, root: str, rows: int = 8, columns: int = 9)
         for batch in batches:
             paths, grids = [], []
             for origin, w, h, n, data in zip(batch["origin"], batch["width"], batch["height"], batch["nChannels"], batch["data"], strict=True):
-                if w > 0:
-                    pixels = np.frombuffer(data, np.uint8).reshape(h, w, n)[:, :, : 3 if n >= 3 else 1].astype(float)
-                    grey = pixels @ np.array([0.114, 0.587, 0.299]) if n >= 3 else pixels[:, :, 0]
-                    y, x = np.arange(rows + 1) * h // rows, np.arange(columns + 1) * w // columns
-                    grids.append([float(grey[y[r] : max(y[r] + 1, y[r + 1]), x[c] : max(x[c] + 1, x[c + 1])].mean()) for r in range(rows) for c in range(columns)])
-                    paths.append(origin)
+                paths.append(origin)
+                if w <= 0:
+                    grids.append(None)
+                    continue
+                pixels = np.frombuffer(data, np.uint8).reshape(h, w, n)[:, :, : 3 if n >= 3 else 1].astype(float)
+                grey = pixels @ np.array([0.114, 0.587, 0.299]) if n >= 3 else pixels[:, :, 0]
+                y, x = np.arange(rows + 1) * h // rows, np.arange(columns + 1) * w // columns
+                grids.append([float(grey[y[r] : max(y[r] + 1, y[r + 1]), x[c] : max(x[c] + 1, x[c + 1])].mean()) for r in range(rows) for c in range(columns)])
             yield pd.DataFrame({"path": paths, "grid": grids})
 
     return spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.*").mapInPandas(shrink, "path string, grid array<double>")
@@ -97,16 +102,54 @@ def json_records(spark: SparkSession, glob: str, schema) -> DataFrame:
     return df.withColumn("experiment_id", F.coalesce("experiment_id", "_folder")).drop("_folder") if "experiment_id" in df.columns else df.withColumnRenamed("_folder", "experiment_id")
 
 
-def decisions(spark: SparkSession, path: str) -> DataFrame:
-    """A reviewed decision list from YAML (a short file that people write)."""
+def _yaml(spark: SparkSession, path: str) -> dict:
+    """A short configuration that people write, read through Spark from wherever the data is."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        data = yaml.safe_load(f)
+    text = spark.read.text(path, wholetext=True).first()
+    return yaml.safe_load(text[0].removeprefix("\ufeff")) or {} if text else {}
+
+
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """A reviewed decision list from YAML."""
+    data = _yaml(spark, path)
     rows = [tuple(None if x.get(k) is None else str(x.get(k)) for k in ("filename", "action", "issue", "reason", "status")) for x in data.get("images", data.get("decisions", []))]
     return spark.createDataFrame(rows, DECISION_SCHEMA)
 
 
+def class_names(spark: SparkSession, path: str) -> DataFrame:
+    """``class_id, name`` from the ``names`` of a dataset configuration, a map or a list; ids must be 0 to n-1, each once."""
+    names = _yaml(spark, path).get("names") or {}
+    rows = [(int(k), str(v)) for k, v in (enumerate(names) if isinstance(names, list) else names.items())]
+    if not rows or sorted(k for k, _ in rows) != list(range(len(rows))):
+        raise ValueError(f"{path}: class ids must be 0 to n-1, got {sorted(k for k, _ in rows)}")
+    return spark.createDataFrame(rows, "class_id int, name string")
+
+
+def hierarchy(spark: SparkSession, path: str) -> DataFrame:
+    """``key, name, class_id``: the ids of each coarse group of a hierarchy file, one row for each. A group without a name or ids is an error; coverage is
+    checked by ``pairing.hierarchy_violations``."""
+    rows = []
+    for key, group in (_yaml(spark, path).get("groups") or {}).items():
+        name = (group or {}).get("name") or next((v for k, v in (group or {}).items() if k.startswith("name")), None)
+        ids = (group or {}).get("class_ids")
+        if not name or ids is None:
+            raise ValueError(f"{path}: group {key} is incomplete")
+        rows += [(key, str(name), int(i)) for i in ids]
+    return spark.createDataFrame(rows, "key string, name string, class_id int")
+
+
+def split_roots(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folders of the splits that a dataset configuration names: relative ones below its ``path``, and that below the configuration's own folder."""
+    config = _yaml(spark, path)
+
+    def below(root: str, part: str) -> str:
+        return part if part.startswith("/") or "://" in part else os.path.normpath(f"{root}/{part}") if "://" not in root else f"{root.rstrip('/')}/{part.removeprefix('./')}"
+
+    root = below(path.rpartition("/")[0] or ".", str(config.get("path") or "."))
+    return {split: below(root, str(config[split])) for split in ("train", "val", "test") if config.get(split) is not None}
+
+
 def write_csv(df: DataFrame, path: str, fields: list[str], overwrite: bool = False) -> None:
     df.select(*fields).write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True)
 
