@@ -87,3 +87,85 @@ def test_repair_needs_a_review(spark):
     assert [(r["file_id"], r["line_no"]) for r in bad.collect()] == [(2, 1)]
     with pytest.raises(ValueError):
         pairing.require_none(bad, "unconfirmed")
+
+
+def test_dataset_configuration(spark, tmp_path):
+    (tmp_path / "data.yaml").write_text("path: sets/one\ntrain: images/train\nval: /elsewhere/val\nnames:\n  0: crack\n  1: 'dent'\n")
+    assert {tuple(r) for r in files.class_names(spark, str(tmp_path / "data.yaml")).collect()} == {(0, "crack"), (1, "dent")}
+    assert files.split_roots(spark, str(tmp_path / "data.yaml")) == {"train": f"{tmp_path}/sets/one/images/train", "val": "/elsewhere/val"}
+    (tmp_path / "list.yaml").write_text("names: [a, b, c]\n")
+    assert files.class_names(spark, str(tmp_path / "list.yaml")).count() == 3 and files.split_roots(spark, str(tmp_path / "list.yaml")) == {}
+    for bad in ("names: {0: a, 2: b}\n", "path: x\n", ""):
+        (tmp_path / "bad.yaml").write_text(bad)
+        with pytest.raises(ValueError):
+            files.class_names(spark, str(tmp_path / "bad.yaml"))
+    (tmp_path / "groups.yaml").write_text("version: 1\ngroups:\n  edge:\n    name: Edge\n    class_ids: [0, 2]\n  face:\n    name_de: Haut\n    class_ids: []\n")
+    groups = files.hierarchy(spark, str(tmp_path / "groups.yaml"))
+    assert {tuple(r) for r in groups.collect()} == {("edge", "Edge", 0), ("edge", "Edge", 2)}
+    classes = spark.createDataFrame([(0,), (1,), (2,)], "class_id int")
+    assert {tuple(r) for r in pairing.hierarchy_violations(classes, groups).collect()} == {(1, "missing")}
+    (tmp_path / "groups.yaml").write_text("groups:\n  edge:\n    class_ids: [0]\n")
+    with pytest.raises(ValueError):
+        files.hierarchy(spark, str(tmp_path / "groups.yaml"))
+
+
+def png(pixels: list[list[int]]) -> bytes:
+    import struct
+    import zlib
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    raw = b"".join(b"\0" + bytes(row) for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_are_decoded(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png([[10 * (c // 2) + r // 2 for c in range(18)] for r in range(16)]))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    sizes = {r["path"].rpartition("/")[2]: (r["width"], r["height"], r["decode_error"]) for r in files.image_sizes(spark, str(tmp_path)).collect()}
+    assert sizes == {"a.png": (18, 16, None), "b.png": (0, 0, "undecodable")}
+    grids = {r["path"].rpartition("/")[2]: r["grid"] for r in files.grey_grids(spark, str(tmp_path)).collect()}
+    assert grids["b.png"] is None and grids["a.png"] == pytest.approx([10 * c + r for r in range(8) for c in range(9)])
+
+
+def test_tables_of_runs_and_reports(spark, tmp_path):
+    for run, rows in (("r1", "1, 0.5\n2, 0.25\n"), ("r2", "1, 2.0\n")):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "results.csv").write_text("epoch, loss \n" + rows)
+    got = files.run_csvs(spark, str(tmp_path / "*" / "results.csv"))
+    assert got.columns == ["epoch", "loss", "run"] and {(r["run"], int(r["epoch"]), float(r["loss"])) for r in got.collect()} == {("r1", 1, 0.5), ("r1", 2, 0.25), ("r2", 1, 2.0)}
+    (tmp_path / "s.csv").write_text("\ufeffrun,note\nr1,\u00e9\n", encoding="utf-8")
+    assert [tuple(r) for r in files.summary_csv(spark, str(tmp_path / "s.csv")).collect()] == [("r1", "\u00e9")]
+    (tmp_path / "none.csv").write_text("run,note\n")
+    with pytest.raises(ValueError):
+        files.summary_csv(spark, str(tmp_path / "none.csv"))
+    files.write_json(got, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 3
+    with pytest.raises(Exception, match="(?i)exist"):
+        files.write_json(got, str(tmp_path / "report"))
+    labels = spark.createDataFrame([("train", "a.txt", "0 0.5"), ("val", "b.txt", "")], "split string, rel_path string, text string")
+    files.write_labels(labels, str(tmp_path / "fixed"))
+    assert spark.read.parquet(str(tmp_path / "fixed")).where("split = 'val' and text = ''").count() == 1
+    chosen = spark.createDataFrame([("/in/a.jpg", "train", "a.jpg", "kept", "0 0.5"), ("/in/b.jpg", "val", "b.jpg", "kept_negative", "0 0.1"), ("/in/c.jpg", "val", "c.jpg", "kept", None)], "path string, split string, filename string, status string, text string")
+    assert {tuple(r) for r in files.copy_manifest(chosen, "/out/").collect()} == {("/in/a.jpg", "/out/images/train/a.jpg", "0 0.5"), ("/in/b.jpg", "/out/images/val/b.jpg", ""), ("/in/c.jpg", "/out/images/val/c.jpg", "")}
+
+
+def test_refreshed_report(spark):
+    risks = spark.createDataFrame([("full_decode_error", 1), ("near_duplicate", 2), ("near_duplicate", 3)], "risk_type string, train_image long")
+    left, counts = leakage.refresh(risks)
+    assert left.count() == 2 and [tuple(r) for r in counts.collect()] == [("near_duplicate", 2)]
+
+
+def test_class_diverse_equals_plain_greedy(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, sorted(rng.sample(range(12), rng.randint(0, 4)))) for k in range(80)]
+    got = [r["k"] for r in sampling.class_diverse(spark.createDataFrame(rows, "k long, classes array<int>"), "k", "classes", 10).collect()]
+    assert len(got) == len(set(got)) == 10
+    want, covered = [], set()
+    while best := max((r for r in rows if set(r[1]) - covered), key=lambda r: (len(set(r[1]) - covered), -r[0]), default=None):
+        want.append(best[0])
+        covered |= set(best[1])
+    assert sorted(got) == sorted(want + [k for k, _ in rows if k not in want][: 10 - len(want)])
