@@ -54,17 +54,20 @@ def _urn(kind: str, row: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000) -> None:
-    """Write each row as a request, a response or revisit, and a metadata record, gzipped, some ``records_per_file`` to a file.
+    """Write each row as a request, a response or revisit, and a metadata record, gzipped, ``records_per_file`` to a file at most; a file holds no more than one
+    shuffled partition, whose bytes Spark bounds.
 
     Of rows with equal payloads of ``least_bytes`` at least, the one with the largest id is the response (of equal ids the later
     row) and the others revisit it. A null payload is empty; a null url or id leaves its header out. Control characters and spaces
     in a url are written as %20. Repeated rows are captures of their own.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("row", F.monotonically_increasing_id())
-    rows = with_digest(rows, "html")
-    # the scan gives a row the same number each time, so the two passes agree
-    firsts = rows.where(F.col("_bytes") >= least_bytes).groupBy("_digest", "_bytes").agg(F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("n")).where("n > 1").select("_digest", "_bytes", F.col("last.row").alias("response_row"))
-    joined = rows.join(firsts, ["_digest", "_bytes"], "left")
+    # payloads are met by their digests alone; the pages themselves are shuffled once, by row, so that a common payload gathers none of them in a task. The scan gives
+    # a row the same number each time, so the two passes agree
+    digests = store.keep(with_digest(rows, "html").select("row", "id", "_bytes", "_digest"), "digests")
+    firsts = digests.where(F.col("_bytes") >= least_bytes).groupBy("_digest", "_bytes").agg(F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("n")).where("n > 1")
+    firsts = store.keep(firsts.select("_digest", "_bytes", F.col("last.row").alias("response_row")), "firsts")
+    joined = rows.join(digests.join(firsts, ["_digest", "_bytes"], "left").select("row", "_bytes", "_digest", "response_row"), "row")
 
     revisit = F.col("response_row") != F.col("row")
     response_id = _urn("response", F.col("row"))
