@@ -123,7 +123,8 @@ class Encoder:
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
             pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
             self.segmented = not any(re.search("[^▁]▁", p) for p in pieces)
-            probes = ["a  b", "x \n y", "  lead", "tail  ", "Ab ab"]
+            self.lone = [self.library.piece_to_id("▁")]
+            probes = ["a  b", "x \n y", "  lead", "tail ", "tail  ", "Ab ab", "x\n "]
             self.segmented &= all(self._whole([p]) == [[i for s in self._parts(p) for i in self._piece([s])[0]]] for p in probes)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -166,8 +167,8 @@ class Encoder:
         return out
 
     def _piece(self, texts: list[str]) -> list[list[int]]:
-        """Ids of segments that begin with a space: the library itself adds one, so one is taken away."""
-        return self.library.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
+        """Ids of segments that begin with a space: the library itself adds one, so one is taken away. A space that ends a text is a segment of its own."""
+        return [self.lone if t == " " else ids for t, ids in zip(texts, self.library.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1), strict=True)]
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray] | np.ndarray:
         """One array of ids for each text, or the counts."""

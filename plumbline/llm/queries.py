@@ -83,9 +83,11 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import store
     from plumbline.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+    # a new cache for each run: with the lasting one a repeated run would encode nothing, and its time would say nothing
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), cache_path=store.new_path(spark, "token-cache"), limit=4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
