@@ -112,12 +112,14 @@ class Pieces:
                     item, budget = self.items[number][1], self.budget[number]
                     best = done.get((t, number))
                     start = p - offset
-                    # a hit inside a stretch that was already searched brings nothing new
+                    # every place that a hit stands for is within the budget of its start; stretches are searched half a budget wider than that, so that
+                    # a hit half a budget from a searched one brings nothing new
                     if best is not None and (best[0] == 0 or any(abs(start - s) <= budget // 2 for s in best[3])):
                         continue
                     if p + n > last or raw[p : p + n] != item[offset : offset + n]:
                         continue
-                    begin, stop = max(first, start - budget), min(last, start + len(item) + budget)
+                    wide = budget + budget // 2
+                    begin, stop = max(first, start - wide), min(last, start + len(item) + wide)
                     got = closest_end(item, raw[begin:stop], budget)
                     tried = (best[3] if best else []) + [start]
                     if got and (best is None or got[0] < best[0]):
@@ -132,7 +134,7 @@ class Pieces:
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, least_bytes: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``id_col, item_col, distance, start, end``: one row for each document row and item that meet within the edit budget, with the
+    """``id_col, item_col, distance, start, end`` (``item_`` before the second where both have one name): one row for each document row and item that meet within the edit budget, with the
     closest place as byte offsets of the text.
 
     Both sides are compared in lower case (A-Z and the accented Latin-1 capitals) with runs of white space as one space. Null and empty texts meet nothing. Items
@@ -143,8 +145,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08,
     spark = docs.sparkSession
     bound_batches(spark)
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, distance int, start long, end long"
-    names = [id_col, item_col, "distance", "start", "end"]
+    item_out = item_col if item_col != id_col else f"item_{item_col}"
+    schema = f"`{id_col}` {kinds[0]}, `{item_out}` {kinds[1]}, distance int, start long, end long"
+    names = [id_col, item_out, "distance", "start", "end"]
 
     def search(pieces):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
