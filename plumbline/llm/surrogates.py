@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import store
 
 #: Draws before an entity whose format has no free surrogate left gets a tag with its keyed digest instead.
-DRAWS = 12
+DRAWS = 24
 
 # Titles that show a person's gender, by gender.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"], "n": ["Dr", "Prof"]}
@@ -88,14 +88,26 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(turned, F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder that bank numbers are checked by; letters count as 10 to 35."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).when(c.rlike("[A-Z]"), (a * 100 + F.ascii(c) - 55) % 97).otherwise(a))
+
+
+def _valid_iban(drawn: Column) -> Column:
+    """``drawn`` with the check digits that make it valid."""
+    country, own = F.substring(drawn, 1, 2), F.substring(drawn, F.lit(5), F.length(drawn))
+    return F.concat(country, F.lpad((98 - _mod97(F.concat(own, country, F.lit("00")))).cast("string"), 2, "0"), own)
+
+
 def _name(token: Column, gender: Column, given: Column, key: str, draw: Column) -> Column:
-    """A name of two or three syllables in the token's script, ending by gender if it is a given name."""
+    """A name in the token's script, ending by gender if it is a given name: of three syllables, and of one more for every second draw, so that names never run out."""
     h = F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), draw.cast("string"), token), 256)
 
     def made(script: str) -> Column:
         syllables = F.array(*(F.lit(s) for s in SYLLABLES[script]))
         n = len(SYLLABLES[script])
-        body = F.concat(*(F.element_at(syllables, F.conv(F.substring(h, 1 + 4 * k, 4), 16, 10).cast("int") % n + 1) for k in range(3)))
+        places = F.sequence(F.lit(0), F.least(F.lit(14), F.floor(draw / 2).cast("int") + 2))
+        body = F.array_join(F.transform(places, lambda k: F.element_at(syllables, F.conv(F.substring(h, k * 4 + 1, F.lit(4)), 16, 10).cast("int") % n + 1)), "")
         ending = F.when(gender == "m", ENDINGS[script]["m"]).when(gender == "f", ENDINGS[script]["f"]).otherwise(ENDINGS[script]["n"])
         return F.concat(body, F.when(given, ending).otherwise(F.lit("")))
 
@@ -114,12 +126,9 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     body = F.substring(same, F.lit(1), F.length(same) - 1)
     check = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     card = F.when(_luhn(norm) % 10 == 0, check).otherwise(same)
-    parts = F.split(norm, " ")
-    title = F.element_at(parts, 1)
-    gender = F.when(title.isin(*(t.lower() for t in TITLES["m"])), "m").when(title.isin(*(t.lower() for t in TITLES["f"])), "f").otherwise("n")
-    names = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda t, i: F.initcap(_name(t, gender, (i == 0) & (F.size(parts) > 2), key, draw)))
-    person = F.concat(title, F.lit(" "), F.array_join(names, " "))
-    return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "person", person).otherwise(same)
+    iban = F.when(_mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1, _valid_iban(same)).otherwise(same)
+    name = F.initcap(_name(norm, F.substring_index(kind, ":", -1), F.substring_index(F.substring_index(kind, ":", 2), ":", -1) == "given", key, draw))
+    return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "iban", iban).when(kind.startswith("name:"), name).otherwise(same)
 
 
 def in_format(kind: Column, mention: Column, chosen: Column) -> Column:
@@ -137,27 +146,50 @@ def in_format(kind: Column, mention: Column, chosen: Column) -> Column:
     return F.when(chosen.startswith("<"), chosen).when(kind == "person", person).otherwise(F.array_join(F.transform(F.split(mention, ""), at), ""))
 
 
+def person_names(persons: DataFrame) -> DataFrame:
+    """``norm, at, kind, name``: the names of each person, the last one a surname, those before it given names by the gender that the title shows."""
+    parts = F.split("norm", " ")
+    title = F.element_at(parts, 1)
+    gender = F.when(title.isin(*(t.lower() for t in TITLES["m"])), "m").when(title.isin(*(t.lower() for t in TITLES["f"])), "f").otherwise("n")
+    each = persons.select("norm", gender.alias("gender"), F.size(parts).alias("n"), F.posexplode(parts).alias("at", "name")).where("at > 0")
+    return each.select("norm", "at", F.when(F.col("at") == F.col("n") - 1, "name:family:n").otherwise(F.concat(F.lit("name:given:"), "gender")).alias("kind"), "name")
+
+
 def choose(entities: DataFrame, key: str) -> DataFrame:
-    """``kind, norm, chosen`` for distinct ``kind, norm``: no two of a kind share a surrogate, and none is an entity of the corpus."""
-    originals = entities.select("kind", F.col("norm").alias("form"))
+    """``kind, norm, chosen`` for distinct ``kind, norm``: no two of a kind share a surrogate, and none is an entity of the corpus. Persons get theirs name by name, so
+    that a surname is the same with and without given names, and different persons stay different."""
+    persons = entities.where("kind = 'person'")
+    names = store.keep(person_names(persons), "names")
+    tokens = names.select("kind", F.col("name").alias("norm")).distinct()
+    chosen = _drawn(entities.where("kind <> 'person'").unionByName(tokens), key)
+    own = names.join(chosen.withColumnRenamed("norm", "name"), ["kind", "name"])  # at most two names a person
+    made = own.groupBy("norm").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "chosen"))), lambda x: x["chosen"]), " ").alias("names"))
+    made = made.select(F.lit("person").alias("kind"), "norm", F.concat(F.substring_index("norm", " ", 1), F.lit(" "), "names").alias("chosen"))
+    return chosen.where(~F.col("kind").startswith("name:")).unionByName(made)
+
+
+def _drawn(entities: DataFrame, key: str) -> DataFrame:
+    """Surrogates by rounds of draws; an entity whose draw is taken draws again."""
+    entities = entities.withColumn("space", F.substring_index("kind", ":", 1))  # names of every role share one space
+    originals = entities.select("space", F.col("norm").alias("form"))
     left, done = entities, None
 
     def form(c: str) -> Column:
         """The normal form of a surrogate: names are drawn with capitals."""
-        return F.when(F.col("kind") == "person", F.lower(c)).otherwise(F.col(c)).alias("form")
+        return F.when(F.col("space") == "name", F.lower(c)).otherwise(F.col(c)).alias("form")
 
     for draw in range(DRAWS):
         drawn = left.withColumn("candidate", surrogate(F.col("kind"), F.col("norm"), F.lit(draw), key))
-        taken = originals if done is None else originals.unionByName(done.select("kind", form("chosen")))
-        free = drawn.withColumn("form", form("candidate")).join(taken, ["kind", "form"], "left_anti")
-        winners = free.groupBy("kind", "candidate").agg(F.min("norm").alias("norm")).select("kind", "norm", F.col("candidate").alias("chosen"))
+        taken = originals if done is None else originals.unionByName(done.select("space", form("chosen")))
+        free = drawn.withColumn("form", form("candidate")).join(taken, ["space", "form"], "left_anti")
+        winners = free.groupBy("space", "candidate").agg(F.min(F.struct("kind", "norm")).alias("first")).select("space", "first.kind", "first.norm", F.col("candidate").alias("chosen"))
         won = store.keep(winners, "surrogates")
         done = won if done is None else done.unionByName(won)
         left = store.keep(left.join(won, ["kind", "norm"], "left_anti"), "left")
         if left.isEmpty():
-            return done
+            return done.drop("space")
     tags = left.select("kind", "norm", F.concat(F.lit("<"), F.upper("kind"), F.lit("_"), F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm"), 256), F.lit(">")).alias("chosen"))
-    return done.unionByName(tags)
+    return done.drop("space").unionByName(tags)
 
 
 def replace_entities(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
