@@ -64,6 +64,23 @@ def test_token_counts(spark, docs, plain, tmp_path):
     assert token_counts(empty(docs), path).count() == 0
 
 
+def test_encoders_equal_the_libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from plumbline.llm.encoders import Encoder
+
+    rng = random.Random(1)
+    atoms = [" ", "  ", "\n", "\r\n", "\t", " \n", "a", "C", " the", "ing", ".", ",", ")", "(", "'s", "é", "e\u0301", "日本", "\xa0", "\u200b", "\u3000", "▁", "<s>", "</s>", "<|endoftext|>", "<0x0A>", "12", "3.5", "\x00", "\x0b", "\ufeff", "ﬁ", "🙂", "word", "hello", "\x85", "①"]
+    some = ["c ", "hello world ", *("".join(rng.choice(atoms) for _ in range(rng.randint(0, 9))) for _ in range(20_000))]
+    data, at = np.frombuffer("".join(some).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in some])])
+    pieces, plain = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+    want = sentencepiece.SentencePieceProcessor(model_file=pieces).encode(some)
+    assert Encoder(pieces, False)(data, at).tolist() == [len(x) for x in want]
+    want = [e.ids for e in Tokenizer.from_file(plain).encode_batch(some, add_special_tokens=False)]
+    assert [x.tolist() for x in Encoder(plain, True)(data, at)] == want
+
+
 def test_packing(docs, plain):
     from tokenizers import Tokenizer
 
@@ -96,41 +113,54 @@ def test_packing(docs, plain):
 
 
 def test_plan_is_exact():
-    from plumbline.llm.packing import plan
+    from plumbline.llm.packing import best_fit_decreasing, cover, plan
 
     rng = random.Random(1)
-    for _ in range(5):
-        histogram = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(30)}
-        out = collections.Counter()
-        for config, rows in plan(histogram, 100, rounds=40):
-            assert sum(l * n for l, n in config.items()) <= 100
-            for l, n in config.items():
-                out[l] += n * rows
-        assert dict(out) == histogram
+    small = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(30)}
+    texts = {rng.randint(1, 1200): rng.randint(1, 4) for _ in range(500)}
+    thirds = {rng.randint(650, 720): rng.randint(1, 300) for _ in range(60)}
+    for histogram, capacity in ((small, 100), (texts, 2048), ({l: 1000 * n for l, n in texts.items()}, 2048), (thirds, 2048), ({1100: 50}, 2048), ({2048: 3, 1: 1}, 2048), ({}, 2048)):
+        rows, placed = plan(histogram, capacity)
+        greedy = best_fit_decreasing(histogram, capacity)
+        for made in (rows, greedy):
+            out = collections.Counter()
+            for config, times in made:
+                assert sum(l * n for l, n in config.items()) <= capacity
+                for l, n in config.items():
+                    out[l] += n * times
+            assert dict(out) == histogram
+        count, volume = sum(n for _, n in rows), sum(l * n for l, n in histogram.items())
+        # never above best-fit decreasing but by a thousandth of the bound; nearly all rows come from the program
+        assert count <= max(sum(n for _, n in greedy), int(1.001 * -(-volume // capacity)) + 1)
+        assert placed >= 0.9 * (count - histogram.get(capacity, 0)) - 2
+        if histogram:
+            assert cover(histogram, capacity)[1] <= count
+
+
+def test_best_fit_decreasing_is_best_fit():
+    from plumbline.llm.packing import best_fit_decreasing
+
+    rng = random.Random(6)
+    for _ in range(50):
+        histogram = {rng.randint(1, 60): rng.randint(1, 9) for _ in range(12)}
+        rooms: list[int] = []
+        for l in sorted((l for l, n in histogram.items() for _ in range(n)), reverse=True):
+            fits = [r for r in rooms if r >= l]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 60) - l)
+        got = [60 - sum(l * n for l, n in config.items()) for config, times in best_fit_decreasing(histogram, 60) for _ in range(times)]
+        assert sorted(got) == sorted(rooms)
 
 
 def test_near_duplicates(docs, plain):
     from plumbline.llm.minhash import near_duplicates
 
     for width, threshold in ((3, 85), (5, 80)):
-        sets = {}
-        for k, t in plain.items():
-            w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOWER))
-            sets[k] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
-        root = {k: k for k in sets}
-
-        def find(a, root=root):
-            while root[a] != a:
-                a = root[a]
-            return a
-
-        for a in sets:
-            for b in sets:
-                if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
-                    x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
+        sets = shingle_sets(plain.items(), width)
+        root = components_of(sets, threshold)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs, width=width, threshold=threshold).collect()}
-        assert got == {k: (len(s), find(k), find(k) == k) for k, s in sets.items()}
+        assert got == {k: (len(s), root[k], root[k] == k) for k, s in sets.items()}
     assert near_duplicates(empty(docs)).count() == 0
 
 
@@ -198,22 +228,60 @@ def test_warc_round_trip(spark):
     assert {bytes(r["response"]["payload"]) for r in rows if r["response"]["record_type"] == "response"} == {b"", pages[0][2].encode(), "ünï".encode()}
 
 
+def best_by_all_pairs(ids, ints, queries, k):
+    out = set()
+    for q in queries:
+        scores = sorted(((max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x, ints[q], strict=True)))), i) for i, x in zip(ids, ints, strict=True) if i != ids[q]), key=lambda t: (-t[0], t[1]))
+        out |= {(ids[q], r + 1, i, s) for r, (s, i) in enumerate(scores[:k])}
+    return out
+
+
 def test_mtree(spark):
     from plumbline.llm.mtree import build_index, top_k
 
     rng = np.random.default_rng(2)
     x = rng.normal(0, 0.2, (400, 8))
     x[100:250] = x[7]
-    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(900, None), (901, [None] * 8), (902, [float("nan")] * 8), (903, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(k, [float(v) for v in r], 1) for k, r in enumerate(x)] + [(900, None, 1), (901, [None] * 8, 1), (902, [float("nan")] * 8, 1), (903, [], 1), (904, [float("inf")] * 8, 1), (20, [float(v) for v in x[20]], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     ints = np.floor(1024 * x).astype(np.int64)
-    want = set()
-    for q in range(0, 400, 20):
-        s = ints @ ints[q]
-        best = [k for k in np.lexsort((np.arange(400), -s)) if k != q][:10]
-        want |= {(q, r + 1, int(k), int(s[k])) for r, k in enumerate(best)}
-    got = {tuple(r) for r in top_k(build_index(df, block_rows=150), df.where("vec_id % 20 = 0"), 10, query_rows=7).select("query_id", "rank", "vec_id", "score").collect()}
+    ids = list(range(400))
+    want = best_by_all_pairs([*ids], [*ints], range(0, 400, 20), 10)
+    got = {tuple(r) for r in top_k(build_index(df.where("score = 1"), block_rows=150), df.where("vec_id % 20 = 0"), 10).select("query_id", "rank", "vec_id", "score").collect()}
     assert got == want
+    assert top_k(build_index(df.limit(0)), df, 3).count() == 0 and top_k(build_index(df), df.limit(0), 3).count() == 0
+    assert {r["vec_id"] for r in top_k(build_index(df.where("vec_id < 3")), df.where("vec_id = 0"), 10).collect()} == {1, 2}
+
+
+def test_mtree_takes_components_of_any_size(spark):
+    from plumbline.llm.mtree import build_index, top_k
+
+    rng = np.random.default_rng(3)
+    x = [[float(v) for v in r] for r in rng.normal(0, 1, (60, 4)) * 10.0 ** rng.integers(0, 7, (60, 1))]
+    x[5] = [20000.0, -1.0, 3.0, 2.0**40]
+    ints = [[int(np.floor(1024 * v)) for v in r] for r in x]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in top_k(build_index(df, block_rows=25), df, 5).select("query_id", "rank", "vec_id", "score").collect()}
+    want = best_by_all_pairs(list(range(60)), ints, range(60), 5)
+    assert got == want
+
+
+def test_mtree_bounds_save_distances_on_clusters():
+    from plumbline.llm.mtree import build_pages, search
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 300, (60, 16))
+    whole = np.floor(centres[rng.integers(0, 60, 6000)] + rng.normal(0, 6, (6000, 16))).astype(np.int64)
+    norms = (whole.astype(float) ** 2).sum(1)
+    lifted = np.column_stack([whole, np.sqrt(norms.max() - norms)])
+    tree = {page: (leaf, refs, whole[refs] if leaf else v, radii, to_parent) for page, leaf, refs, v, radii, to_parent in build_pages(np.arange(6000), lifted)}
+    work: list[int] = []
+    for q in range(0, 6000, 200):
+        got = search(tree, float(norms.max()), whole[q], q, 10, computed=work)
+        scores = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(6000), -scores)) if i != q][:10]
+        assert got == [(int(scores[i]), int(i)) for i in order]
+    assert np.mean(work) < 0.5 * 6000
 
 
 def test_surrogates(spark):
@@ -279,7 +347,74 @@ def test_decontamination(spark):
                 new.append(min(row[j] + (c != x), row[j + 1] + 1, new[j] + 1))
             row = new
         best = min(row[1:], default=99)
-        assert closest_end(p, t, len(p)) == ((best, row.index(best, 1)) if t and best < len(p) else closest_end(p, t, len(p)))
+        assert closest_end(p, t, len(p)) == ((best, row.index(best, 1)) if t and best <= len(p) else None)
+
+
+def least_distance(item: bytes, text: bytes) -> int:
+    """Of ``item`` to any substring of ``text``, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        new = [i + 1]
+        for j, x in enumerate(text):
+            new.append(min(row[j] + (c != x), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_equals_all_pairs(spark):
+    from plumbline.llm.decontaminate import benchmark_hits
+
+    rng = random.Random(17)
+    items = ["".join(rng.choice("abc ") for _ in range(rng.randint(24, 60))).strip().replace("  ", " ") for _ in range(12)]
+    rows = [(0, None), (1, "")]
+    for k in range(2, 160):
+        t = list(" ".join(["".join(rng.choice("abc") for _ in range(rng.randint(1, 20))), rng.choice(items), "".join(rng.choice("abc") for _ in range(rng.randint(1, 20)))]))
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "a", "b", "zz"])
+        rows.append((k, "".join(t)))
+    got = {(r["item_id"], r["item_item_id"]): r["distance"] for r in benchmark_hits(spark.createDataFrame(rows, "item_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), rate=0.12, id_col="item_id").collect()}
+    want = {}
+    for k, t in rows:
+        for n, item in enumerate(items):
+            form = re.sub(r"[ ]+", " ", item).strip().encode()
+            if t and len(form) >= 20 and (d := least_distance(form, re.sub(r"[ ]+", " ", t).encode())) <= int(0.12 * len(form)):
+                want[k, n] = d
+    assert got == want and len(want) > 60
+
+
+def test_surrogates_of_many_names(spark):
+    from plumbline.llm.surrogates import replace_entities
+
+    def word(k: int) -> str:
+        return "Q" + "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+
+    rows = [(k, f"Mr {word(k)} met Mrs Xena {word(k)} and Mr John {word(k)}") for k in range(20_000)]
+    got = replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "k").collect()
+    names = {r["doc_id"]: re.fullmatch(r"Mr (\w+) met Mrs (\w+) (\w+) and Mr (\w+) (\w+)", r["text"]).groups() for r in got}
+    assert all(a == b == c for a, _, b, _, c in names.values())  # one surname, one surrogate
+    assert len({a for a, *_ in names.values()}) == len(rows)  # and no two surnames share one
+    assert len({x for _, x, *_ in names.values()}) == 1 and len({j for *_, j, _ in names.values()}) == 1
+    assert all(x.endswith("na") and not j.endswith("na") for _, x, _, j, _ in names.values())
+    assert not {a for a, *_ in names.values()} & {word(k) for k, _ in rows}
+
+
+def test_bank_numbers_stay_valid(spark):
+    from plumbline.llm.surrogates import replace_entities
+
+    def remainder(iban: str) -> int:
+        x = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    rng = random.Random(19)
+    rows = []
+    for k in range(200):
+        own = "".join(rng.choice("ABCDEFGHJK") for _ in range(4)) + "".join(rng.choice("0123456789") for _ in range(14))
+        check = 98 - int("".join(str(int(c, 36)) for c in own + "GB00")) % 97
+        iban = f"GB{check:02d}{own}"
+        rows.append((k, "to " + (iban if k % 2 else " ".join(iban[i : i + 4] for i in range(0, len(iban), 4)))))
+    got = [r["text"].removeprefix("to ") for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert all(remainder(x) == 1 for x in got) and len({x.replace(" ", "") for x in got}) == 200 and not set(got) & {t.removeprefix("to ") for _, t in rows}
 
 
 def test_toxicity(spark):
@@ -331,29 +466,69 @@ def chains(n: int = 12, length: int = 14) -> list[str]:
     return out
 
 
-def test_near_duplicates_by_whole_keys(spark, tmp_path, monkeypatch):
+def components_of(sets: dict, threshold: int) -> dict:
+    """The smallest id reachable, by comparing all pairs."""
+    root = {k: k for k in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+def shingle_sets(rows, width: int) -> dict:
+    out = {}
+    for k, t in rows:
+        w = (t or "").encode().translate(LOWER).split()
+        out[k] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    return out
+
+
+def test_near_duplicate_links_are_whole(spark, tmp_path, monkeypatch):
     import plumbline.llm.minhash as module
     from pyspark.sql import functions as F
 
-    spark.createDataFrame(list(enumerate(chains())), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    rows = list(enumerate(chains()))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
+    want = components_of(shingle_sets(rows, 5), 80)
+    assert dict(module.near_duplicates(docs).select("doc_id", "component_id").collect()) == want
     made = module.signatures
-    monkeypatch.setattr(module, "NEAREST_ROUNDS", 0)
-    want = sorted(module.near_duplicates(docs, side=4).collect())
-    # sketches that agree where the keys do not name no other table
-    monkeypatch.setattr(module, "signatures", lambda *a, **k: made(*a, **k).withColumn("sketch", F.lit(bytes(2 * 4 * 3))))
-    assert sorted(module.near_duplicates(docs, side=4).collect()) == want
+    with monkeypatch.context() as m:  # equal sketches must not name another table
+        m.setattr(module, "signatures", lambda *a, **k: made(*a, **k).withColumn("sketch", F.lit(bytes(2 * 12 * 3))))
+        assert dict(module.near_duplicates(docs).select("doc_id", "component_id").collect()) == want
+    for name, value in (("MOST", 2), ("BLOCK_BYTES", 700)):  # crowded buckets are dealt into blocks of a few rows
+        with monkeypatch.context() as m:
+            m.setattr(module, name, value)
+            assert dict(module.near_duplicates(docs).select("doc_id", "component_id").collect()) == want
 
 
-def test_crowded_buckets_are_compared_whole(spark, tmp_path, monkeypatch):
+def test_blocks_hold_each_pair_once(spark, monkeypatch):
     import plumbline.llm.minhash as module
+    from pyspark.sql import functions as F
 
-    spark.createDataFrame(list(enumerate(chains())), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    monkeypatch.setattr(module, "NEAREST_ROUNDS", 0)
-    want = sorted(module.near_duplicates(docs, side=2).collect())
-    monkeypatch.setattr(module, "MOST", 2)
-    assert sorted(module.near_duplicates(docs, side=2).collect()) == want
+    for most in (1, 3, 100):
+        monkeypatch.setattr(module, "MOST", most)
+        rows = spark.range(40).select(F.lit(5).alias("key"), F.col("id").alias("node"), F.when(F.col("id") < 25, 0).otherwise(F.col("id") % 4).cast("long").alias("root"), F.lit(0).cast("long").alias("main"))
+        sizes = rows.agg(F.sum((F.col("root") != 0).cast("int")).alias("rest"), F.sum((F.col("root") == 0).cast("int")).alias("main_size"))
+        dealt = module.groups(rows.crossJoin(sizes).withColumn("rest_n", F.lit(1)).withColumn("main_n", F.lit(1)), ["node", "root"]).collect()
+        met = collections.Counter()
+        for g in {r["group"] for r in dealt}:
+            own = [r for r in dealt if r["group"] == g]
+            inner = any(r["inner"] for r in own)
+            for x in own:
+                for y in own:
+                    if not x["other"] and x["root"] != y["root"] and (y["other"] or (inner and x["node"] < y["node"])):
+                        met[frozenset((x["node"], y["node"]))] += 1
+        root = {r["node"]: r["root"] for r in dealt}
+        assert met == {frozenset((a, b)): 1 for a in root for b in root if a < b and root[a] != root[b]}
 
 
 def test_short_line_hides_no_valid_partner(spark, tmp_path):
@@ -365,17 +540,18 @@ def test_short_line_hides_no_valid_partner(spark, tmp_path):
     assert got == {1: (a, 0), 2: (b, 0), 3: ("", 1)}
 
 
-def test_surrogate_is_no_person_of_the_corpus(spark):
+def test_surrogate_is_no_name_of_the_corpus(spark):
     from pyspark.sql import functions as F
 
     from plumbline.llm.surrogates import choose, surrogate
 
     real = spark.createDataFrame([("person", "mr smith"), ("person", "mrs ana jones")], "kind string, norm string")
-    planted = real.select("kind", F.lower(surrogate(F.col("kind"), F.col("norm"), F.lit(0), "k")).alias("norm"))
-    names = real.unionByName(planted).localCheckpoint()
-    taken = {r["norm"] for r in names.collect()}
-    chosen = [r["chosen"].lower() for r in choose(names, "k").collect()]
-    assert len(taken) == 4 == len(set(chosen)) and not taken & set(chosen)
+    first = spark.createDataFrame([("name:family:n", "smith"), ("name:family:n", "jones"), ("name:given:f", "ana")], "kind string, norm string")
+    planted = [r[0] for r in first.select(F.lower(surrogate(F.col("kind"), F.col("norm"), F.lit(0), "k"))).collect()]
+    names = real.unionByName(spark.createDataFrame([("person", f"mr {x}") for x in planted], "kind string, norm string"))
+    taken = {"smith", "jones", "ana", *planted}
+    chosen = {r["norm"]: r["chosen"].lower().split()[1:] for r in choose(names, "k").collect()}
+    assert len(chosen) == 5 and not taken & {x for c in chosen.values() for x in c} and len({tuple(c) for c in chosen.values()}) == 5
 
 
 def test_secrets_of_letters_alone(spark):
