@@ -289,15 +289,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: int = 80, sid
     sets = store.keep(_shingle_sets(docs, wanted, width=width, id_col=id_col, text_col=text_col), "sets")
     root = components(verified(fitting, sets, threshold))
 
-    # buckets that hold several components: the members outside the largest one against all
-    placed = held.where("members > 2").join(root, "node", "left").join(classes.select("node", "n"), "node").select("key", "i", "j", "node", F.coalesce("root", "node").alias("root"), "n")
+    # buckets that hold several components: the members outside the largest one against all. What belongs to a class meets it once and is then dealt to its
+    # places, of which it has side squared at most
+    placed = held.where("members > 2").groupBy("node").agg(F.collect_list(F.struct("key", "i", "j")).alias("places"))
+    placed = placed.join(root, "node", "left").join(classes.select("node", "n"), "node").select("node", F.coalesce("root", "node").alias("root"), "n", "places")
+    placed = store.keep(placed, "placed").select("node", "root", "n", F.inline("places"))
     by_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     mixed = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "root", "s")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     mixed = mixed.select("key", F.col("main.root").alias("main"), (F.col("c") - F.col("main.c")).alias("rest"), (F.col("s") - F.col("main.s")).alias("rest_n"), F.col("main.c").alias("main_size"), F.col("main.s").alias("main_n"))
-    members = placed.join(mixed, "key").join(classes.select("node", "left", "right", "sketch"), "node")
+    of_place = ["key", "i", "j", "main", "rest", "rest_n", "main_size", "main_n"]
+    members = placed.join(mixed, "key").groupBy("node", "root", "n").agg(F.collect_list(F.struct(*of_place)).alias("places"))
+    members = members.join(classes.select("node", "left", "right", "sketch"), "node").select("node", "root", "n", "left", "right", "sketch", F.inline("places"))
     grouped = groups(members, ["i", "j", "node", "root", "n", "left", "right", "sketch"])
     near_rows = store.keep(active(grouped, side=side, hashes=2 * side * rows, threshold=threshold), "active")
-    links = store.keep(linked_roots(near_rows.join(sets, "node"), threshold), "links")
+    near_rows = near_rows.groupBy("node", "root").agg(F.collect_list("group").alias("groups")).join(sets, "node").select(F.explode("groups").alias("group"), "node", "root", "hashes")
+    links = store.keep(linked_roots(near_rows, threshold), "links")
     named = classes.select("node", "d1", "d2", "id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if not links.isEmpty():
         upper = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
