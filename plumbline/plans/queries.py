@@ -697,7 +697,12 @@ def first_n_per_split(spark, d):
     return sampling.first_per_split(V.documents(spark, d), ["filename", "doc_id"], 25).select("doc_id", "split")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT file_id, list_sort(list_distinct(list(class_id::INTEGER))) AS cs, bit_or(1::BIGINT << class_id::BIGINT) AS m FROM {V.INSTANCES} WHERE class_id IS NOT NULL GROUP BY file_id),
+  k AS (SELECT m, min(file_id) AS file_id FROM s GROUP BY m),
+  r AS (SELECT 0 AS step, NULL::BIGINT AS file_id, 0::BIGINT AS covered
+    UNION ALL SELECT step, file_id, covered FROM (SELECT r.step + 1 AS step, k.file_id, r.covered | k.m AS covered, bit_count(k.m & ~r.covered) AS gain FROM r, k WHERE r.step < 12 ORDER BY gain DESC, k.file_id LIMIT 1) WHERE gain > 0),
+  rest AS (SELECT file_id FROM s WHERE file_id NOT IN (SELECT file_id FROM r WHERE step > 0) ORDER BY file_id LIMIT (SELECT 12 - max(step) FROM r))
+  SELECT file_id, array_to_string(cs, ',') AS classes FROM s WHERE file_id IN (SELECT file_id FROM r WHERE step > 0 UNION ALL SELECT file_id FROM rest)""")
 def class_diverse(spark, d):
     sets = V.instances(spark, d).where("class_id is not null").groupBy("file_id").agg(F.array_sort(F.collect_set("class_id")).alias("classes"))
     return sampling.class_diverse(sets, "file_id", "classes", 12).select("file_id", F.array_join(F.col("classes").cast("array<string>"), ",").alias("classes"))
