@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import clamp01, number, tokens, within_tolerance
+from plumbline.functions.columns import clamp01, number, tokens, validate_lines, within_tolerance
 from plumbline.operators.dedup import dataset_digest
 
 
@@ -59,6 +59,35 @@ def review_tally(cases: DataFrame) -> DataFrame:
     return cases.groupBy("review_decision").agg(F.count("*").alias("n"))
 
 
+def frozen_lines(lines: DataFrame, files: DataFrame, reviews: DataFrame, num_classes: int) -> DataFrame:
+    """``file_id, line_no, text, repaired, violation``: the lines of the files that decisions keep, soft ones repaired, hard ones only where their review says
+    ``repair_confirmed`` (all reviews of the line, if it has several). ``violation`` is null for a line that may be frozen, else ``unconfirmed_hard_range`` or the first
+    fault: repaired lines are validated again, strictly; the others were strictly right before.
+
+    ``lines``: ``file_id, line_no, raw``, no blank ones; ``files``: ``file_id, status``; ``reviews``: ``file_id, line_no, review_decision``. A null or empty
+    line has the fault polygon_format; lines of unknown or null files are left out, as are other columns."""
+    kept = files.where("status = 'kept'").select("file_id")
+    own = lines.select("file_id", "line_no", "raw", F.coalesce("raw", F.lit("")).alias("line")).join(kept, "file_id", "left_semi")
+    confirmed = reviews.groupBy("file_id", "line_no").agg(F.min(F.coalesce(F.col("review_decision") == "repair_confirmed", F.lit(False))).alias("confirmed"))
+    first = validate_lines(own, num_classes, "auto-fix", raw="line").select("file_id", "line_no", "raw", F.col("error_type").alias("fault"), F.col("fixed_line").isNotNull().alias("soft"))
+    hard = F.coalesce(F.col("fault") == "polygon_coordinate_range", F.lit(False))
+    judged = first.join(confirmed, ["file_id", "line_no"], "left").withColumn("repaired", F.col("soft") | (hard & F.coalesce("confirmed", F.lit(False))))
+    again = validate_lines(judged.withColumn("fixed", F.when(F.col("repaired"), repaired_text(F.col("raw")))), num_classes, "strict", raw="fixed")
+    violation = F.when(F.col("repaired"), F.col("error_type")).otherwise(F.when(hard, "unconfirmed_hard_range").otherwise(F.col("fault")))
+    return again.select("file_id", "line_no", F.coalesce("fixed", "raw").alias("text"), "repaired", violation.alias("violation"))
+
+
+def frozen_files(files: DataFrame, frozen: DataFrame) -> DataFrame:
+    """``file_id, split, text, lines, repaired, violations, sha256`` of every file that decisions keep; negatives and files without lines have an empty text. Lines with a
+    violation are in no text: a set is frozen where all ``violations`` are 0 (``pairing.require_none``). ``frozen``: of ``frozen_lines``."""
+    good = regroup(frozen.where("violation is null"), ["file_id"], text="text")
+    counts = frozen.groupBy("file_id").agg(F.count_if("repaired").alias("repaired"), F.count("violation").alias("violations"))
+    out = files.where("status in ('kept', 'kept_negative')").select("file_id", "split").join(counts, "file_id", "left").join(good, "file_id", "left")
+    text = F.coalesce("text", F.lit(""))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("file_id", "split", text.alias("text"), zero("lines"), zero("repaired"), zero("violations"), F.sha2(text, 256).alias("sha256"))
+
+
 def manifest(files: DataFrame, instances: DataFrame, path: str = "file_id", sha256: str = "sha256", buckets: int | None = None) -> DataFrame:
     """One row: digest of all label files, their number, and instances in all and by class."""
     digest = dataset_digest(files, path, sha256, buckets)

@@ -28,6 +28,20 @@ def split_summary(files: DataFrame, measures: dict[str, Column]) -> DataFrame:
     return files.rollup("split").agg(*(m.alias(k) for k, m in measures.items()), F.grouping("split").alias("_all")).withColumn("split", F.when(F.col("_all") == 1, "total").otherwise(F.col("split"))).drop("_all")
 
 
+def file_counters(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Counters of files by split and in all (``split`` = total), before and after decisions. ``images``: ``split, key, status``; ``labels``: ``split, key``; keys are unique in a split.
+
+    A dropped image drops its label, a negative counts as labelled whether it has a label or not. ``missing``: kept images without any; ``orphan``: labels without an image."""
+    both = images.select("split", key, "status", F.lit(True).alias("image")).join(labels.select("split", key, F.lit(True).alias("label")), ["split", key], "full_outer")
+    image, label, negative, dropped = F.col("image").isNotNull(), F.col("label").isNotNull(), F.col("status") == "kept_negative", F.coalesce(~F.col("status").isin("kept", "kept_negative"), F.lit(False))
+    negative = F.coalesce(negative, F.lit(False))
+    measures = {
+        "raw_images": image, "raw_labels": label, "dropped_images": dropped, "dropped_labels": dropped & label, "negatives": negative, "negatives_with_label": negative & label, "virtual_empty_labels": negative & ~label,
+        "images": image & ~dropped, "labels": (label & ~dropped) | negative, "paired": image & ~dropped & (label | negative), "missing": image & ~dropped & ~label & ~negative, "orphan": label & ~image,
+    }
+    return split_summary(both, {k: F.count_if(m) for k, m in measures.items()})
+
+
 def object_size_by_class(objects: DataFrame, classes: DataFrame, splits: list[str]) -> DataFrame:
     """Counts by size, shares, mean and median areas by class and split (and ``total``), with a row for every class."""
     measures = [

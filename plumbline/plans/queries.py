@@ -788,6 +788,39 @@ def repair_then_strict(spark, d):
     return C.validate_lines(fixed, V.CLASSES, "strict").agg(F.count("*").alias("repaired"), F.count("error_type").alias("still_faulty"))
 
 
+_FROZEN = f"""(SELECT file_id, line_no, CASE WHEN repaired THEN array_to_string(list_prepend(head, list_transform(range(1, len(rest) + 1), lambda i: CASE WHEN used[i] = 0 THEN '0' WHEN used[i] = 1 THEN '1' ELSE rest[i] END)), ' ') ELSE raw END AS text, repaired,
+  CASE WHEN repaired THEN CASE WHEN {V.distinct_sql('used')} < 3 THEN 'polygon_geometry' END WHEN error_type = 'polygon_coordinate_range' THEN 'unconfirmed_hard_range' ELSE error_type END AS violation
+  FROM (SELECT *, (error_type IS NULL AND soft_points > 0) OR (coalesce(error_type, '') = 'polygon_coordinate_range' AND file_id % 4 = 0) AS repaired FROM {V.VALIDATED} v WHERE raw <> '' AND file_id IN (SELECT file_id FROM {V.FILES} WHERE status = 'kept')))"""
+
+
+def frozen(spark, d) -> DataFrame:
+    found = issues(spark, d).where("coordinate_severity = 'hard' and file_id % 4 < 2")
+    reviews = found.select("file_id", "line_no", F.when(F.col("file_id") % 2 == 0, "repair_confirmed").otherwise("rejected").alias("review_decision"))
+    return freeze.frozen_lines(V.label_lines(spark, d).where("raw <> ''"), V.files(spark, d), reviews, V.CLASSES)
+
+
+@query(f"SELECT * FROM {_FROZEN}")
+def frozen_lines(spark, d):
+    return frozen(spark, d)
+
+
+@query(f"""SELECT file_id, split, coalesce(text, '') AS text, coalesce(lines, 0) AS lines, coalesce(repaired, 0) AS repaired, coalesce(violations, 0) AS violations, sha256(coalesce(text, '')) AS sha256 FROM {V.FILES}
+  LEFT JOIN (SELECT file_id, string_agg(text, chr(10) ORDER BY line_no, text) FILTER (violation IS NULL) AS text, count(*) FILTER (violation IS NULL) AS lines, count(*) FILTER (repaired) AS repaired, count(violation) AS violations FROM {_FROZEN} GROUP BY file_id) USING (file_id) WHERE status IN ('kept', 'kept_negative')""")
+def frozen_files(spark, d):
+    """The freeze as a chain: decisions, reviewed repair, validation of what was repaired, one text and digest a file."""
+    return freeze.frozen_files(V.files(spark, d), frozen(spark, d))
+
+
+@query(f"""SELECT CASE WHEN grouping(split) = 1 THEN 'total' ELSE split END AS split, count(i) AS raw_images, count(l) AS raw_labels, count(*) FILTER (dropped) AS dropped_images, count(l) FILTER (dropped) AS dropped_labels, count(*) FILTER (negative) AS negatives, count(l) FILTER (negative) AS negatives_with_label,
+  count(*) FILTER (negative AND l IS NULL) AS virtual_empty_labels, count(i) FILTER (NOT dropped) AS images, count(*) FILTER (negative OR (l IS NOT NULL AND NOT dropped)) AS labels, count(i) FILTER (NOT dropped AND (negative OR l IS NOT NULL)) AS paired,
+  count(i) FILTER (NOT dropped AND NOT negative AND l IS NULL) AS missing, count(l) FILTER (i IS NULL) AS orphan FROM (SELECT split, i.file_id AS i, l.file_id AS l, coalesce(status = 'dropped', FALSE) AS dropped, coalesce(status = 'kept_negative', FALSE) AS negative
+  FROM (SELECT * FROM {V.FILES} WHERE file_id % 6 <> 1) i FULL JOIN (SELECT * EXCLUDE (status) FROM {V.FILES} WHERE file_id % 5 <> 2) l USING (file_id, split)) GROUP BY ROLLUP (split)""")
+def file_counters(spark, d):
+    """Every sixth file has no image, every fifth no label."""
+    files = V.files(spark, d)
+    return stats.file_counters(files.where("file_id % 6 <> 1"), files.where("file_id % 5 <> 2"), "file_id")
+
+
 @query(f"""SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM {V.INSTANCES} WHERE class_id IS NOT NULL) AS instances, (SELECT sha256(string_agg(doc_id::VARCHAR || ':' || sha256(text) || chr(10), '' ORDER BY doc_id::VARCHAR)) FROM documents) AS digest""")
 def freeze_manifest(spark, d):
     files = V.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))

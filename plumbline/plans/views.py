@@ -149,6 +149,20 @@ DECISIONS = """(SELECT CASE WHEN doc_id % 5 = 0 THEN 'gone_' ELSE 'doc_' END ||
   FROM documents WHERE doc_id % 37 = 0 OR doc_id % 41 = 0 OR doc_id % 43 = 0)"""
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_id, split, filename, action, status``: the label files, one for each order, with the decisions on their names."""
+    from plumbline.operators.pairing import apply_decisions
+
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("Doc_"), k.cast("string"), F.when(k % 3 == 0, ".JPG").otherwise(".png"))
+    rows = read(spark, sf_dir, "orders").select(k.alias("file_id"), F.when(k % 10 == 0, "val").otherwise("train").alias("split"), name.alias("filename"))
+    return apply_decisions(rows, decisions(spark, sf_dir), "filename")
+
+
+FILES = f"""(SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 10 = 0 THEN 'val' ELSE 'train' END AS split, CASE WHEN action IN ('exclude', 'review') THEN 'dropped' WHEN action = 'keep_negative' THEN 'kept_negative' ELSE 'kept' END AS status
+  FROM orders LEFT JOIN {DECISIONS} k ON lower(k.filename) = 'doc_' || o_orderkey::VARCHAR || CASE WHEN o_orderkey % 3 = 0 THEN '.jpg' ELSE '.png' END)"""
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, split, capture_key, frame``: events numbered within their user."""
     from pyspark.sql import Window
