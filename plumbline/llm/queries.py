@@ -90,6 +90,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), cache_path=store.new_path(spark, "token-cache"), limit=4096)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import merkle
+
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    forged = merkle.leaf_digest(*(merkle.tampered(F.col(c)) if c == "text" else F.col(c) for c in columns))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), merkle.leaf_digest(*map(F.col, columns)), "source", "doc_id", {"doc_id": F.col("doc_id"), "forged": F.when(changed, forged)})
+    folded = rows.withColumn("folded_root", merkle.fold(F.coalesce("forged", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
 
@@ -97,7 +108,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Payload digests: the hexadecimal SHA-1 in eight groups of five digits, each four letters of the base-32 alphabet.
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, ((i // 4) * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INTEGER, 1)), '')"
 
+#: Unsigned CRC-32 of the decimal digits of doc_id, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+
+def _tree_sql(name: str, base: str, levels: int) -> str:
+    """Common table expressions of a tree over ``base`` (g, pos, d): nodes ``{name}0`` to ``{name}{levels}`` and the runs under them. A group with one node left stays as it is."""
+    out = [f"{name}0 AS (SELECT g, pos, d FROM {base})"]
+    for k in range(levels):
+        out.append(f"{name}run{k} AS (SELECT g, pos // 16 AS up, list(d ORDER BY pos) AS run, sum(count(*)) OVER (PARTITION BY g) > 1 AS grows FROM {name}{k} GROUP BY g, pos // 16)")
+        out.append(f"{name}{k + 1} AS (SELECT g, up AS pos, CASE WHEN grows THEN sha256(array_to_string(run, '')) ELSE run[1] END AS d FROM {name}run{k})")
+    return ",\n  ".join(out)
+
+
+def _way_sql(name: str, base: str, levels: int) -> str:
+    """``base`` with ``way``: what stands left and right of each of its nodes, upwards."""
+    side = f"CASE WHEN {{r}}.grows THEN [{{{{'l': array_to_string({{r}}.run[1:(b.pos // {{p}}) % 16], ''), 'r': array_to_string({{r}}.run[(b.pos // {{p}}) % 16 + 2:], '')}}}}] ELSE [] END"
+    ways = " || ".join(side.format(r=f"r{k}", p=16**k).replace("{{", "{").replace("}}", "}") for k in range(levels))
+    joins = " ".join(f"JOIN {name}run{k} r{k} ON r{k}.g = b.g AND r{k}.up = b.pos // {16 ** (k + 1)}" for k in range(levels))
+    return f"SELECT b.*, {ways} AS way, t.d AS top FROM {base} b {joins} JOIN {name}{levels} t ON t.g = b.g"
+
+
+def _fold_sql(levels: int) -> str:
+    """The root that ``own`` and the list ``way`` give; a level that is not there is skipped."""
+    out = "own"
+    for k in range(1, levels + 1):
+        out = f"(SELECT CASE WHEN len(way) >= {k} THEN sha256(way[{k}].l || f || way[{k}].r) ELSE f END FROM (SELECT {out} AS f))"
+    return out
+
+
+def _merkle_sql(deep: int = 6, wide: int = 4) -> str:
+    code = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(code(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH leaves AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS pos, d, own
+    FROM (SELECT doc_id, source, {leaf("text")} AS d, CASE WHEN {_CRC} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS own FROM documents)),
+  {_tree_sql("low", "leaves", deep)},
+  groups AS (SELECT 0 AS g, g AS pos, d FROM low{deep}),
+  {_tree_sql("top", "groups", wide)},
+  outer_way AS ({_way_sql("top", "groups", wide)}),
+  inner_way AS ({_way_sql("low", "leaves", deep)}),
+  ways AS (SELECT i.doc_id, i.d AS leaf, i.own, i.top AS subroot, o.top AS root, i.way || o.way AS way FROM inner_way i JOIN outer_way o ON o.pos = i.g),
+  folded AS (SELECT *, {_fold_sql(deep + wide)} AS folded_root FROM ways)
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x.l || x.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
 SQL = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op1_warc_transactions": f"""SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
   FROM (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS m FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))""",
     "op3_mtree_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
