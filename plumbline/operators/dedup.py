@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import hamming, hash_chunks
+from plumbline.operators.sampling import first_n
+from plumbline.sources.tables import keep
 
-#: Distinct hashes of a side that one block of a crowded chunk holds, about.
+#: Distinct hashes of a side that one block of a crowded key holds, about.
 HASHES = 2000
 
 
@@ -62,42 +65,83 @@ def _digests(rows: DataFrame) -> DataFrame:
     return dealt.select("bucket", "line", "files").mapInArrow(run, "bucket long, digest string, files long")
 
 
+def hash_classes(prints: DataFrame, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
+    """``hash, train_count, val_count, train_id, val_id``: one row for each hash that one of two splits has, with the number of files of each side and the smallest id of each. ``prints``: ``id, split, hash``."""
+    one = {n: F.col("split") == s for s, n in zip(sides, ("train", "val"), strict=True)}
+    known = prints.where(F.col("hash").isNotNull() & F.col("split").isin(*sides))
+    return known.groupBy("hash").agg(*(F.count_if(c).alias(f"{n}_count") for n, c in one.items()), *(F.min(F.when(c, F.col("id"))).alias(f"{n}_id") for n, c in one.items()))
+
+
+def identical_hash_classes(prints: DataFrame, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
+    """The hashes that both splits have, as ``hash_classes``: whole, without pairs. ``hash_members`` gives the files of each."""
+    return hash_classes(prints, sides).where("train_count > 0 and val_count > 0")
+
+
+def hash_members(prints: DataFrame, hashes: DataFrame, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
+    """``hash, split, id`` of the files of some hashes (``hash``)."""
+    return prints.where(F.col("split").isin(*sides)).join(hashes.select("hash").distinct(), "hash", "left_semi").select("hash", "split", "id")
+
+
 def identical_hash_pairs(prints: DataFrame, exclude: DataFrame | None = None, each: int = 10, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
-    """Pairs across two splits with one hash, at most ``each`` files of a side to a hash (the smallest ids), with the counts of the whole group. ``prints``:
-    ``id, split, hash``; ``exclude``: ``train_id, val_id``."""
-    w = Window.partitionBy("hash", "split")
-    ranked = prints.where(F.col("hash").isNotNull()).withColumn("place", F.row_number().over(w.orderBy("id"))).withColumn("group_count", F.count("*").over(w)).where(F.col("place") <= each)
-    a, b = (ranked.where(F.col("split") == s).select("hash", F.col("id").alias(f"{n}_id"), F.col("group_count").alias(f"{n}_group_count")) for s, n in zip(sides, ("train", "val"), strict=True))
-    pairs = a.join(b, "hash")
+    """Pairs across two splits with one hash, at most ``each`` files of a side to a hash (the smallest ids), with the counts of the whole group: the reference's cut, for its reports;
+    ``identical_hash_classes`` has none. Counts are partial aggregates, and a hot hash is cut in shares, so no task sees it whole. ``exclude``: ``train_id, val_id``."""
+    classes = identical_hash_classes(prints, sides).select("hash", F.col("train_count").alias("train_group_count"), F.col("val_count").alias("val_group_count"))
+    some = first_n(prints.where(F.col("hash").isNotNull() & F.col("split").isin(*sides)).select("id", "split", "hash"), ["hash", "split"], ["id"], each)
+    a, b = (some.where(F.col("split") == s).select("hash", F.col("id").alias(f"{n}_id")) for s, n in zip(sides, ("train", "val"), strict=True))
+    pairs = a.join(b, "hash").join(classes, "hash")
     return pairs if exclude is None else pairs.join(exclude.select("train_id", "val_id"), ["train_id", "val_id"], "left_anti")
 
 
+def _masks(pieces: int, threshold: int) -> list[int]:
+    """The bits of each choice of ``pieces - threshold`` out of ``pieces`` nearly equal parts of a hash, as signed numbers."""
+    edges = [64 * k // pieces for k in range(pieces + 1)]
+    parts = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:])]
+    wide = [sum(chosen) for chosen in combinations(parts, pieces - threshold)]
+    return [m - (1 << 64) if m >> 63 else m for m in wide]
+
+
+def key_pieces(hashes: int, threshold: int) -> int:
+    """Parts that a hash is cut into: as few as give keys of more bits than it takes to number the hashes, ``threshold + 4`` at most (bytes at 4: 70 keys of 32 bits). The pairs are the same with any."""
+    return next((m for m in range(threshold + 1, threshold + 4) if 64 * (m - threshold) // m > max(1, hashes).bit_length()), threshold + 4)
+
+
+def near_hash_classes(prints: DataFrame, threshold: int = 4, pieces: int | None = None, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
+    """All pairs of hashes across two splits that differ in ``threshold`` bits at most: ``train_hash, val_hash, distance, train_count, val_count, train_id, val_id`` (the number of
+    files behind each hash and the smallest id). Files are not expanded into pairs; ``hash_members`` gives them.
+
+    Cut into ``pieces`` parts, two such hashes are equal in all but ``threshold`` of them, so they share the key of some choice of the others; a pair is given by the first key
+    that it shares alone. Keys have so many bits that random hashes hardly meet; a key that many hashes have all the same is dealt into blocks, and blocks meet in pairs. The
+    table of distinct hashes is stored, as it is read for its size and by both sides."""
+    classes = keep(hash_classes(prints, sides), "hashes")
+    masks = _masks(pieces or key_pieces(classes.count(), threshold), threshold)
+    keyed = classes.select("*", F.posexplode(F.array(*(F.col("hash").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("key_index", "key"))
+    keys = ["key_index", "key"]
+    held = {n: F.count_if(F.col(f"{n}_count") > 0) for n in ("train", "val")}
+    crowded = keyed.groupBy(*keys).agg(*(F.greatest(F.ceil(h / HASHES), F.lit(1)).alias(f"{n}_parts") for n, h in held.items())).where("train_parts > 1 or val_parts > 1")
+    dealt = keyed.join(crowded, keys, "left").fillna(1, ["train_parts", "val_parts"])
+
+    def side(own: str, other: str) -> DataFrame:
+        """One side in its own blocks, once for each block of the other."""
+        block = F.pmod(F.xxhash64("hash"), F.col(f"{own}_parts")).alias(f"{own}_block")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)).alias(f"{other}_block")
+        return dealt.where(F.col(f"{own}_count") > 0).select(*keys, block, every, F.col("hash").alias(f"{own}_hash"), f"{own}_count", f"{own}_id")
+
+    met = side("train", "val").join(side("val", "train"), [*keys, "train_block", "val_block"])
+    different = F.col("train_hash").bitwiseXOR(F.col("val_hash"))
+    first = F.coalesce(*(F.when(different.bitwiseAND(F.lit(m).cast("long")) == 0, k) for k, m in enumerate(masks)))
+    near = met.withColumn("distance", F.bit_count(different)).where(F.col("distance") <= threshold).where(F.col("key_index") == first)
+    return near.select("train_hash", "val_hash", "distance", "train_count", "val_count", "train_id", "val_id")
+
+
 def near_hash_pairs(prints: DataFrame, threshold: int = 4, exclude: DataFrame | None = None, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
-    """All pairs across two splits whose hashes differ in ``threshold`` bits at most: ``train_id, val_id, distance``. Distinct hashes meet by one of ``threshold + 1``
-    chunks, one of which any such pair shares whole. A chunk that many hashes have is dealt into blocks, and blocks meet in pairs, so no task gets a crowded chunk
-    alone. Members are joined to the hash pairs last."""
-    members = prints.where(F.col("hash").isNotNull() & F.col("split").isin(*sides)).select("id", "split", "hash")
-    chunks = members.select("split", "hash").distinct().select("split", "hash", F.inline(_even_chunks(F.col("hash"), threshold + 1)))
-    keys = ["chunk_index", "chunk"]
-    sizes = chunks.groupBy(*keys).agg(*(F.ceil(F.count_if(F.col("split") == s) / HASHES).alias(f"{n}_parts") for s, n in zip(sides, ("train", "val"), strict=True))).where("train_parts > 0 and val_parts > 0")
-    dealt = chunks.join(sizes, keys)
-    # each side picks its own block and lists all blocks of the other side
-    block = {n: F.pmod(F.xxhash64("hash"), F.col(f"{n}_parts")).alias(f"{n}_block") for n in ("train", "val")}
-    every = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{n}_parts") - 1)).alias(f"{n}_block") for n in ("train", "val")}
-    a = dealt.where(F.col("split") == sides[0]).select(*keys, block["train"], every["val"], F.col("hash").alias("train_hash"))
-    b = dealt.where(F.col("split") == sides[1]).select(*keys, block["val"], every["train"], F.col("hash").alias("val_hash"))
-    near = a.join(b, [*keys, "train_block", "val_block"]).withColumn("distance", hamming(F.col("train_hash"), F.col("val_hash"))).where(F.col("distance") <= threshold).select("train_hash", "val_hash", "distance").distinct()
+    """The pairs of files behind ``near_hash_classes``: ``train_id, val_id, distance``. Files of one hash are all paired, so ask for it where that is wanted."""
+    members = prints.where(F.col("hash").isNotNull()).select("id", "split", "hash").distinct()
     a, b = (members.where(F.col("split") == s).select(F.col("id").alias(f"{n}_id"), F.col("hash").alias(f"{n}_hash")) for s, n in zip(sides, ("train", "val"), strict=True))
-    pairs = near.join(a, "train_hash").join(b, "val_hash").select("train_id", "val_id", "distance").distinct()
+    near = near_hash_classes(prints, threshold, sides=sides).select("train_hash", "val_hash", "distance")
+    pairs = near.join(a, "train_hash").join(b, "val_hash").select("train_id", "val_id", "distance")
     return pairs if exclude is None else pairs.join(exclude.select("train_id", "val_id"), ["train_id", "val_id"], "left_anti")
 
 
-def _even_chunks(h: Column, n: int) -> Column:
-    """``array<struct<chunk_index, chunk>>``: 64 bits in ``n`` parts of nearly equal width."""
-    edges = [64 * k // n for k in range(n + 1)]
-    return F.array(*(F.struct(F.lit(k).alias("chunk_index"), F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1).cast("long")).alias("chunk")) for k, (low, high) in enumerate(zip(edges, edges[1:]))))
-
-
 def near_hash_report(prints: DataFrame, threshold: int = 4, bucket_pairs: int = 50_000, cap: int = 50_000, exclude: DataFrame | None = None, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
     """The reference's cut of ``near_hash_pairs``, for its reports: pairs across two splits that share one of four 16-bit chunks of their hash and differ in ``threshold`` bits at most: the first ``cap`` by distance and ids. Buckets of more than
     ``bucket_pairs`` pairs are skipped. Four chunks find every pair up to distance 3; at 4 some may be missed."""

@@ -43,8 +43,18 @@ def sample_per_split(df: DataFrame, key: str, counts: dict[str, int], seed: int)
     return placed.where(F.col("place") <= wanted).drop("_order", "place")
 
 
+def first_n(df: DataFrame, group: list[str], order: list[str], n: int, salts: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each group in the order of ``order``, nulls first; of rows that tie at the end, any. Two levels: rows are dealt by group and a salt, which keeps the first ``n`` of a
+    share of the group, and only those meet as a group. So no task sees a group whole, however hot, and with small ``n`` Spark limits the shares before it shuffles them. ``salts``: the shuffle partitions."""
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    shares = df.withColumn("_salt", salt).withColumn("_place", place(*group, "_salt")).where(F.col("_place") <= n).drop("_salt", "_place")
+    return shares.withColumn("_place", place(*group)).where(F.col("_place") <= n).drop("_place")
+
+
 def first_per_split(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy(*order))).where(F.col("place") <= n).drop("place")
+    return first_n(df, ["split"], order, n)
 
 
 def backfill_sample(df: DataFrame, key: str, valid: str, count: int, seed: int) -> tuple[DataFrame, DataFrame]:

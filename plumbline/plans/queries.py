@@ -399,6 +399,26 @@ def near_duplicates_whole(spark, d):
     return dedup.near_hash_pairs(V.prints(spark, d))
 
 
+_HASHES = f"(SELECT hash, count(*) FILTER (split = 'train') AS train_count, count(*) FILTER (split = 'val') AS val_count, min(id) FILTER (split = 'train') AS train_id, min(id) FILTER (split = 'val') AS val_id FROM {V.PRINTS} GROUP BY hash)"
+
+
+@query(f"SELECT hash, train_count, val_count, train_id, val_id FROM {_HASHES} WHERE train_count > 0 AND val_count > 0")
+def identical_hash_classes(spark, d):
+    return dedup.identical_hash_classes(V.prints(spark, d))
+
+
+@query(f"SELECT hash, split, id FROM {V.PRINTS} WHERE hash IN (SELECT hash FROM {_HASHES} WHERE train_count > 0 AND val_count > 0)")
+def identical_hash_members(spark, d):
+    prints = V.prints(spark, d)
+    return dedup.hash_members(prints, dedup.identical_hash_classes(prints))
+
+
+@query(f"""SELECT t.hash AS train_hash, v.hash AS val_hash, bit_count(xor(t.hash, v.hash))::INTEGER AS distance, t.train_count, v.val_count, t.train_id, v.val_id FROM {_HASHES} t JOIN {_HASHES} v ON bit_count(xor(t.hash, v.hash)) <= 4 WHERE t.train_count > 0 AND v.val_count > 0""")
+def near_hash_classes(spark, d):
+    """Nearest first: the order is a range partition."""
+    return dedup.near_hash_classes(V.prints(spark, d)).orderBy("distance", "train_hash", "val_hash")
+
+
 @query("SELECT d.doc_id, d.lang, l.quality, c.role FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN (SELECT conv_id AS doc_id, min(role) AS role FROM conversations GROUP BY conv_id) c ON c.doc_id = d.doc_id")
 def three_way(spark, d):
     c = V.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min("role").alias("role"))
@@ -757,7 +777,7 @@ _LEAK_COUNTED = f"(SELECT *, row_number() OVER (PARTITION BY hash, split ORDER B
 @query(f"""SELECT 'full_decode_error' AS risk_type, NULL::VARCHAR AS group_key, CASE WHEN split = 'train' THEN id::VARCHAR END AS train_image, CASE WHEN split = 'val' THEN id::VARCHAR END AS val_image, NULL::BIGINT AS frame_delta, NULL::INTEGER AS dhash_distance, NULL::BIGINT AS train_group_count, NULL::BIGINT AS val_group_count, 'broken' AS note FROM {V.PRINTS} WHERE id % 101 = 0
   UNION ALL SELECT 'cross_split_group', 'p' || (id::BIGINT % 39)::VARCHAR AS part, NULL, NULL, NULL, NULL, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'val') AS b, NULL FROM {_LEAK} GROUP BY part HAVING a > 0 AND b > 0
   UNION ALL SELECT 'adjacent_frame', capture_key, t.id, v.id, abs(t.frame - v.frame), NULL, NULL, NULL, NULL FROM {_LEAK} t JOIN {_LEAK} v USING (capture_key) WHERE capture_key <> '' AND t.split = 'train' AND v.split = 'val' AND abs(t.frame - v.frame) <= 3
-  UNION ALL SELECT 'identical_hash', NULL, t.id, v.id, NULL, 0, t.n, v.n, NULL FROM {_LEAK_COUNTED} t JOIN {_LEAK_COUNTED} v ON t.hash = v.hash WHERE t.split = 'train' AND v.split = 'val' AND t.place <= 10 AND v.place <= 10 AND (t.id, v.id) NOT IN (SELECT (train_id, val_id) FROM {_LEAK_ADJ})
+  UNION ALL SELECT 'identical_hash', lower(printf('%016x', t.hash)), t.id, v.id, NULL, 0, t.n, v.n, CASE WHEN greatest(t.n, v.n) > 10 THEN 'first 10 of a side' END FROM {_LEAK_COUNTED} t JOIN {_LEAK_COUNTED} v ON t.hash = v.hash WHERE t.split = 'train' AND v.split = 'val' AND t.place <= 10 AND v.place <= 10 AND (t.id, v.id) NOT IN (SELECT (train_id, val_id) FROM {_LEAK_ADJ})
   UNION ALL SELECT 'near_duplicate', NULL, train_id, val_id, NULL, distance, NULL, NULL, NULL FROM {_LEAK_PAIRS} WHERE {_NOT_ADJ}""")
 def leakage_report_whole(spark, d):
     """All five risks with all their columns; ``leakage_report`` selects two of them. Parts by 39, as those by 40 never cross the splits."""
@@ -765,6 +785,20 @@ def leakage_report_whole(spark, d):
     return leakage.leakage_report(leak_prints(spark, d).withColumn("part_key", part))
 
 
+_LEAK_HASHES = f"(SELECT hash, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'val') AS b, min(id) FILTER (split = 'train') AS train_id, min(id) FILTER (split = 'val') AS val_id FROM {_LEAK} GROUP BY hash)"
+
+
+@query(f"""SELECT 'full_decode_error' AS risk_type, NULL::VARCHAR AS group_key, CASE WHEN split = 'train' THEN id::VARCHAR END AS train_image, CASE WHEN split = 'val' THEN id::VARCHAR END AS val_image, NULL::BIGINT AS frame_delta, NULL::INTEGER AS dhash_distance, NULL::BIGINT AS train_group_count, NULL::BIGINT AS val_group_count, 'broken' AS note FROM {V.PRINTS} WHERE id % 101 = 0
+  UNION ALL SELECT 'cross_split_group', 'p' || (id::BIGINT % 39)::VARCHAR AS part, NULL, NULL, NULL, NULL, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'val') AS b, NULL FROM {_LEAK} GROUP BY part HAVING a > 0 AND b > 0
+  UNION ALL SELECT 'adjacent_frame', capture_key, t.id, v.id, abs(t.frame - v.frame), NULL, NULL, NULL, NULL FROM {_LEAK} t JOIN {_LEAK} v USING (capture_key) WHERE capture_key <> '' AND t.split = 'train' AND v.split = 'val' AND abs(t.frame - v.frame) <= 3
+  UNION ALL SELECT 'identical_hash', lower(printf('%016x', hash)), train_id, val_id, NULL, 0, a, b, NULL FROM {_LEAK_HASHES} WHERE a > 0 AND b > 0
+  UNION ALL SELECT 'near_duplicate', lower(printf('%016x', t.hash)) || '-' || lower(printf('%016x', v.hash)), t.train_id, v.val_id, NULL, bit_count(xor(t.hash, v.hash))::INTEGER, t.a, v.b, NULL FROM {_LEAK_HASHES} t JOIN {_LEAK_HASHES} v ON bit_count(xor(t.hash, v.hash)) BETWEEN 1 AND 4 WHERE t.a > 0 AND v.b > 0""")
+def leakage_classes(spark, d):
+    """All five risks, hashes as classes: nothing cut, no pairs of files."""
+    part = F.concat(F.lit("p"), (F.col("id").cast("long") % 39).cast("string"))
+    return leakage.leakage_report(leak_prints(spark, d).withColumn("part_key", part), classes=True)
+
+
 @query(f"""SELECT split, count(*) AS lines, count(strict_error) AS faults, CASE WHEN split = 'val' THEN 0 ELSE (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) END::BIGINT AS missing, 0::BIGINT AS orphan, count(strict_error) = 0 AND split = 'val' AS passed FROM {V.VALIDATED} GROUP BY split""")
 def gate(spark, d):
     lines = V.validated(spark, d, "strict").select("split", "error_type")
