@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import sample_key
+from plumbline.functions.columns import difference_hash, sample_key
+from plumbline.sources.listing import list_files
+from plumbline.sources.tables import bound_batches
 
 # Suffixes of image files.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
@@ -20,27 +22,18 @@ def _keyed(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("rel_path", inner).withColumn("split", F.when(F.instr("rel_path", "/") > 0, F.substring_index("rel_path", "/", 1))).withColumn("sample_key", sample_key(F.regexp_replace("rel_path", "^[^/]+/", ""))).withColumn("filename", F.regexp_extract("path", "([^/]*)$", 1))
 
 
-def _all_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Path and length of every file. The reader leaves out files without bytes, but lists them as inputs: they are added with length 0."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    found = read.select("path", "length")
-    listed = spark.createDataFrame([(p,) for p in read.inputFiles()], "path string")
-    clean = F.regexp_replace("path", "^file:/+", "/")
-    empty = listed.withColumn("k", clean).join(found.select(clean.alias("k")), "k", "left_anti").select("path", F.lit(0).cast("long").alias("length"))
-    return found.unionByName(empty)
-
-
 def images(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
-    """``path, length, rel_path, split, sample_key, filename`` of image files below ``root/<split>/``; contents are not read."""
-    return _keyed(_all_files(spark, root), root).where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
+    """``path, length, rel_path, split, sample_key, filename`` of image files below ``root/<split>/``; contents are not read, and folders are listed in tasks."""
+    listed = list_files(spark, root).select("path", "length")
+    return _keyed(listed.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes)), root)
 
 
 def labels(spark: SparkSession, root: str, bom: str = "keep") -> DataFrame:
-    """Label files with their text; files without bytes have the empty text. ``bom='strip'`` drops a leading byte order mark."""
+    """Label files with their text; files without bytes, which the reader leaves out, have the empty text. ``bom='strip'`` drops a leading byte order mark."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").load(root)
     text = F.decode("content", "UTF-8")
-    with_text = read.select("path", "length", (F.regexp_replace(text, "^﻿", "") if bom == "strip" else text).alias("text"))
-    empty = _all_files(spark, root, "*.[tT][xX][tT]").where("length = 0").withColumn("text", F.lit(""))
+    with_text = read.select("path", "length", (F.regexp_replace(text, "^\ufeff", "") if bom == "strip" else text).alias("text"))
+    empty = list_files(spark, root).where((F.col("length") == 0) & F.lower("path").endswith(".txt")).select("path", "length", F.lit("").alias("text"))
     return _keyed(with_text.unionByName(empty), root)
 
 
@@ -52,26 +45,25 @@ def image_sizes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def grey_grids(spark: SparkSession, root: str, rows: int = 8, columns: int = 9) -> DataFrame:
-    """``path, grid``: mean grey of each cell of a coarse grid, for difference hashes; null for an image that can't be decoded. A plain mean over each cell: hashes
-    are comparable with each other, not with those of a resampling filter."""
-    import numpy as np
-    import pandas as pd
+    """``path, grid``: a grey image shrunk to ``rows`` x ``columns`` by a triangle filter, for difference hashes; null for an image that can't be decoded. Images of one size in an Arrow
+    batch are shrunk together (``resampling.shrink``). A decoder's own reduction while reading a JPEG is not imitated."""
+    import pyarrow as pa
+
+    from plumbline.functions.resampling import grids
 
-    def shrink(batches):
+    bound_batches(spark, 64 << 20)
+
+    def run(batches):
         for batch in batches:
-            paths, grids = [], []
-            for origin, w, h, n, data in zip(batch["origin"], batch["width"], batch["height"], batch["nChannels"], batch["data"], strict=True):
-                paths.append(origin)
-                if w <= 0:
-                    grids.append(None)
-                    continue
-                pixels = np.frombuffer(data, np.uint8).reshape(h, w, n)[:, :, : 3 if n >= 3 else 1].astype(float)
-                grey = pixels @ np.array([0.114, 0.587, 0.299]) if n >= 3 else pixels[:, :, 0]
-                y, x = np.arange(rows + 1) * h // rows, np.arange(columns + 1) * w // columns
-                grids.append([float(grey[y[r] : max(y[r] + 1, y[r + 1]), x[c] : max(x[c] + 1, x[c + 1])].mean()) for r in range(rows) for c in range(columns)])
-            yield pd.DataFrame({"path": paths, "grid": grids})
+            made = grids(*(batch.column(c) for c in ("width", "height", "nChannels", "data")), rows, columns)
+            yield pa.RecordBatch.from_arrays([batch.column("origin"), made], ["path", "grid"])
+
+    return spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.*").mapInArrow(run, "path string, grid array<int>")
+
 
-    return spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.*").mapInPandas(shrink, "path string, grid array<double>")
+def image_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """``path, hash, decode_error``: the difference hash of each image; an image that can't be decoded has none and an error."""
+    return grey_grids(spark, root).select("path", F.when(F.col("grid").isNotNull(), difference_hash(F.col("grid"))).alias("hash"), F.when(F.col("grid").isNull(), "undecodable").alias("decode_error"))
 
 
 def sample_list(spark: SparkSession, path: str, root: str) -> DataFrame:
@@ -150,8 +142,10 @@ def split_roots(spark: SparkSession, path: str) -> dict[str, str]:
     return {split: below(root, str(config[split])) for split in ("train", "val", "test") if config.get(split) is not None}
 
 
-def write_csv(df: DataFrame, path: str, fields: list[str], overwrite: bool = False) -> None:
-    df.select(*fields).write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, fields: list[str], overwrite: bool = False, bom: bool = True) -> None:
+    """A CSV with a header and the fields in this order; each file begins with a byte order mark, as part of its header."""
+    named = df.select(*(F.col(f).alias(f"\ufeff{f}" if bom and k == 0 else f) for k, f in enumerate(fields)))
+    named.write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True)
 
 
 def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -24,3 +24,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, most: int) -> None:
+    """Arrow batches of ``most`` bytes at most in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not 0 < (int(now) if now and now.lstrip("-").isdigit() else 0) <= most:
+        spark.conf.set(key, str(most))

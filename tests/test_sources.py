@@ -1,12 +1,15 @@
 """Readers and writers on small folders."""
 
 import json
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import resampling
 from plumbline.operators import freeze, leakage, pairing, sampling
-from plumbline.sources import files
+from plumbline.sources import files, listing
 
 
 @pytest.fixture
@@ -126,7 +129,71 @@ def test_images_are_decoded(spark, tmp_path):
     sizes = {r["path"].rpartition("/")[2]: (r["width"], r["height"], r["decode_error"]) for r in files.image_sizes(spark, str(tmp_path)).collect()}
     assert sizes == {"a.png": (18, 16, None), "b.png": (0, 0, "undecodable")}
     grids = {r["path"].rpartition("/")[2]: r["grid"] for r in files.grey_grids(spark, str(tmp_path)).collect()}
-    assert grids["b.png"] is None and grids["a.png"] == pytest.approx([10 * c + r for r in range(8) for c in range(9)])
+    assert grids["b.png"] is None and grids["a.png"] == slow_grid([[10 * (c // 2) + r // 2 for c in range(18)] for r in range(16)], 8, 9)
+    hashes = {r["path"].rpartition("/")[2]: (r["hash"], r["decode_error"]) for r in files.image_hashes(spark, str(tmp_path)).collect()}
+    assert hashes == {"a.png": (0, None), "b.png": (None, "undecodable")}
+
+
+def slow_line(line, cells):
+    """One row of pixels shrunk to ``cells``: a triangle filter with whole-number weights, pixel by pixel."""
+    scale = len(line) / cells
+    support = max(scale, 1.0)
+    out = []
+    for c in range(cells):
+        centre = (c + 0.5) * scale
+        places = range(max(0, int(centre - support + 0.5)), min(len(line), int(centre + support + 0.5)))
+        w = [max(0.0, 1 - abs((x - centre + 0.5) / support)) for x in places]
+        total = sum(line[x] * int(k / sum(w) * (1 << 22) + 0.5) for x, k in zip(places, w, strict=True)) + (1 << 21)
+        out.append(min(255, max(0, total >> 22)))
+    return out
+
+
+def slow_grid(pixels, rows, columns):
+    narrow = [slow_line(r, columns) for r in pixels]
+    return [v for r in zip(*(slow_line(list(c), rows) for c in zip(*narrow, strict=True)), strict=True) for v in r]
+
+
+def test_shrinking_equals_a_slow_kernel():
+    rng = random.Random(4)
+    rows = []
+    for w, h, n in [(9, 8, 1), (9, 8, 3), (64, 48, 3), (64, 48, 3), (5, 3, 1), (1, 1, 4), (101, 77, 4), (300, 20, 1)]:
+        rows.append((w, h, n, bytes(rng.randrange(256) for _ in range(w * h * n))))
+    rows.insert(3, (0, 0, -1, b""))
+    got = resampling.grids(*(pa.array(c) for c in zip(*rows, strict=True)), 8, 9).to_pylist()
+    for (w, h, n, data), grid in zip(rows, got, strict=True):
+        if not w:
+            assert grid is None
+            continue
+        dots = [data[k : k + n] for k in range(0, len(data), n)]
+        grey = [d[0] if n < 3 else (7471 * d[0] + 38470 * d[1] + 19595 * d[2] + 0x8000) >> 16 for d in dots]
+        assert grid == slow_grid([grey[k : k + w] for k in range(0, w * h, w)], 8, 9), (w, h, n)
+
+
+def test_listing_in_tasks(spark, tmp_path):
+    want = {}
+    for k in range(3000):
+        p = tmp_path / f"split{k % 3}" / f"d{k % 7}" / ("deep/er" if k % 5 == 0 else "") / f"f {k}.txt"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x" * (k % 4))
+        want[f"file:{p}"] = k % 4
+    (tmp_path / "top.txt").write_bytes(b"t")
+    want[f"file:{tmp_path}/top.txt"] = 1
+    (tmp_path / "empty" / "folder").mkdir(parents=True)
+    for depth in (0, 1, 2):
+        listed = listing.list_files(spark, str(tmp_path), depth)
+        assert {r["path"]: r["length"] for r in listed.collect()} == want
+        assert listed.count() == 3001 and listed.where("modified is null").isEmpty()
+    assert listing.list_files(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(Exception, match="gone"):
+        listing.list_files(spark, str(tmp_path / "gone")).count()
+
+
+def test_csv_begins_with_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é", "x")], "a int, b string, c string").coalesce(1)
+    files.write_csv(df, str(tmp_path / "out"), ["b", "a"])
+    text = next((tmp_path / "out").glob("part-*")).read_bytes()
+    assert text == "\ufeffb,a\né,1\n".encode()
+    assert files.summary_csv(spark, str(tmp_path / "out"), "b string, a int").first() == ("é", 1)
 
 
 def test_tables_of_runs_and_reports(spark, tmp_path):
