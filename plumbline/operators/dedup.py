@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -65,6 +66,46 @@ def _digests(rows: DataFrame) -> DataFrame:
     return dealt.select("bucket", "line", "files").mapInArrow(run, "bucket long, digest string, files long")
 
 
+def digest_tree(files: DataFrame, path: str, sha256: str, depth: int = 4) -> DataFrame:
+    """``level, prefix, digest, files``: a Merkle tree of a set of files over the leading ``depth`` hexadecimal digits of the SHA-256 of their paths, from the leaves (``level`` = depth) to the root
+    (0, empty prefix). A leaf hashes the ``path:sha256`` lines of its files in order (16 ** depth leaves share all files, so one holds some 15,000 of 10**9); an inner node hashes the prefixes
+    and digests of its 16 children at most. A null digest counts as ``-``; a file that is listed twice counts twice; no files, no nodes. Store it: two trees tell which files to compare."""
+    name = F.col(path).cast("string")
+    lines = files.select(F.substring(F.sha2(name, 256), 1, depth).alias("prefix"), F.struct(name.alias("path"), F.coalesce(F.col(sha256), F.lit("-")).alias("sha256")).alias("file"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("file")), lambda f: F.concat(f["path"], F.lit(":"), f["sha256"], F.lit("\n"))), "")
+    nodes = lines.groupBy("prefix").agg(F.sha2(text, 256).alias("digest"), F.count("*").alias("files"))
+    levels = [nodes]
+    for k in reversed(range(depth)):
+        child = F.struct("prefix", "digest")
+        kids = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda c: F.concat(c["prefix"], F.lit(":"), c["digest"], F.lit("\n"))), "")
+        up = F.substring("prefix", 1, k) if k else F.lit("")
+        levels.append(levels[-1].groupBy(up.alias("_up")).agg(F.sha2(kids, 256).alias("digest"), F.sum("files").alias("files")).withColumnRenamed("_up", "prefix"))
+    return reduce(DataFrame.unionByName, [n.select(F.lit(depth - k).alias("level"), "prefix", "digest", "files") for k, n in enumerate(levels)])
+
+
+def tree_root(tree: DataFrame) -> DataFrame:
+    """``digest, files`` of a whole tree; without nodes the digest of nothing."""
+    nothing = hashlib.sha256(b"").hexdigest()
+    return tree.where("level = 0").agg(F.coalesce(F.first("digest"), F.lit(nothing)).alias("digest"), F.coalesce(F.sum("files"), F.lit(0).cast("long")).alias("files"))
+
+
+def changed_files(old: DataFrame, new: DataFrame, old_tree: DataFrame, new_tree: DataFrame, path: str, sha256: str) -> DataFrame:
+    """``path, before, after, change`` of the files that two sets do not share: added, removed or changed. Only files below leaves that differ are compared. Paths are unique in a set."""
+    depth = F.length("prefix") > 0
+    a, b = (t.where(depth).where(F.col("level") == F.length("prefix")).select("level", "prefix", F.col("digest").alias(n)) for t, n in ((old_tree, "_a"), (new_tree, "_b")))
+    deepest = a.select("level").unionByName(b.select("level")).agg(F.max("level").alias("level"))
+    leaves = a.join(b, ["level", "prefix"], "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).join(F.broadcast(deepest), "level")  # one row
+    width = leaves.select("prefix", "level")
+
+    def touched(files: DataFrame, name: str) -> DataFrame:
+        rows = files.select(F.col(path).cast("string").alias("path"), F.col(sha256).alias(name)).withColumn("_sha", F.sha2("path", 256)).join(F.broadcast(deepest), F.lit(True))
+        return rows.withColumn("prefix", F.expr("substring(_sha, 1, level)")).join(width, ["prefix", "level"], "left_semi").select("path", name, F.lit(True).alias(f"_{name}"))
+
+    both = touched(old, "before").join(touched(new, "after"), "path", "full_outer")
+    change = F.when(F.col("_before").isNull(), "added").when(F.col("_after").isNull(), "removed").otherwise("changed")
+    return both.where(F.col("_before").isNull() | F.col("_after").isNull() | ~F.col("before").eqNullSafe(F.col("after"))).select("path", "before", "after", change.alias("change"))
+
+
 def hash_classes(prints: DataFrame, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
     """``hash, train_count, val_count, train_id, val_id``: one row for each hash that one of two splits has, with the number of files of each side and the smallest id of each. ``prints``: ``id, split, hash``."""
     one = {n: F.col("split") == s for s, n in zip(sides, ("train", "val"), strict=True)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import clamp01, number, tokens, validate_lines, within_tolerance
-from plumbline.operators.dedup import dataset_digest
+from plumbline.operators.dedup import dataset_digest, digest_tree, tree_root
 
 
 def repair_log(lines: DataFrame, issues: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,14 +88,27 @@ def frozen_files(files: DataFrame, frozen: DataFrame) -> DataFrame:
     return out.select("file_id", "split", text.alias("text"), zero("lines"), zero("repaired"), zero("violations"), F.sha2(text, 256).alias("sha256"))
 
 
-def manifest(files: DataFrame, instances: DataFrame, path: str = "file_id", sha256: str = "sha256", buckets: int | None = None) -> DataFrame:
-    """One row: digest of all label files, their number, and instances in all and by class."""
-    digest = dataset_digest(files, path, sha256, buckets)
+def manifest(files: DataFrame, instances: DataFrame, path: str = "file_id", sha256: str = "sha256", tree: DataFrame | None = None, stream: bool = False) -> DataFrame:
+    """One row: digest of all label files, their number, and instances in all and by class. The digest is the root of ``tree`` (``dedup.digest_tree``, made here unless one that is
+    stored is given); with ``stream`` it is that of all files in one sequence, for sets that were frozen so, which one task has to hash."""
+    digest = dataset_digest(files, path, sha256) if stream else tree_root(tree if tree is not None else digest_tree(files, path, sha256))
     by_class = instances.groupBy("class_id").agg(F.count("*").alias("n"))
     counts = by_class.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("instances"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("class_id").cast("string"), "n")))).alias("class_counts"))
     return digest.join(F.broadcast(counts))  # one row each
 
 
+def unexpected_totals(made: DataFrame, expected: dict[str, int], classes: dict[int, int] | None = None) -> DataFrame:
+    """``total, expected, found`` of each number of a manifest that is not as expected: ``files``, ``instances``, and with ``classes`` the instances of each class (``class_<id>``; a class that is
+    not there has 0). A set is frozen where it is empty (``pairing.require_none``)."""
+    own = [(k, F.lit(v).cast("long"), F.col(k).cast("long")) for k, v in expected.items()]
+    own += [(f"class_{k}", F.lit(v).cast("long"), F.coalesce(F.try_element_at("class_counts", F.lit(str(k))), F.lit(0)).cast("long")) for k, v in (classes or {}).items()]
+    rows = made.select(F.inline(F.array(*(F.struct(F.lit(k).alias("total"), e.alias("expected"), f.alias("found")) for k, e, f in own))))
+    if classes is not None:
+        others = made.select(F.explode("class_counts").alias("c", "found")).where(~F.col("c").isin(*map(str, classes)))
+        rows = rows.unionByName(others.select(F.concat(F.lit("class_"), "c").alias("total"), F.lit(0).cast("long").alias("expected"), "found"))
+    return rows.where("expected <> found")
+
+
 def gate(lines: DataFrame, missing: DataFrame, orphan: DataFrame) -> DataFrame:
     """One row by split: missing, orphan and faulty lines, and whether the split passes. ``lines``: ``split, error_type``."""
     parts = [lines.where("error_type is not null").select("split", F.lit("faults").alias("kind")), missing.select("split", F.lit("missing").alias("kind")), orphan.select("split", F.lit("orphan").alias("kind"))]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import bin_number
+from plumbline.functions.columns import bin_number, finite
+from plumbline.sources.tables import keep
 
 
 def with_zeros(counts: DataFrame, dimension: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,17 +43,51 @@ def file_counters(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return split_summary(both, {k: F.count_if(m) for k, m in measures.items()})
 
 
+def exact_medians(rows: DataFrame, by: list[str], values: list[str], bins: int = 4096, passes: int = 2) -> DataFrame:
+    """``by`` and the median of each of ``values`` (mean of the two middle ones of an even number), exactly, with no group in one buffer.
+
+    Selection by histograms: each pass counts the rows of a group in ``bins`` bins between the smallest and the greatest value that may still be the middle, and keeps the bin that holds it; what
+    is left is counted by value. A bin is a rounded linear function of the value, so it keeps the order, and any data give the same result. Moved between tasks are ``bins`` counts of a
+    group at most, and for the last step the values of one bin. Null, NaN and infinite values take no part; a group without others has no row. ``rows`` is read once a pass: give stored data."""
+    plain = [c for c in by if c in rows.columns]
+    numbers = F.explode(F.array(*(F.struct(F.lit(k).alias("_of"), F.col(v).cast("double").alias("_v")) for k, v in enumerate(values))))
+    long = rows.select(*plain, numbers.alias("_x")).select(*plain, "_x.*").where(finite(F.col("_v")))
+    keys, target = [*plain, "_of"], [*plain, "_of", "_rank"]
+    ends = long.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    middle = F.explode(F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2"))))
+    state = ends.select(*keys, middle.alias("_rank"), "_low", "_high", F.lit(0).cast("long").alias("_below"))
+    running = Window.partitionBy(*target).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for k in range(passes + 1):
+        width = F.col("_high") - F.col("_low")
+        bin_ = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0).cast("long")) if k < passes else F.col("_v")
+        inside = on_keys(long, state, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        counts = inside.groupBy(*target, "_below", bin_.alias("_bin")).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        upto = counts.withColumn("_upto", F.col("_below") + F.sum("_n").over(running))
+        found = upto.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        state = found.select(*target, "_low", "_high", (F.col("_upto") - F.col("_n")).alias("_below"))
+    return state.groupBy(*plain).agg(*(F.avg(F.when(F.col("_of") == k, F.col("_low"))).alias(v) for k, v in enumerate(values)))
+
+
+def on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys that may be null, which then are equal."""
+    other = right.select(*(F.col(c).alias(f"_k_{c}") if c in keys else c for c in right.columns))
+    return left.join(other, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])).drop(*(f"_k_{c}" for c in keys))
+
+
 def object_size_by_class(objects: DataFrame, classes: DataFrame, splits: list[str]) -> DataFrame:
     """Counts by size, shares, mean and median areas by class and split (and ``total``), with a row for every class."""
+    areas = ["bbox_area_px", "mask_area_relative"]
+    stored = keep(objects.select("split", "class_id", "size", *areas), "objects")
+    each = stored.withColumn("split", F.explode(F.array("split", F.lit("total"))))
     measures = [
         F.count("*").alias("objects"),
         *(F.count_if(F.col("size") == s).alias(s) for s in ("small", "medium", "large")),
-        F.avg("bbox_area_px").alias("mean_area_px"), F.median("bbox_area_px").alias("median_area_px"),
-        F.avg("mask_area_relative").alias("mean_mask"), F.median("mask_area_relative").alias("median_mask"),
+        F.avg("bbox_area_px").alias("mean_area_px"), F.avg("mask_area_relative").alias("mean_mask"),
     ]
-    grouped = objects.groupingSets([["split", "class_id"], ["class_id"]], "split", "class_id").agg(*measures).withColumn("split", F.coalesce("split", F.lit("total")))
+    grouped = each.groupBy("split", "class_id").agg(*measures)
+    middles = exact_medians(each, ["split", "class_id"], areas).select("split", "class_id", F.col("bbox_area_px").alias("median_area_px"), F.col("mask_area_relative").alias("median_mask"))
     names = classes.select("class_id").withColumn("split", F.explode(F.array(*(F.lit(s) for s in [*splits, "total"]))))
-    out = with_zeros(grouped, names, ["split", "class_id"])
+    out = with_zeros(grouped.join(middles, ["split", "class_id"], "left"), names, ["split", "class_id"])
     for s in ("small", "medium", "large"):
         out = out.withColumn(f"{s}_ratio", F.when(F.col("objects") > 0, F.col(s) / F.col("objects")).otherwise(F.lit(0.0)))
     return out

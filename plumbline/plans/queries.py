@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
 from plumbline.operators import dedup, evaluation, freeze, leakage, obb, pairing, sampling, stats
+from plumbline.operators.hash_index import HashIndex
 from plumbline.plans import views as V
+from plumbline.sources.tables import keep, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -419,6 +422,16 @@ def near_hash_classes(spark, d):
     return dedup.near_hash_classes(V.prints(spark, d)).orderBy("distance", "train_hash", "val_hash")
 
 
+@query(f"SELECT t.hash AS train_hash, v.hash AS val_hash, bit_count(xor(t.hash, v.hash))::INTEGER AS distance FROM {_HASHES} t JOIN {_HASHES} v ON bit_count(xor(t.hash, v.hash)) <= 4 WHERE t.train_count > 0 AND v.val_count > 0")
+def hash_index_additions(spark, d):
+    """The same pairs from a stored index to which the documents are added in two parts."""
+    name = f"hashes_{uuid.uuid4().hex}"
+    index = HashIndex(name, f"{shared_dir(spark)}/plumbline/{name}", id_type="bigint", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    prints = keep(V.prints(spark, d), "prints")
+    links = [index.add(prints.where(part)) for part in ("id % 3 > 0", "id % 3 = 0")]
+    return links[0].unionByName(links[1]).select("train_hash", "val_hash", "distance").distinct()
+
+
 @query("SELECT d.doc_id, d.lang, l.quality, c.role FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN (SELECT conv_id AS doc_id, min(role) AS role FROM conversations GROUP BY conv_id) c ON c.doc_id = d.doc_id")
 def three_way(spark, d):
     c = V.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min("role").alias("role"))
@@ -858,7 +871,55 @@ def file_counters(spark, d):
 @query(f"""SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM {V.INSTANCES} WHERE class_id IS NOT NULL) AS instances, (SELECT sha256(string_agg(doc_id::VARCHAR || ':' || sha256(text) || chr(10), '' ORDER BY doc_id::VARCHAR)) FROM documents) AS digest""")
 def freeze_manifest(spark, d):
     files = V.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return freeze.manifest(files, V.instances(spark, d).where("class_id is not null"), "doc_id").select("files", "instances", "digest")
+    return freeze.manifest(files, V.instances(spark, d).where("class_id is not null"), "doc_id", stream=True).select("files", "instances", "digest")
+
+
+def _tree_sql(files: str) -> str:
+    """Nodes of the digest tree of ``files`` (path, sha)."""
+    out = f"t4 AS (SELECT prefix, sha256(string_agg(path || ':' || sha || chr(10), '' ORDER BY path, sha)) AS digest, count(*) AS files FROM (SELECT sha256(path)[1:4] AS prefix, path, sha FROM {files}) GROUP BY prefix)"
+    for k in (3, 2, 1, 0):
+        out += f", t{k} AS (SELECT prefix[1:{k}] AS prefix, sha256(string_agg(prefix || ':' || digest || chr(10), '' ORDER BY prefix)) AS digest, sum(files)::BIGINT AS files FROM t{k + 1} GROUP BY prefix[1:{k}])"
+    return out
+
+
+_DOC_FILES = "(SELECT doc_id::VARCHAR AS path, sha256(text) AS sha FROM documents)"
+
+
+def doc_files(spark, d) -> DataFrame:
+    return V.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+
+
+@query(f"WITH {_tree_sql(_DOC_FILES)} SELECT 4 AS level, * FROM t4 UNION ALL SELECT 3, * FROM t3 UNION ALL SELECT 2, * FROM t2 UNION ALL SELECT 1, * FROM t1 UNION ALL SELECT 0, * FROM t0")
+def digest_tree(spark, d):
+    return dedup.digest_tree(doc_files(spark, d), "path", "sha256")
+
+
+@query(f"""WITH {_tree_sql(_DOC_FILES)} SELECT t0.files, i.instances, t0.digest, c.class_counts FROM t0, (SELECT count(*) AS instances FROM {V.INSTANCES} WHERE class_id IS NOT NULL) i,
+  (SELECT string_agg(class_id || '=' || n, ',' ORDER BY class_id::VARCHAR) AS class_counts FROM (SELECT class_id, count(*) AS n FROM {V.INSTANCES} WHERE class_id IS NOT NULL GROUP BY class_id)) c""")
+def freeze_record(spark, d):
+    """The manifest with the digest of the tree and the counts of the classes."""
+    made = freeze.manifest(doc_files(spark, d), V.instances(spark, d).where("class_id is not null"), "path")
+    counts = F.transform(F.array_sort(F.map_entries("class_counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return made.select("files", "instances", "digest", F.array_join(counts, ",").alias("class_counts"))
+
+
+@query(f"""SELECT 'class_' || class_id AS total, (900 + class_id)::BIGINT AS expected, coalesce(n, 0)::BIGINT AS found FROM (SELECT unnest(range(0, {V.CLASSES})) AS class_id) LEFT JOIN (SELECT class_id, count(*) AS n FROM {V.INSTANCES} WHERE class_id IS NOT NULL GROUP BY class_id) USING (class_id) WHERE coalesce(n, 0) <> 900 + class_id
+  UNION ALL SELECT 'files', 1000, count(*) FROM documents HAVING count(*) <> 1000""")
+def unexpected_totals(spark, d):
+    """The totals of a freeze against those that were agreed."""
+    made = freeze.manifest(doc_files(spark, d), V.instances(spark, d).where("class_id is not null"), "path")
+    return freeze.unexpected_totals(made, {"files": 1000}, {k: 900 + k for k in range(V.CLASSES)})
+
+
+@query("""SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 97 <> 1 THEN sha256(text) END AS before, CASE WHEN doc_id % 89 <> 2 THEN sha256(CASE WHEN doc_id % 83 = 3 THEN text || '.' ELSE text END) END AS after,
+  CASE WHEN doc_id % 97 = 1 THEN 'added' WHEN doc_id % 89 = 2 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE (doc_id % 97 = 1 OR doc_id % 89 = 2 OR doc_id % 83 = 3) AND NOT (doc_id % 97 = 1 AND doc_id % 89 = 2)""")
+def changed_files(spark, d):
+    """Two freezes of the documents, one without some, one without others and with some that were edited."""
+    docs = V.read(spark, d, "documents")
+    old = docs.where("doc_id % 97 <> 1").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+    new = docs.where("doc_id % 89 <> 2").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.when(F.col("doc_id") % 83 == 3, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
+    trees = [dedup.digest_tree(x, "path", "sha256") for x in (old, new)]
+    return dedup.changed_files(old, new, *trees, "path", "sha256")
 
 
 @query(f"""SELECT split, class_id, count(*) AS instances, count(DISTINCT file_id) AS files, count(*) FILTER (geometry_status = 'valid') AS valid, count(*) FILTER (geometry_status = 'soft_clipped') AS soft_clipped, round(avg(abs({V.signed_sql('used')})) FILTER (geometry_status IS NOT NULL), 6) AS mean_mask, CASE WHEN action IN ('exclude', 'review') THEN 'dropped' WHEN action = 'keep_negative' THEN 'kept_negative' ELSE 'kept' END AS status
