@@ -204,11 +204,12 @@ def validate_lines(lines: DataFrame, num_classes: int | None = None, mode: str =
     return lines.select(*own, _parsed(F.col(raw), checked).alias("_v")).select(*own, *(F.col(f"_v.{c}").alias(c) for c in names))
 
 
-def parse_instances(lines: DataFrame, class_ids: list[int], raw: str = "raw") -> DataFrame:
+def parse_instances(lines: DataFrame, class_ids: list[int], raw: str = "raw", values: str | None = None) -> DataFrame:
     """``lines`` with ``class_id, coords, geometry_status, hard_error, soft_error``: label lines for the statistics.
 
     The class counts before the coordinates are looked at, and is read on its own: counts of classes parse no coordinates. A line has at most two errors: a
-    soft range error, and then the geometry that clamping leaves. ``geometry_status`` is valid, soft_clipped or null; ``coords`` are the clamped ones.
+    soft range error, and then the geometry that clamping leaves. ``geometry_status`` is valid, soft_clipped or null; ``coords`` are the clamped ones. ``values`` names a column for
+    the coordinates as written, of lines whose coordinates were looked at; null for the others.
     """
 
     def known(c: Column) -> Column:
@@ -227,10 +228,10 @@ def parse_instances(lines: DataFrame, class_ids: list[int], raw: str = "raw") ->
         ok = e.isNull()
         return F.struct(
             F.when(ok, x["used"]).alias("coords"), F.when(ok, F.when(y["outside"], "soft_clipped").otherwise("valid")).alias("geometry_status"), e.alias("hard_error"),
-            F.when(ok | (e == "polygon_geometry"), y["outside"]).otherwise(F.lit(False)).alias("soft_error"),
+            F.when(ok | (e == "polygon_geometry"), y["outside"]).otherwise(F.lit(False)).alias("soft_error"), *([F.when(y["early"].isNull(), x["coords"]).alias(values)] if values else []),
         )
 
-    names = ("coords", "geometry_status", "hard_error", "soft_error")
+    names = ("coords", "geometry_status", "hard_error", "soft_error", *([values] if values else []))
     own = [c for c in lines.columns if c not in (*names, "class_id")]
     cls = let(line_class(F.col(raw)), lambda c: F.when(known(c), c))
     return lines.select(*own, cls.alias("class_id"), _parsed(F.col(raw), checked).alias("_v")).select(*own, "class_id", *(F.col(f"_v.{c}").alias(c) for c in names))

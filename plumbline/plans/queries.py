@@ -741,6 +741,116 @@ def class_diverse(spark, d):
     return sampling.class_diverse(sets, "file_id", "classes", 12).select("file_id", F.array_join(F.col("classes").cast("array<string>"), ",").alias("classes"))
 
 
+# --- the whole statistics, from one parse -----------------------------------------------------------------------------
+
+_AL, _AF = V.ANALYZED_LINES, V.ANALYZED
+_OFFSET = "list_max(list_transform({c}, lambda v: greatest(-v, v - 1.0::DOUBLE, 0.0::DOUBLE)))"
+
+
+def _analyzed_distribution(what: str) -> str:
+    return f"SELECT class_id, coalesce(train, 0) AS train, coalesce(val, 0) AS val, coalesce(train, 0) + coalesce(val, 0) AS total FROM {_CLASSES} LEFT JOIN (SELECT class_id, count({what}) FILTER (split = 'train') AS train, count({what}) FILTER (split = 'val') AS val FROM {_AL} WHERE class_id IS NOT NULL GROUP BY class_id) USING (class_id)"
+
+
+@query(_analyzed_distribution("DISTINCT file_id"))
+def analysis_class_images(spark, d):
+    return V.analysis(spark, d).tables["class_image_distribution"]
+
+
+@query(_analyzed_distribution("file_id"))
+def analysis_class_instances(spark, d):
+    return V.analysis(spark, d).tables["class_instance_distribution"]
+
+
+_INVALID = f"""(SELECT split, file_id, line_no, class_id, 'polygon_coordinate_range' AS issue_type, 'soft' AS severity, coords AS c FROM {_AL} WHERE soft
+  UNION ALL SELECT split, file_id, line_no, class_id, hard, 'hard', CASE hard WHEN 'polygon_coordinate_range' THEN coords WHEN 'polygon_geometry' THEN used END FROM {_AL} WHERE hard IS NOT NULL)"""
+
+
+@query(f"SELECT split, file_id, line_no, class_id, issue_type, severity, list_min(c) AS min_coordinate, list_max(c) AS max_coordinate, round({_OFFSET.format(c='c')}, 9) AS max_offset FROM {_INVALID}")
+def analysis_invalid_lines(spark, d):
+    return V.analysis(spark, d).tables["invalid_annotations"].withColumn("max_offset", F.round("max_offset", 9))
+
+
+_AC = f"(SELECT x.* FROM {V.ISSUES} x JOIN (SELECT DISTINCT file_id FROM {_AL}) USING (file_id))"
+_COORDINATES = f"SELECT split, file_id, line_no, class_id, point_index, axis, position, value, boundary, direction, round(amount, 6) AS amount, coordinate_severity, line_severity, reset_value, action FROM {_AC}"
+
+
+@query(_COORDINATES)
+def analysis_coordinates(spark, d):
+    return V.analysis(spark, d).tables["out_of_bounds_coordinates"].withColumn("amount", F.round("amount", 6))
+
+
+@query(_COORDINATES + " WHERE line_severity = 'hard'")
+def analysis_hard_coordinates(spark, d):
+    return V.analysis(spark, d).tables["hard_error_coordinates"].withColumn("amount", F.round("amount", 6))
+
+
+@query(f"""SELECT h.class_id, class_files, instances, files, lines, coordinates, low, high, round(most, 6) AS most, round(files / class_files::DOUBLE, 6) AS file_ratio FROM (SELECT class_id, count(DISTINCT file_id) AS files, count(DISTINCT (file_id, line_no)) AS lines, count(*) AS coordinates, min(value) AS low, max(value) AS high, max(amount) AS most FROM {_AC} WHERE line_severity = 'hard' GROUP BY class_id) h
+  JOIN (SELECT class_id, count(DISTINCT file_id) AS class_files, count(*) AS instances FROM {_AL} WHERE class_id IS NOT NULL GROUP BY class_id) i ON h.class_id = i.class_id""")
+def analysis_hard_by_class(spark, d):
+    return V.analysis(spark, d).tables["hard_error_by_class"].withColumns({"most": F.round("most", 6), "file_ratio": F.round("file_ratio", 6)})
+
+
+_AI = f"(SELECT a.split, a.file_id, a.width, a.height, coalesce(n, 0) AS instances, negative, l OR negative AS labelled, a.error FROM {_AF} a LEFT JOIN (SELECT file_id, count(class_id) AS n FROM {_AL} GROUP BY file_id) USING (file_id) WHERE i AND NOT dropped)"
+
+
+@query(f"SELECT split, file_id, width, height, CASE WHEN height <> 0 THEN round(width / height::DOUBLE, 9) ELSE 0.0 END AS aspect_ratio, instances, negative AS is_negative, labelled AS has_effective_label, error FROM {_AI}")
+def analysis_images(spark, d):
+    return V.analysis(spark, d).tables["image_statistics"].withColumn("aspect_ratio", F.round("aspect_ratio", 9))
+
+
+_AO = f"""(SELECT *, CASE WHEN bbox_area_px < 1024 THEN 'small' WHEN bbox_area_px < 9216 THEN 'medium' ELSE 'large' END AS size FROM (SELECT split, file_id, line_no, class_id, geometry_status, width, height, bw * width AS bbox_width_px, bh * height AS bbox_height_px, bw * width * (bh * height) AS bbox_area_px, bw * bh AS bbox_area_relative, mask * width * height AS mask_area_px, mask AS mask_area_relative
+  FROM (SELECT *, list_max(xs) - list_min(xs) AS bw, list_max(ys) - list_min(ys) AS bh, abs({V.signed_sql('used')}) AS mask FROM (SELECT *, list_transform(range(0, len(used) // 2), lambda i: used[2 * i + 1]) AS xs, list_transform(range(0, len(used) // 2), lambda i: used[2 * i + 2]) AS ys FROM {_AL} WHERE geometry_status IS NOT NULL AND error IS NULL))))"""
+_MEASURES = ("bbox_width_px", "bbox_height_px", "bbox_area_px", "bbox_area_relative", "mask_area_px", "mask_area_relative")
+
+
+@query(f"SELECT split, file_id, line_no, class_id, 'group' || (class_id % 3)::VARCHAR || '--class' || class_id::VARCHAR AS class_name, 'group' || (class_id % 3)::VARCHAR AS class_group, geometry_status, width, height, {', '.join(f'round({c}, 6) AS {c}' for c in _MEASURES)}, size FROM {_AO}")
+def analysis_objects(spark, d):
+    return V.analysis(spark, d).tables["object_statistics"].withColumns({c: F.round(c, 6) for c in _MEASURES})
+
+
+@query(f"""SELECT s.split, c.class_id, coalesce(objects, 0) AS objects, coalesce(small, 0) AS small, coalesce(medium, 0) AS medium, coalesce(large, 0) AS large, round(coalesce(mean_area_px, 0.0), 4) AS mean_area_px, round(coalesce(median_area_px, 0.0), 4) AS median_area_px, round(coalesce(mean_mask, 0.0), 6) AS mean_mask, round(coalesce(median_mask, 0.0), 6) AS median_mask,
+  round(coalesce(small / objects::DOUBLE, 0.0), 6) AS small_ratio, round(coalesce(medium / objects::DOUBLE, 0.0), 6) AS medium_ratio, round(coalesce(large / objects::DOUBLE, 0.0), 6) AS large_ratio
+  FROM {_CLASSES} c CROSS JOIN (SELECT unnest(['train', 'val', 'total']) AS split) s LEFT JOIN (SELECT CASE WHEN grouping(split) = 1 THEN 'total' ELSE split END AS split, class_id, count(*) AS objects, count(*) FILTER (size = 'small') AS small, count(*) FILTER (size = 'medium') AS medium, count(*) FILTER (size = 'large') AS large,
+  avg(bbox_area_px) AS mean_area_px, median(bbox_area_px) AS median_area_px, avg(mask_area_relative) AS mean_mask, median(mask_area_relative) AS median_mask FROM {_AO} GROUP BY GROUPING SETS ((split, class_id), (class_id))) g ON g.split = s.split AND g.class_id = c.class_id""")
+def analysis_object_sizes(spark, d):
+    out = V.analysis(spark, d).tables["object_size_by_class"]
+    return out.select("split", "class_id", "objects", "small", "medium", "large", *(F.round(c, 4).alias(c) for c in ("mean_area_px", "median_area_px")), *(r6(c) for c in ("mean_mask", "median_mask", "small_ratio", "medium_ratio", "large_ratio")))
+
+
+@query(f"SELECT split, file_id, error AS reason FROM {_AF} WHERE i AND NOT dropped AND error IS NOT NULL")
+def analysis_read_errors(spark, d):
+    return V.analysis(spark, d).tables["image_read_errors"]
+
+
+@query(f"SELECT split, file_id, action, issue, reason, decision_status FROM {_AF} WHERE i AND issue = 'missing_label'")
+def analysis_corrupted(spark, d):
+    return V.analysis(spark, d).tables["corrupted_images_by_filter"]
+
+
+_BEYOND = "len(list_filter(coords, lambda v: NOT v BETWEEN 0.0::DOUBLE AND 1.0::DOUBLE))"
+
+
+@query(f"""SELECT CASE WHEN grouping(a.split) = 1 THEN 'total' ELSE a.split END AS split, count(*) FILTER (i) AS raw_images, count(*) FILTER (l) AS raw_labels, count(*) FILTER (i AND NOT dropped) AS images, count(*) FILTER ((l AND NOT dropped) OR negative) AS labels, count(*) FILTER (paired) AS paired,
+  count(*) FILTER (i AND NOT dropped AND NOT l AND NOT negative) AS missing_labels, count(*) FILTER (l AND NOT i) AS orphan_labels, count(*) FILTER (negative OR (paired AND coalesce(n, 0) = 0 AND coalesce(e, 0) = 0)) AS empty_labels, count(*) FILTER (negative AND NOT l) AS virtual_empty_labels,
+  count(*) FILTER (action = 'exclude') AS excluded_by_filter, count(*) FILTER (action = 'review') AS review_by_filter, count(*) FILTER (negative) AS negative_by_filter, count(*) FILTER (i AND issue = 'missing_label') AS corrupted_by_filter,
+  coalesce(sum(n), 0)::BIGINT AS instances, coalesce(sum(v), 0)::BIGINT AS usable_polygon_instances, coalesce(sum(s), 0)::BIGINT AS soft_clippable_instances, coalesce(sum(v + s), 0)::BIGINT AS geometry_instances, coalesce(sum(v + s) FILTER (error IS NULL), 0)::BIGINT AS sized_geometry_instances,
+  coalesce(sum(h), 0)::BIGINT AS hard_invalid_lines, coalesce(sum(e), 0)::BIGINT AS invalid_lines, coalesce(sum(sc + hc), 0)::BIGINT AS out_of_bounds_coordinates, coalesce(sum(sc), 0)::BIGINT AS soft_reset_coordinates, coalesce(sum(hc), 0)::BIGINT AS hard_review_coordinates,
+  count(*) FILTER (i AND NOT dropped AND error IS NOT NULL) AS image_read_errors
+  FROM {_AF} a LEFT JOIN (SELECT file_id, count(class_id) AS n, count(*) FILTER (geometry_status = 'valid') AS v, count(*) FILTER (geometry_status = 'soft_clipped') AS s, count(hard) AS h, count(hard) + count(*) FILTER (soft) AS e,
+  coalesce(sum({_BEYOND}) FILTER (soft), 0) AS sc, coalesce(sum({_BEYOND}) FILTER (hard = 'polygon_coordinate_range'), 0) AS hc FROM {_AL} GROUP BY file_id) USING (file_id) GROUP BY ROLLUP (a.split)""")
+def analysis_splits(spark, d):
+    return V.analysis(spark, d).tables["split_statistics"]
+
+
+@query(f"""SELECT r.*, x.*, m.*, o.* FROM (SELECT count(*) FILTER (severity = 'soft') AS soft_lines, count(*) FILTER (severity = 'hard') AS hard_lines, count(DISTINCT file_id) AS affected_files, min(list_min(c)) AS minimum_coordinate, max(list_max(c)) AS maximum_coordinate, round(coalesce(max({_OFFSET.format(c='c')}), 0.0), 9) AS maximum_offset FROM {_INVALID} WHERE issue_type = 'polygon_coordinate_range') r,
+  (SELECT count(*) FILTER (direction = 'below') AS below_zero, count(*) FILTER (direction = 'above') AS above_one, count(DISTINCT file_id) FILTER (line_severity = 'hard') AS hard_images, count(DISTINCT class_id) FILTER (line_severity = 'hard') AS hard_classes, round(max(amount) FILTER (line_severity = 'hard'), 9) AS hard_maximum_overflow FROM {_AC}) x,
+  (SELECT count(*) FILTER (width > 0) AS readable_images, min(width) FILTER (width > 0) AS minimum_width, max(width) AS maximum_width, min(height) FILTER (width > 0) AS minimum_height, max(height) AS maximum_height, round(avg(instances), 9) AS mean_objects, max(instances) AS maximum_objects, count(*) FILTER (instances = 0) AS images_without_objects,
+  median(width) FILTER (width > 0) AS median_width, median(height) FILTER (width > 0) AS median_height, median(instances) AS median_objects FROM {_AI}) m,
+  (SELECT count(*) FILTER (size = 'small') AS small_objects, count(*) FILTER (size = 'medium') AS medium_objects, count(*) FILTER (size = 'large') AS large_objects FROM {_AO}) o""")
+def analysis_summary(spark, d):
+    return V.analysis(spark, d).summary().withColumns({c: F.round(c, 9) for c in ("maximum_offset", "hard_maximum_overflow", "mean_objects")})
+
+
 # --- composites -------------------------------------------------------------------------------------------------------
 
 

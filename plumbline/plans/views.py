@@ -163,6 +163,28 @@ FILES = f"""(SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 10 = 0 THEN 'v
   FROM orders LEFT JOIN {DECISIONS} k ON lower(k.filename) = 'doc_' || o_orderkey::VARCHAR || CASE WHEN o_orderkey % 3 = 0 THEN '.jpg' ELSE '.png' END)"""
 
 
+def analysis(spark: SparkSession, sf_dir: str):
+    """The label files as a whole set: every sixth file has no image, every fifth no label, and some images can't be read."""
+    from plumbline.operators.analysis import analyze
+
+    k = F.col("file_id")
+    named = F.concat(F.lit("Doc_"), k.cast("string"), F.when(k % 3 == 0, ".JPG").otherwise(".png"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.when(F.col("o_orderkey") % 10 == 0, "val").otherwise("train").alias("split"))
+    broken = k % 97 == 0
+    images = orders.where("file_id % 6 <> 1").select("file_id", "split", named.alias("filename"), F.when(broken, 0).otherwise(640 + 64 * (k % 7)).alias("width"), F.when(broken, 0).otherwise(480 + 32 * (k % 5)).alias("height"), F.when(broken, "unreadable").alias("error"))
+    classes = spark.range(CLASSES).select(F.col("id").cast("int").alias("class_id"), F.concat(F.lit("group"), (F.col("id") % 3).cast("string"), F.lit("--class"), F.col("id").cast("string")).alias("name"))
+    return analyze(images, orders.where("file_id % 5 <> 2"), label_lines(spark, sf_dir), classes, SPLITS, decisions(spark, sf_dir), corrupted="missing_label")
+
+
+#: Files of that set: whether there is an image (i) and a label (l), and what decisions make of them.
+ANALYZED = f"""(SELECT *, i AND NOT dropped AND (l OR negative) AS paired FROM (SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 10 = 0 THEN 'val' ELSE 'train' END AS split, o_orderkey % 6 <> 1 AS i, o_orderkey % 5 <> 2 AS l, action, issue, reason, k.status AS decision_status,
+  coalesce(action IN ('exclude', 'review'), FALSE) AS dropped, coalesce(action = 'keep_negative', FALSE) AS negative, CASE WHEN o_orderkey % 6 = 1 THEN NULL WHEN o_orderkey % 97 = 0 THEN 0 ELSE 640 + 64 * (o_orderkey % 7) END::BIGINT AS width,
+  CASE WHEN o_orderkey % 6 = 1 THEN NULL WHEN o_orderkey % 97 = 0 THEN 0 ELSE 480 + 32 * (o_orderkey % 5) END::BIGINT AS height, CASE WHEN o_orderkey % 6 <> 1 AND o_orderkey % 97 = 0 THEN 'unreadable' END AS error
+  FROM orders LEFT JOIN {DECISIONS} k ON o_orderkey % 6 <> 1 AND lower(k.filename) = 'doc_' || o_orderkey::VARCHAR || CASE WHEN o_orderkey % 3 = 0 THEN '.jpg' ELSE '.png' END WHERE o_orderkey % 6 <> 1 OR o_orderkey % 5 <> 2))"""
+#: Their lines, parsed.
+ANALYZED_LINES = f"(SELECT n.*, a.width, a.height, a.error FROM {INSTANCES} n JOIN (SELECT * FROM {ANALYZED} WHERE paired AND l AND NOT negative) a USING (file_id))"
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, split, capture_key, frame``: events numbered within their user."""
     from pyspark.sql import Window
