@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.store import bound_batches
-from plumbline.llm.textbytes import LOWER, SPACE, buffers, powers, prefix_sums, mix, slices
+from plumbline.llm.textbytes import LOWER, SPACE, gram_digests, slices
 
 #: Bytes of items that one pass holds in a task; a larger benchmark takes more passes.
 PASS_BYTES = 4 << 20
@@ -78,59 +78,54 @@ class Pieces:
         self.groups = []
         for gram in sorted({min(n, 16) for _, _, n in pieces}):
             own = [(number, s, n) for number, s, n in pieces if min(n, 16) == gram]
-            hashes = np.array([self._hash(np.frombuffer(items[number][1][s : s + gram], np.uint8), gram)[0] for number, s, _ in own], np.uint64)
+            hashes = np.array([gram_digests(np.frombuffer(items[number][1][s : s + gram], np.uint8), gram)[0] for number, s, _ in own], np.uint64)
             order = np.argsort(hashes, kind="stable")
             bits = np.zeros(1 << _FILTER_BITS >> 3, np.uint8)
             low = (hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
             np.bitwise_or.at(bits, low >> 3, (1 << (low & 7)).astype(np.uint8))
             self.groups.append((gram, hashes[order], [own[i] for i in order], bits))
 
-    @staticmethod
-    def _hash(data: np.ndarray, gram: int, sums: np.ndarray | None = None) -> np.ndarray:
-        sums = prefix_sums(data) if sums is None else sums
-        _, down = powers(len(sums) - 1)
-        return mix((sums[gram:] - sums[:-gram]) * down[: len(sums) - gram])
-
-    def find(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, item number, distance, start, end) of each item in each text, the closest place, in normal form."""
-        raw, done = data.tobytes(), {}
-        sums = prefix_sums(data)
+    def starts(self, data: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], set[int]]:
+        """For each text and item that share a piece, where the item would begin by each of the hits."""
+        raw, out = data.tobytes(), {}
         for gram, hashes, own, bits in self.groups:
             if len(data) < gram:
                 continue
-            h = self._hash(data, gram, sums)
+            h = gram_digests(data, gram)
             low = (h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
             maybe = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
             place = np.searchsorted(hashes, h[maybe])
             ok = (place < len(hashes)) & (hashes[np.minimum(place, len(hashes) - 1)] == h[maybe])
             for p, k in zip(maybe[ok].tolist(), place[ok].tolist(), strict=True):
                 t = int(np.searchsorted(at, p, "right")) - 1
-                first, last = int(at[t]), int(at[t + 1])
                 while k < len(hashes) and hashes[k] == h[p]:
                     number, offset, n = own[k]
                     k += 1
-                    item, budget = self.items[number][1], self.budget[number]
-                    best = done.get((t, number))
-                    start = p - offset
-                    # every place that a hit stands for is within the budget of its start; stretches are searched half a budget wider than that, so that
-                    # a hit half a budget from a searched one brings nothing new
-                    if best is not None and (best[0] == 0 or any(abs(start - s) <= budget // 2 for s in best[3])):
-                        continue
-                    if p + n > last or raw[p : p + n] != item[offset : offset + n]:
-                        continue
-                    wide = budget + budget // 2
-                    begin, stop = max(first, start - wide), min(last, start + len(item) + wide)
-                    got = closest_end(item, raw[begin:stop], budget)
-                    tried = (best[3] if best else []) + [start]
-                    if got and (best is None or got[0] < best[0]):
-                        end = begin + got[1]
-                        back = closest_end(item[::-1], raw[max(first, end - len(item) - budget) : end][::-1], budget)
-                        done[t, number] = (got[0], end - (back[1] if back else len(item)) - first, end - first, tried)
-                    else:
-                        done[t, number] = (*best[:3], tried) if best else (budget + 1, -1, -1, tried)
-        for (t, number), (distance, start, end, _) in done.items():
-            if start >= 0:
-                yield t, number, distance, start, end
+                    if p + n <= at[t + 1] and raw[p : p + n] == self.items[number][1][offset : offset + n]:
+                        out.setdefault((t, number), set()).add(p - offset)
+        return out
+
+    def find(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text number, item number, distance, start, end) of each item in each text, the first of the closest places, in normal form. What a hit stands for lies within the budget of its
+        stretch; stretches that meet are searched as one, so a text is searched once for an item, however often its pieces are found."""
+        raw = data.tobytes()
+        for (t, number), starts in self.starts(data, at).items():
+            item, budget = self.items[number][1], self.budget[number]
+            first, last = int(at[t]), int(at[t + 1])
+            best, end, stretch = budget + 1, -1, None
+            for start in [*sorted(starts), None]:
+                begin, stop = (max(first, start - budget), min(last, start + len(item) + budget)) if start is not None else (last + 1, last + 1)
+                if stretch and begin <= stretch[1]:
+                    stretch = stretch[0], max(stretch[1], stop)
+                    continue
+                if stretch and (got := closest_end(item, raw[stretch[0] : stretch[1]], min(budget, best - 1))):
+                    best, end = got[0], stretch[0] + got[1]
+                    if not best:
+                        break
+                stretch = begin, stop
+            if end >= 0:
+                back = closest_end(item[::-1], raw[max(first, end - len(item) - budget) : end][::-1], budget)
+                yield t, number, best, end - (back[1] if back else len(item)) - first, end - first
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, least_bytes: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 A text is cut before a space, tab or line end that follows a visible byte. No merge of either vocabulary crosses such a
 cut (checked for piece vocabularies when they are loaded), so the ids of a text are those of its segments in a row. Each
-segment is encoded once by the library and then looked up by a 64-bit hash. Texts in which the cut would not
+segment is encoded once by the library and then looked up by a 64-bit digest. Texts in which the cut would not
 be safe (other white space, special strings) go to the library whole.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from plumbline.llm.textbytes import SPACE, prefix_sums, range_hash
+from plumbline.llm.textbytes import SPACE, range_digests
 
 #: Rows of the cache; when it is full it starts anew.
 CACHE_ROWS = 700_000
@@ -196,7 +196,7 @@ class Encoder:
         start, end, text = start[use], end[use], text[use]
         if not len(start):
             return ids if self.ids else counts
-        h = range_hash(prefix_sums(data), start, end)
+        h = range_digests(data, start, end)
         head = start == at[text]
         lengths = np.zeros(len(start), np.int64)
         rows = np.zeros(len(start), np.int64)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import store
 from plumbline.llm.bloom import bloom, combine
-from plumbline.llm.textbytes import buffers, mix, powers, prefix_sums, range_hash, slices, word_bounds, word_hashes
+from plumbline.llm.textbytes import BASE, Sums, _reduced, buffers, mix, slices, word_bounds, word_hashes
 
 LEAST_WORDS, NEAR_WORDS = 5, 8
 
@@ -32,7 +32,7 @@ class Lines:
         breaks = np.concatenate([[0], np.cumsum(data == 10)])
         start, end, text = word_bounds(data, at)
         self.words = word_hashes(data, start, end)
-        self.sums = prefix_sums(self.words)
+        self.sums = Sums(self.words)
         line = breaks[start] - breaks[at[text]]
         new = np.ones(len(start), bool)
         new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
@@ -45,7 +45,16 @@ class Lines:
         self.byte_start, self.byte_end = start[self.first], end[self.last - 1]
 
     def whole(self) -> np.ndarray:
-        return range_hash(self.sums, self.first, self.last)
+        return self.sums.ranges(self.first, self.last)
+
+    def identity(self) -> np.ndarray:
+        """``whole`` joined to a sum over the words, each mixed with its place in the line: two unrelated hashes, for lines that are taken as equal without a look at their words."""
+        if not len(self.first):
+            return np.zeros(0, np.uint64)
+        edges = np.column_stack([self.first, self.last]).ravel()
+        place = np.arange(len(self.words)) - np.repeat(np.append(0, self.first), np.diff(np.concatenate([[0], self.first, [len(self.words)]])))
+        mixed = np.append(mix(self.words + mix(place.astype(np.uint64) * BASE + np.uint64(7))), np.uint64(0))
+        return mix(self.whole() ^ mix(np.add.reduceat(mixed, edges)[::2]))
 
     def end_keys(self, near: int) -> tuple[np.ndarray, np.ndarray]:
         """(line number in the slice, key): the first and the last words of each line long enough, as many as the largest power of
@@ -58,7 +67,7 @@ class Lines:
             use = np.flatnonzero((n >= near - 1) & ((short == 0) | ((self.count & (self.count - 1)) == 0)))
             for side, (s, e) in enumerate(((self.first, self.first + half), (self.last - half, self.last))):
                 own.append(use)
-                keys.append(mix(range_hash(self.sums, s[use], e[use]) + np.uint64(side + 1)))
+                keys.append(mix(self.sums.ranges(s[use], e[use]) + np.uint64(side + 1)))
         return np.concatenate(own), np.concatenate(keys)
 
     def without_one(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,11 +76,11 @@ class Lines:
         own = np.repeat(lines, counts)
         place = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
         gap = self.first[own] + place
-        _, down = powers(len(self.sums) - 1)
-        before = self.sums[gap] - self.sums[self.first[own]]
-        after = (self.sums[self.last[own]] - self.sums[gap + 1]) * down[1]  # one place to the left
-        rest = (before + after) * down[self.first[own]]
-        return own, place, mix(rest + (self.count[own] - 1).astype(np.uint64))
+        one = np.ones(1, np.int64)
+        before = self.sums.raw(self.first[own], gap)
+        after = self.sums.shifted(self.sums.raw(gap + 1, self.last[own]), one)  # one place to the left
+        rest = self.sums.shifted(_reduced(before + after), self.first[own])
+        return own, place, mix(rest + (self.count[own] - 1).astype(np.uint64) * BASE)
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -106,7 +115,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 order = np.argsort(own, kind="stable")
                 offsets = np.searchsorted(own[order], np.arange(len(lines.first) + 1)).astype(np.int32)
                 taken = [batch.column(k).take(pa.array(lines.text + start)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*taken, pa.array(lines.line.astype(np.int32)), pa.array(lines.whole().view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))], names=["row", "id", "line", "h", "keys"])
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(lines.line.astype(np.int32)), pa.array(lines.identity().view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))], names=["row", "id", "line", "h", "keys"])
 
     lines = store.keep(texts.mapInArrow(scan, f"row long, id {kind}, line int, h long, keys array<long>"), "lines")
     place = F.struct("id", "row", "line")

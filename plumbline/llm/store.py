@@ -6,18 +6,18 @@ survives the loss of any executor.
 
 from __future__ import annotations
 
-import functools
+import contextlib
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch on its way to or from Python: what a task holds beside its arrays stays small.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-_of_stage: list[str] = []
-_in_stage = False
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -41,8 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    if _in_stage:
-        _of_stage.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -61,21 +61,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A pipeline stage: it first deletes the helper tables of the stage before it, whose result is stored by now. Tables kept outside of
-    stages stay."""
-
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _in_stage
-        while _of_stage:
-            delete(spark, _of_stage.pop())
-        _in_stage = True
-        try:
-            return f(spark, docs, sf_dir)
-        finally:
-            _in_stage = False
-
-    return run
-
-
+@contextlib.contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of the tables that are kept meanwhile, so that their owner can delete them once what was made of them is stored. Each owner has its own list; outside of any, tables stay."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import store
 from plumbline.llm.bloom import bloom
 from plumbline.llm.gsaca import repeated_windows
-from plumbline.llm.textbytes import BASE, mix, prefix_sums, range_hash, slices
+from plumbline.llm.textbytes import BASE, gram_digests, mix, range_digests, slices
 
 WIDTH, GRAM, CLASS = 200, 48, 16
 #: Different strings of one key that go to one suffix array.
@@ -37,14 +37,14 @@ class Segments:
     """Segments of one stretch of bytes: window starts ``low`` to ``high``, anchor place, key."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, width: int, gram: int):
-        self.width, self.sums = width, prefix_sums(data)
+        self.width, self.data = width, data
         n = len(data)
         self.low = self.high = self.anchor = self.text = np.zeros(0, np.int64)
         self.key = np.zeros(0, np.uint64)
         if n < width:
             return
-        starts = np.arange(n - gram + 1)
-        least = (range_hash(self.sums, starts, starts + gram) & ~np.uint64((1 << _PLACE_BITS) - 1)) | starts.astype(np.uint64)
+        grams = gram_digests(data, gram)
+        least = (grams & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(grams), dtype=np.uint64)
         span, have = width - gram + 1, 1
         while have * 2 <= span:
             least = np.minimum(least[:-have], least[have:])
@@ -60,12 +60,12 @@ class Segments:
         last[:-1] &= ~inside[1:] | (anchor[1:] != anchor[:-1])
         self.high = np.flatnonzero(last)
         self.anchor = anchor[self.low]
-        self.key = range_hash(self.sums, self.anchor, self.anchor + gram)
+        self.key = grams[self.anchor]
         self.text = np.searchsorted(at, self.low, "right") - 1
 
     def identity(self) -> np.ndarray:
         """Equal for equal content at an equal distance from the anchor."""
-        return mix(range_hash(self.sums, self.low, self.high + self.width) + (self.anchor - self.low).astype(np.uint64) * BASE)
+        return mix(range_digests(self.data, self.low, self.high + self.width) + (self.anchor - self.low).astype(np.uint64) * BASE)
 
     def take(self, use: np.ndarray) -> None:
         for name in ("low", "high", "anchor", "text", "key"):
@@ -79,7 +79,7 @@ class Segments:
         number = nearest[own] + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
         self.take(own)
         self.core_start, self.core_end = self.anchor - number * size, self.anchor - (number * size + size - 1) + self.width
-        core = range_hash(self.sums, self.core_start, self.core_end)
+        core = range_digests(self.data, self.core_start, self.core_end)
         self.low = np.maximum(self.low, self.anchor - (number * size + size - 1))
         self.high = np.minimum(self.high, self.anchor - number * size)
         self.key = mix(core + number.astype(np.uint64) * BASE + np.uint64(size))

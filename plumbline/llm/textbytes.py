@@ -1,11 +1,13 @@
 """Vectorised byte work on Arrow string columns: no Python string is made for a word, line or window.
 
-Texts are taken as their UTF-8 bytes. Hashes are polynomial modulo 2**64 from prefix sums, so the hash of any
-byte range is one subtraction and one product, then finished with a bit mixer.
+Texts are taken as their UTF-8 bytes. What tells texts apart is hashed without linear structure: ranges of bytes eight at a time, each eight through a bit mixer (``range_digests``; ranges of over ``LONG`` bytes
+by BLAKE2b), windows of one length likewise (``gram_digests``), and sequences of hashes by a polynomial modulo the prime 2**61 - 1 (``Sums``). The polynomial modulo 2**64 (``prefix_sums``, ``range_hash``), under which
+strings in Thue-Morse order collide whatever the base, is for buckets only, where a collision changes no result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,6 +59,102 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes up to which a range is hashed eight bytes at a time.
+LONG = 64
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_TIMES = mix(np.arange(1, 65, dtype=np.uint64) * BASE) | np.uint64(1)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, 0, (1,))
+
+
+def range_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit digests of byte ranges."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * BASE + np.uint64(1))
+    view = eights(data)
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    at, rest = start[left], size[left]
+    while len(left):
+        out[left] = mix(out[left] ^ mix((view[at] & _HEADS[np.minimum(rest, 8)]) + BASE))
+        on = rest > 8
+        left, at, rest = left[on], at[on] + 8, rest[on] - 8
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = np.frombuffer(b"".join(hashlib.blake2b(raw[s:e], digest_size=8).digest() for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)), "<u8")
+    return out
+
+
+def gram_digests(data: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit digests of all windows of ``gram`` bytes."""
+    n = len(data) - gram + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    view = eights(data)
+    out = np.full(n, gram, np.uint64) * BASE
+    whole = mix(view[: n + gram - gram % 8] + BASE) if gram >= 8 else None
+    for k in range(gram // 8):
+        out += whole[8 * k : 8 * k + n] * _TIMES[k]
+    if gram % 8:
+        out += mix((view[gram - gram % 8 : gram - gram % 8 + n] & _HEADS[gram % 8]) + BASE) * _TIMES[gram // 8]
+    return mix(out)
+
+
+#: A prime, and the base of polynomials modulo it.
+PRIME = np.uint64((1 << 61) - 1)
+BASE61 = 0x123456789ABCDE7 % int(PRIME)
+_30, _31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime, below 2**61."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo the prime, of numbers below it: in halves of 31 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _31, b >> np.uint64(31), b & _31
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _30) << np.uint64(31)) + a0 * b0)
+
+
+@lru_cache(maxsize=2)
+def _powers61(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE61, pow(BASE61, -1, int(PRIME))):
+        p = np.ones(1, np.uint64)
+        for k in range(bits):
+            p = np.concatenate([p, times61(p, np.full(len(p), pow(base, 1 << k, int(PRIME)), np.uint64))])
+        out.append(p)
+    return out[0], out[1]
+
+
+class Sums:
+    """Prefix sums of the polynomial of a sequence of 64-bit hashes modulo the prime: the hash of any range is a difference and a product."""
+
+    def __init__(self, values: np.ndarray):
+        self.up, self.down = _powers61(max(12, int(len(values)).bit_length()))
+        terms = times61(_reduced(values), self.up[: len(values)])
+        self.at = np.zeros(len(values) + 1, np.uint64)
+        low, high = np.cumsum(terms & _31), _reduced(np.cumsum(terms >> np.uint64(31)))  # halves, so that no sum overflows
+        self.at[1:] = _reduced(_reduced(low) + times61(high, np.full(1, 1 << 31, np.uint64)))
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The range as a part of the whole polynomial, not shifted to its start."""
+        return _reduced(self.at[end] + PRIME - self.at[start])
+
+    def shifted(self, x: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return times61(x, self.down[places])
+
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(self.shifted(self.raw(start, end), start) + (end - start).astype(np.uint64) * BASE)
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -98,7 +196,7 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    return range_hash(prefix_sums(LOWER[data] if lower else data), start, end)
+    return range_digests(LOWER[data] if lower else data, start, end)
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
