@@ -237,6 +237,11 @@ def parse_instances(lines: DataFrame, class_ids: list[int], raw: str = "raw", va
     return lines.select(*own, cls.alias("class_id"), _parsed(F.col(raw), checked).alias("_v")).select(*own, "class_id", *(F.col(f"_v.{c}").alias(c) for c in names))
 
 
+def line_span(raw: Column) -> Column:
+    """Least and greatest coordinate of a line as written and its largest overflow, for the record of an error: ``low, high, most``. Tokens that are no numbers are left out."""
+    return let(F.transform(tokens(raw), number), lambda c: let(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda v: F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high"), F.array_max(F.transform(v, overflow)).alias("most"))))
+
+
 def coordinate_issues(coords: Column) -> Column:
     """One struct for each coordinate outside [0, 1] of a line whose coordinates are all numbers."""
     line_soft = F.forall(coords, within_tolerance)
@@ -340,14 +345,20 @@ def format_number(x: Column) -> Column:
 
 def corner_order(corners: Column, tolerance: float = 1e-9) -> Column:
     """Points clockwise (y down) about their centre, starting at the top-most, of equal ones the left-most."""
-    n = F.size(corners)
-    cx = F.aggregate(corners, F.lit(0.0), lambda a, p: a + p["x"]) / n
-    cy = F.aggregate(corners, F.lit(0.0), lambda a, p: a + p["y"]) / n
-    turned = F.array_sort(F.transform(corners, lambda p: F.struct(F.atan2(p["y"] - cy, p["x"] - cx).alias("angle"), p["x"].alias("x"), p["y"].alias("y"))))
-    top = F.array_min(F.transform(turned, lambda p: p["y"]))
-    left = F.array_min(F.transform(F.filter(turned, lambda p: p["y"] <= top + tolerance), lambda p: p["x"]))
-    start = F.array_position(F.transform(turned, lambda p: (p["y"] <= top + tolerance) & (p["x"] <= left + tolerance)), True).cast("int")
-    ring = F.concat(F.slice(turned, start, n), F.slice(turned, F.lit(1), F.greatest(start - 1, F.lit(0))))
+
+    def centre(c: Column) -> Column:
+        mean = lambda axis: F.aggregate(c, F.lit(0.0), lambda a, p: a + p[axis]) / F.size(c)
+        return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+    def turned(c: Column, m: Column) -> Column:
+        return F.array_sort(F.transform(c, lambda p: F.struct(F.atan2(p["y"] - m["y"], p["x"] - m["x"]).alias("angle"), p["x"].alias("x"), p["y"].alias("y"))))
+
+    def from_top(t: Column, top: Column) -> Column:
+        left = F.array_min(F.transform(F.filter(t, lambda p: p["y"] <= top + tolerance), lambda p: p["x"]))
+        start = let(left, lambda x: F.array_position(F.transform(t, lambda p: (p["y"] <= top + tolerance) & (p["x"] <= x + tolerance)), True).cast("int"))
+        return let(start, lambda k: F.concat(F.slice(t, k, F.size(t)), F.slice(t, F.lit(1), F.greatest(k - 1, F.lit(0)))))
+
+    ring = let(corners, lambda c: let(centre(c), lambda m: let(turned(c, m), lambda t: let(F.array_min(F.transform(t, lambda p: p["y"])), lambda top: from_top(t, top)))))
     return F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
 
 

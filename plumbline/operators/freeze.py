@@ -109,6 +109,23 @@ def unexpected_totals(made: DataFrame, expected: dict[str, int], classes: dict[i
     return rows.where("expected <> found")
 
 
+def repair_gate(lines: DataFrame, num_classes: int, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """(lines, faults) of a set that was written anew: soft errors are repaired (``text, fixed_points``), then every line is validated strictly as it now stands, and what is still at fault, or could not be
+    repaired, is a fault with its ``error_type``. Hard errors are never repaired here. ``require_clean`` raises on faults."""
+    first = validate_lines(lines, num_classes, "auto-fix", raw=raw)
+    own = [c for c in lines.columns]
+    fixed = first.select(*own, F.coalesce("fixed_line", raw).alias("text"), F.coalesce("fixed_points", F.lit(0)).alias("_points"), F.col("error_type").alias("_first"))
+    again = validate_lines(fixed, num_classes, "strict", raw="text").withColumn("error_type", F.coalesce("_first", "error_type"))
+    return again.where("error_type is null").select(*own, "text", F.col("_points").alias("fixed_points")), again.where("error_type is not null").select(*own, "text", "error_type")
+
+
+def require_clean(faults: DataFrame, key: str = "file_id") -> None:
+    """Raise with the number of files at fault, unless there is none."""
+    n = faults.agg(F.countDistinct(key)).first()[0]
+    if n:
+        raise ValueError(f"{n} label files hold hard or invalid lines: confirm and repair them, or exclude them by a decision")
+
+
 def gate(lines: DataFrame, missing: DataFrame, orphan: DataFrame) -> DataFrame:
     """One row by split: missing, orphan and faulty lines, and whether the split passes. ``lines``: ``split, error_type``."""
     parts = [lines.where("error_type is not null").select("split", F.lit("faults").alias("kind")), missing.select("split", F.lit("missing").alias("kind")), orphan.select("split", F.lit("orphan").alias("kind"))]

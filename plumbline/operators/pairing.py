@@ -63,6 +63,12 @@ def apply_decisions(items: DataFrame, decisions: DataFrame, filename: str) -> Da
     return joined.withColumn("status", decision_status(F.col("action")))
 
 
+def readable(items: DataFrame, length: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(files worth decoding, files that are too short to be any), by their length alone, before a byte is read. A null length is too short."""
+    enough = F.coalesce(F.col(length) >= least, F.lit(False))
+    return items.where(enough), items.where(~enough)
+
+
 def unmatched_decisions(items: DataFrame, decisions: DataFrame, filename: str) -> DataFrame:
     return decisions.withColumn("_key", F.lower("filename")).join(items.select(F.lower(filename).alias("_key")), "_key", "left_anti").drop("_key")
 

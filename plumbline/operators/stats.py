@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import bin_number, finite
+from plumbline.functions.columns import bin_number, finite, line_class
 from plumbline.sources.tables import keep
 
 
@@ -145,6 +145,18 @@ def coarse_rollup(instances: DataFrame, hierarchy: DataFrame, splits: list[str],
     return with_zeros(counts, groups, ["split", "key"])
 
 
+def class_count_map(instances: DataFrame) -> DataFrame:
+    """One row: ``class_counts``, a map from class to its instances in the order of classes; null classes are not counted."""
+    counts = instances.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("n"))
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_id", "n")))).alias("class_counts"))
+
+
+def class_sets(lines: DataFrame, key: str, raw: str = "raw") -> DataFrame:
+    """``key, classes``: the classes of each label file, sorted, from the first tokens of its lines; what is no class is left out, and a file without any has no row."""
+    found = lines.select(key, line_class(F.col(raw)).alias("_class")).where("_class is not null")
+    return found.groupBy(key).agg(F.array_sort(F.collect_set("_class")).alias("classes"))
+
+
 def change_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """Two one-row tables as ``metric, before, after, difference``."""
 

@@ -121,8 +121,7 @@ def coordinate_issues(spark, d):
 @query(f"SELECT file_id, line_no, hard AS error_type, list_min(coords) AS low, list_max(coords) AS high, round(list_max(list_transform(coords, lambda v: greatest(-v, v - 1.0::DOUBLE, 0.0::DOUBLE))), 6) AS most FROM {V.INSTANCES} WHERE hard IN ('polygon_coordinate_range', 'polygon_geometry')")
 def line_errors(spark, d):
     rows = V.instances(spark, d).where(F.col("hard_error").isin("polygon_coordinate_range", "polygon_geometry"))
-    rows = C.staged(rows, c=F.transform(F.slice(C.tokens(F.col("raw")), F.lit(2), F.lit(8)), C.number))
-    return rows.select("file_id", "line_no", F.col("hard_error").alias("error_type"), F.array_min("c").alias("low"), F.array_max("c").alias("high"), F.round(F.array_max(F.transform("c", C.overflow)), 6).alias("most"))
+    return rows.select("file_id", "line_no", F.col("hard_error").alias("error_type"), C.line_span(F.col("raw")).alias("s")).select("file_id", "line_no", "error_type", "s.low", "s.high", F.round("s.most", 6).alias("most"))
 
 
 @query(f"SELECT vec_id, i::INTEGER AS place, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, v)), 6) AS clamped FROM (SELECT vec_id, unnest(coords) AS v, unnest(range(0, 8)) AS i FROM {V.POLYGONS})")
@@ -179,6 +178,30 @@ def check_obb(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("split", "error_type").agg(F.count("*").alias("n"))
 
 
+_OBB_IMAGES = "(SELECT doc_id, split, n_chars < 100 AS broken FROM " + V.DOCUMENTS + ")"
+_OBB_FILES = f"(SELECT coalesce(i.split, l.split) AS split, coalesce(i.doc_id, l.image_id) AS k, i.doc_id IS NOT NULL AS i, l.image_id IS NOT NULL AS l, coalesce(i.broken, FALSE) AS broken FROM {_OBB_IMAGES} i FULL JOIN (SELECT DISTINCT image_id, split FROM {V.POLYGONS}) l ON i.doc_id = l.image_id AND i.split = l.split)"
+_OBB_SAID = f"(SELECT c.* FROM {OBB_CHECKED} c JOIN (SELECT * FROM {_OBB_FILES} WHERE i AND l) f ON f.k = c.image_id AND f.split = c.split WHERE c.vec_id % 9 <> 4)"
+
+
+def obb_set(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All documents as images, the polygons' images as labels, each ninth line blank."""
+    images = V.documents(spark, d).select("split", F.col("doc_id").alias("key"), F.when(F.col("n_chars") < 100, "undecodable").alias("error"))
+    lines = obb_lines(spark, d).select("split", F.col("image_id").alias("key"), F.col("vec_id").cast("int").alias("line_no"), F.when(F.col("vec_id") % 9 == 4, "  ").otherwise(F.col("raw")).alias("raw"))
+    return obb.check_dataset(images, lines.select("split", "key").distinct(), lines)
+
+
+@query(f"""SELECT split, k AS key, NULL::INTEGER AS line_no, 'corrupt_image' AS error_type FROM {_OBB_FILES} WHERE broken UNION ALL SELECT split, k, NULL, 'missing_label' FROM {_OBB_FILES} WHERE i AND NOT l UNION ALL SELECT split, k, NULL, 'orphan_label' FROM {_OBB_FILES} WHERE l AND NOT i
+  UNION ALL SELECT split, image_id, vec_id::INTEGER, error_type FROM {_OBB_SAID} WHERE error_type IS NOT NULL""")
+def obb_check_issues(spark, d):
+    return obb_set(spark, d)[0]
+
+
+@query(f"""SELECT f.split, count(*) FILTER (i) AS images, count(*) FILTER (l) AS labels, count(*) FILTER (broken) AS corrupt_images, count(*) FILTER (i AND NOT l) AS missing_labels, count(*) FILTER (l AND NOT i) AS orphan_labels, count(*) FILTER (i AND l AND ok IS NULL) AS negative_images,
+  coalesce(sum(ok), 0)::BIGINT AS valid_instances, coalesce(sum(bad), 0)::BIGINT AS faulty_lines FROM {_OBB_FILES} f LEFT JOIN (SELECT split, image_id, count(*) FILTER (error_type IS NULL) AS ok, count(error_type) AS bad FROM {_OBB_SAID} GROUP BY ALL) s ON s.image_id = f.k AND s.split = f.split GROUP BY f.split""")
+def obb_check_counts(spark, d):
+    return obb_set(spark, d)[1]
+
+
 @query(f"SELECT file_id, line_no, cls::INTEGER AS class_id FROM {V.PARSED} WHERE len(tok) >= 3 AND regexp_full_match(head, '[+-]?[0-9]+')")
 def light_parse(spark, d):
     return V.label_lines(spark, d).select("file_id", "line_no", C.light_class(F.col("raw")).alias("class_id")).where("class_id is not null")
@@ -186,8 +209,7 @@ def light_parse(spark, d):
 
 @query(f"SELECT file_id, array_to_string(list_sort(list_distinct(list(cls::INTEGER))), ',') AS classes FROM {V.PARSED} WHERE {V._OK_CLASS} GROUP BY file_id")
 def class_sets(spark, d):
-    rows = V.label_lines(spark, d).select("file_id", C.integral_class(F.get(C.tokens(F.col("raw")), F.lit(0))).alias("c")).where("c is not null")
-    return rows.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("c")).cast("array<string>"), ",").alias("classes"))
+    return stats.class_sets(V.label_lines(spark, d), "file_id").select("file_id", F.array_join(F.col("classes").cast("array<string>"), ",").alias("classes"))
 
 
 @query("SELECT vec_id, coalesce(name, 'unknown_' || label::VARCHAR) AS class_name, split_part(coalesce(name, 'unknown_' || label::VARCHAR), '--', 1) AS class_group FROM embeddings LEFT JOIN (SELECT DISTINCT label, 'group' || (label % 3)::VARCHAR || '--class' || label::VARCHAR AS name FROM embeddings WHERE label <> 5) USING (label)")
@@ -247,7 +269,7 @@ def apply_decisions(spark, d):
 
 @query(f"SELECT doc_id, n_chars FROM {V.DOCUMENTS} WHERE n_chars < 100")
 def zero_size(spark, d):
-    return V.documents(spark, d).where("n_chars < 100").select("doc_id", "n_chars")
+    return pairing.readable(V.documents(spark, d), "n_chars", least=100)[1].select("doc_id", "n_chars")
 
 
 @query("SELECT event_id, CASE WHEN value - 20 > 0 THEN round(1000.0::DOUBLE / (value - 20), 6) ELSE 0.0::DOUBLE END AS fps FROM events")
@@ -293,6 +315,24 @@ def obb_convert(spark, d):
     return c.select("vec_id", "reason", F.array_join("warnings", ",").alias("warnings"), obb.label_line(F.col("class_id"), F.col("corners")).alias("line"), F.round(C.area(F.col("corners")), 6).alias("area"))
 
 
+#: The smallest rectangle over the directions of all pairs of points, which include all edges of the hull.
+_RECTANGLES = f"""(SELECT vec_id, reason, area_px, cs FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY CASE WHEN turned >= round(pi() / 2, 9) THEN 0.0 ELSE turned END) AS r FROM (SELECT *, min(area_px) OVER (PARTITION BY vec_id) AS least_px FROM (SELECT *, round(mod(atan2(uy, ux) + 2 * pi(), pi() / 2), 9) AS turned, (a1 - a0) * (b1 - b0) AS area_px, [{{'x': a0 * ux - b0 * uy, 'y': a0 * uy + b0 * ux}}, {{'x': a1 * ux - b0 * uy, 'y': a1 * uy + b0 * ux}}, {{'x': a1 * ux - b1 * uy, 'y': a1 * uy + b1 * ux}}, {{'x': a0 * ux - b1 * uy, 'y': a0 * uy + b1 * ux}}] AS cs
+  FROM (SELECT *, list_min(list_transform(px, lambda q: q.x * ux + q.y * uy)) AS a0, list_max(list_transform(px, lambda q: q.x * ux + q.y * uy)) AS a1, list_min(list_transform(px, lambda q: q.y * ux - q.x * uy)) AS b0, list_max(list_transform(px, lambda q: q.y * ux - q.x * uy)) AS b1
+  FROM (SELECT *, (px[j].x - px[i].x) / sqrt((px[j].x - px[i].x) ** 2 + (px[j].y - px[i].y) ** 2) AS ux, (px[j].y - px[i].y) / sqrt((px[j].x - px[i].x) ** 2 + (px[j].y - px[i].y) ** 2) AS uy
+  FROM (SELECT *, unnest(range(1, 5)) AS i FROM (SELECT vec_id, width, height, CASE WHEN width = 0 THEN 'conversion_failed' WHEN {V.distinct_sql('c')} < 3 THEN 'insufficient_points' WHEN abs({V.signed_sql('c')}) < 1e-8 THEN 'area_too_small' END AS reason,
+  list_transform(range(0, 4), lambda k: {{'x': c[2 * k + 1] * width, 'y': c[2 * k + 2] * height}}) AS px FROM (SELECT *, list_transform(coords, lambda v: least(1.0::DOUBLE, greatest(0.0::DOUBLE, v))) AS c FROM {V.POLYGONS}))), (SELECT unnest(range(1, 5)) AS j)
+  WHERE reason IS NULL AND i < j AND (px[i].x <> px[j].x OR px[i].y <> px[j].y))))) WHERE area_px <= least_px * (1 + 1e-9)) WHERE r = 1
+  UNION ALL SELECT vec_id, CASE WHEN width = 0 THEN 'conversion_failed' WHEN {V.distinct_sql('c')} < 3 THEN 'insufficient_points' ELSE 'area_too_small' END, NULL, NULL FROM (SELECT *, list_transform(coords, lambda v: least(1.0::DOUBLE, greatest(0.0::DOUBLE, v))) AS c FROM {V.POLYGONS}) WHERE width = 0 OR {V.distinct_sql('c')} < 3 OR abs({V.signed_sql('c')}) < 1e-8)"""
+_SIDE = "round_even(list_{f}(list_transform(cs, lambda q: least(1.0::DOUBLE, greatest(0.0::DOUBLE, q.{a} / {s})))), 8) AS {a}_{f}"
+
+
+@query(f"SELECT vec_id, reason, {', '.join(_SIDE.format(f=f, a=a, s=s) for a, s in (('x', 'width'), ('y', 'height')) for f in ('min', 'max'))} FROM {_RECTANGLES} JOIN (SELECT vec_id, width, height FROM {V.POLYGONS}) USING (vec_id)")
+def obb_rectangles(spark, d):
+    """Where the converted boxes end on each side."""
+    b = C.bounds(F.col("corners"))
+    return converted(spark, d).select("vec_id", "reason", *(F.when(F.col("reason").isNull(), b[f"{a}_{f}"]).alias(f"{a}_{f}") for a in "xy" for f in ("min", "max")))
+
+
 @query(f"SELECT vec_id, 'warning' AS severity, 'out_of_bounds' AS reason FROM {V.POLYGONS} WHERE width > 0 AND len(list_filter(coords, lambda v: v < 0 OR v > 1)) > 0 UNION ALL SELECT vec_id, 'error', 'conversion_failed' FROM {V.POLYGONS} WHERE width = 0")
 def obb_issues(spark, d):
     found = obb.issues(converted(spark, d), ["vec_id"])
@@ -630,9 +670,8 @@ def array_mean(spark, d):
 
 @query(f"SELECT string_agg(class_id::VARCHAR || ':' || n::VARCHAR, ',' ORDER BY class_id) AS counts FROM (SELECT class_id, count(*) AS n FROM {V.INSTANCES} WHERE class_id IS NOT NULL GROUP BY class_id)")
 def class_count_map(spark, d):
-    counts = V.instances(spark, d).where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("n"))
-    m = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_id", "n")))).alias("m"))
-    return m.select(F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",").alias("counts"))
+    m = stats.class_count_map(V.instances(spark, d))
+    return m.select(F.array_join(F.transform(F.map_entries("class_counts"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",").alias("counts"))
 
 
 _RUNS = "(SELECT user_id, CASE WHEN user_id % 4 = 0 THEN '' WHEN user_id % 4 = 1 THEN NULL ELSE 'run' || user_id::VARCHAR END AS experiment, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'model' || (user_id % 5)::VARCHAR END AS model, CASE WHEN user_id % 7 = 0 THEN 'failed' WHEN user_id % 2 = 0 THEN 'ok' END AS status, CASE WHEN user_id % 2 = 0 THEN max(value) END AS map50, max(value) / 2 AS map_alias FROM events GROUP BY user_id)"
@@ -945,6 +984,18 @@ def repair_then_strict(spark, d):
     return C.validate_lines(fixed, V.CLASSES, "strict").agg(F.count("*").alias("repaired"), F.count("error_type").alias("still_faulty"))
 
 
+@query(f"SELECT split, file_id, line_no, error_type FROM {V.VALIDATED} WHERE error_type IS NOT NULL")
+def repair_gate_faults(spark, d):
+    """What stops the gate after soft repair: the hard and invalid lines."""
+    return freeze.repair_gate(V.label_lines(spark, d), V.CLASSES)[1].select("split", "file_id", "line_no", "error_type")
+
+
+@query(f"SELECT split, count(*) AS lines, count(*) FILTER (soft_points > 0) AS repaired, coalesce(sum(soft_points), 0)::BIGINT AS fixed_points FROM {V.VALIDATED} WHERE error_type IS NULL GROUP BY split")
+def repair_gate_passed(spark, d):
+    passed = freeze.repair_gate(V.label_lines(spark, d), V.CLASSES)[0]
+    return passed.groupBy("split").agg(F.count("*").alias("lines"), F.count_if(F.col("fixed_points") > 0).alias("repaired"), F.sum("fixed_points").cast("long").alias("fixed_points"))
+
+
 _FROZEN = f"""(SELECT file_id, line_no, CASE WHEN repaired THEN array_to_string(list_prepend(head, list_transform(range(1, len(rest) + 1), lambda i: CASE WHEN used[i] = 0 THEN '0' WHEN used[i] = 1 THEN '1' ELSE rest[i] END)), ' ') ELSE raw END AS text, repaired,
   CASE WHEN repaired THEN CASE WHEN {V.distinct_sql('used')} < 3 THEN 'polygon_geometry' END WHEN error_type = 'polygon_coordinate_range' THEN 'unconfirmed_hard_range' ELSE error_type END AS violation
   FROM (SELECT *, (error_type IS NULL AND soft_points > 0) OR (coalesce(error_type, '') = 'polygon_coordinate_range' AND file_id % 4 = 0) AS repaired FROM {V.VALIDATED} v WHERE raw <> '' AND file_id IN (SELECT file_id FROM {V.FILES} WHERE status = 'kept')))"""
