@@ -147,12 +147,17 @@ def in_format(kind: Column, mention: Column, chosen: Column) -> Column:
 
 
 def person_names(persons: DataFrame) -> DataFrame:
-    """``norm, at, kind, name``: the names of each person, the last one a surname, those before it given names by the gender that the title shows."""
+    """``norm, at, kind, name``: the names of each person, the last one a surname, those before it given names. A given name has one gender in the whole corpus, that which titles show wherever it stands (neither
+    if they disagree or none tells), so it has one surrogate whatever its title."""
     parts = F.split("norm", " ")
     title = F.element_at(parts, 1)
-    gender = F.when(title.isin(*(t.lower() for t in TITLES["m"])), "m").when(title.isin(*(t.lower() for t in TITLES["f"])), "f").otherwise("n")
-    each = persons.select("norm", gender.alias("gender"), F.size(parts).alias("n"), F.posexplode(parts).alias("at", "name")).where("at > 0")
-    return each.select("norm", "at", F.when(F.col("at") == F.col("n") - 1, "name:family:n").otherwise(F.concat(F.lit("name:given:"), "gender")).alias("kind"), "name")
+    shown = {g: title.isin(*(t.lower() for t in TITLES[g])) for g in "mf"}
+    each = persons.select("norm", shown["m"].alias("m"), shown["f"].alias("f"), F.size(parts).alias("n"), F.posexplode(parts).alias("at", "name")).where("at > 0")
+    each = each.withColumn("family", F.col("at") == F.col("n") - 1)
+    told = each.where("not family").groupBy("name").agg(F.bool_or("m").alias("m"), F.bool_or("f").alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
+    given = each.where("not family").select("norm", "at", "name").join(told.select("name", gender.alias("gender")), "name")
+    return each.where("family").select("norm", "at", F.lit("name:family:n").alias("kind"), "name").unionByName(given.select("norm", "at", F.concat(F.lit("name:given:"), "gender").alias("kind"), "name"))
 
 
 def choose(entities: DataFrame, key: str) -> DataFrame:

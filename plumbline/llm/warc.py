@@ -28,6 +28,10 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: Bytes of payload that a partition of an archive holds, about.
+FILE_BYTES = 32 << 20
+
+
 def with_digest(pages: DataFrame, html_col: str) -> DataFrame:
     """``pages`` with ``_bytes`` and ``_digest`` of the payload (null: empty)."""
     columns = pages.columns
@@ -54,8 +58,8 @@ def _urn(kind: str, row: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000) -> None:
-    """Write each row as a request, a response or revisit, and a metadata record, gzipped, ``records_per_file`` to a file at most; a file holds no more than one
-    shuffled partition, whose bytes Spark bounds.
+    """Write each row as a request, a response or revisit, and a metadata record, gzipped. Rows are dealt by their number over so many partitions that one holds some ``FILE_BYTES`` of payload, and a file is one
+    of them or less (``records_per_file`` records at most), so a file that a task reads whole is that large, or as large as its largest pages.
 
     Of rows with equal payloads of ``least_bytes`` at least, the one with the largest id is the response (of equal ids the later
     row) and the others revisit it. A null payload is empty; a null url or id leaves its header out. Control characters and spaces
@@ -67,7 +71,9 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     digests = store.keep(with_digest(rows, "html").select("row", "id", "_bytes", "_digest"), "digests")
     firsts = digests.where(F.col("_bytes") >= least_bytes).groupBy("_digest", "_bytes").agg(F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("n")).where("n > 1")
     firsts = store.keep(firsts.select("_digest", "_bytes", F.col("last.row").alias("response_row")), "firsts")
-    joined = rows.join(digests.join(firsts, ["_digest", "_bytes"], "left").select("row", "_bytes", "_digest", "response_row"), "row")
+    total = digests.agg(F.sum(F.col("_bytes") + 1024)).first()[0] or 0
+    files = max(-(-total // FILE_BYTES), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    joined = rows.repartition(files, "row").join(digests.join(firsts, ["_digest", "_bytes"], "left").select("row", "_bytes", "_digest", "response_row"), "row")
 
     revisit = F.col("response_row") != F.col("row")
     response_id = _urn("response", F.col("row"))
