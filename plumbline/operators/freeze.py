@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import clamp01, number, tokens, validate_lines, within_tolerance
 from plumbline.operators.dedup import dataset_digest, digest_tree, tree_root
+from plumbline.operators.sampling import place_by_range
 
 
 def repair_log(lines: DataFrame, issues: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,18 +33,15 @@ def regroup(lines: DataFrame, keys: list[str], order: str = "line_no", text: str
 
 
 def review_cases(issues: DataFrame, exceptions: DataFrame, default: str) -> DataFrame:
-    """Hard lines as numbered cases in (split, file, line as text) order, with their coordinates in one text and a decision: the case's exception, else ``default``. Places are found by split and leading
-    digits first, so the numbering needs no single task over all cases."""
+    """Hard lines as numbered cases in (split, file, line as text) order, with their coordinates in one text and a decision: the case's exception, else ``default``. Places are found by ranges
+    (``sampling.place_by_range``), so no single task sees all cases."""
     hard = issues.where("coordinate_severity = 'hard'")
     cases = hard.groupBy("split", "file_id", "line_no").agg(
         F.count("*").alias("hard_coordinate_count"), F.max("amount").alias("max_overflow"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("point_index", "axis", "position"))), lambda x: x["position"]), ";").alias("positions"),
     )
-    keyed = cases.withColumn("_file", F.col("file_id").cast("string")).withColumn("_bucket", F.substring("_file", 1, 3)).withColumn("_line", F.col("line_no").cast("string"))
-    sizes = keyed.groupBy("split", "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("split", "_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.row_number().over(Window.partitionBy("split", "_bucket").orderBy("_file", "_line"))
-    numbered = keyed.withColumn("_inner", inner).join(before, ["split", "_bucket"]).withColumn("case_id", (F.col("_inner") + F.col("_before")).cast("long"))
+    keyed = cases.withColumn("_file", F.col("file_id").cast("string")).withColumn("_line", F.col("line_no").cast("string"))
+    numbered = place_by_range(keyed, ["split", "_file", "_line"], "case_id")
     decided = numbered.join(exceptions.select("case_id", F.col("review_decision").alias("_own")), "case_id", "left").withColumn("review_decision", F.coalesce("_own", F.lit(default)))
     return decided.select("case_id", "split", "file_id", "line_no", "hard_coordinate_count", "max_overflow", "positions", "review_decision")
 

@@ -8,15 +8,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import keep
+
 
 def seed_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def place_in_order(df: DataFrame, order: str, by: list[str] | None = None, digits: int = 3, value: Column | None = None, out: str = "place") -> DataFrame:
-    """Running count (or sum of ``value``) in the order of a hex column, from 1: within the bucket of its first ``digits`` digits, plus all earlier buckets. The table of
-    bucket sums has 16 ** digits rows for each group at most."""
+#: Rows of one bucket that are numbered in one window, about.
+BUCKET_ROWS = 100_000
+
+
+def bucket_digits(rows: int, most: int = BUCKET_ROWS) -> int:
+    """Leading hex digits of a digest by which ``rows`` fall into buckets of ``most`` at most, about: digests are spread evenly, so equal steps are the borders that quantiles would give."""
+    digits = 1
+    while rows > most << 4 * digits:
+        digits += 1
+    return digits
+
+
+def place_in_order(df: DataFrame, order: str, by: list[str] | None = None, digits: int | None = None, value: Column | None = None, out: str = "place") -> DataFrame:
+    """Running count (or sum of ``value``) in the order of a column of hex digests, from 1: within the bucket of its first ``digits`` digits, plus all earlier buckets. Without ``digits`` they follow from the
+    number of rows, so buckets stay bounded at any size. The table of bucket sums has 16 ** digits rows for each group at most."""
     by = by or []
+    digits = digits or bucket_digits(df.count())
     value = F.lit(1) if value is None else value
     marked = df.withColumn("_bucket", F.substring(order, 1, digits)).withColumn("_value", value.cast("long"))
     sums = marked.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_n"))
@@ -26,6 +41,15 @@ def place_in_order(df: DataFrame, order: str, by: list[str] | None = None, digit
     return marked.withColumn("_inner", F.sum("_value").over(inner)).join(before, [*by, "_bucket"]).withColumn(out, F.col("_inner") + F.col("_before")).drop("_bucket", "_value", "_inner", "_before")
 
 
+def place_by_range(df: DataFrame, order: list[str], out: str = "place") -> DataFrame:
+    """``df`` with the place of each row in the order of any columns, from 1, nulls first: dealt by ranges whose borders Spark takes from sampled quantiles, numbered within them, and moved on by the counts of
+    the ranges before. Rows that tie take places in any order. ``df`` is stored once, so that its rows keep their numbers."""
+    dealt = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_row", 33))
+    heads = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))  # one row a range
+    before = heads.select("_part", "_first", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return dealt.join(before, "_part").withColumn(out, F.col("_row") - F.col("_first") + F.col("_before") + 1).drop("_part", "_row", "_first", "_before")
+
+
 def ratio_split(df: DataFrame, key: str, ratios: tuple[float, float, float], seed: int) -> DataFrame:
     """``df`` with ``split``: floor(n * r) rows to train and val, the rest to test."""
     if min(ratios) < 0 or abs(sum(ratios) - 1.0) > 1e-8:

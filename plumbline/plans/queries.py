@@ -1086,7 +1086,11 @@ def changed_files(spark, d):
 @query(f"""SELECT split, class_id, count(*) AS instances, count(DISTINCT file_id) AS files, count(*) FILTER (geometry_status = 'valid') AS valid, count(*) FILTER (geometry_status = 'soft_clipped') AS soft_clipped, round(avg(abs({V.signed_sql('used')})) FILTER (geometry_status IS NOT NULL), 6) AS mean_mask, CASE WHEN action IN ('exclude', 'review') THEN 'dropped' WHEN action = 'keep_negative' THEN 'kept_negative' ELSE 'kept' END AS status
   FROM {V.INSTANCES} i LEFT JOIN (SELECT doc_id, action FROM {V.DOCUMENTS} d JOIN {V.DECISIONS} k ON lower(d.filename) = lower(k.filename)) k ON i.file_id = k.doc_id WHERE class_id IS NOT NULL GROUP BY split, class_id, 8""")
 def dataset_report(spark, d):
-    """Flagship: decisions applied before the parse, then one aggregate over the parsed instances."""
+    """Flagship: one parse of the lines, summed by file and class first, so that files are counted as rows and only sums meet the decisions."""
     named = pairing.apply_decisions(V.documents(spark, d), V.decisions(spark, d), "filename").where("action is not null").select(F.col("doc_id").alias("file_id"), "status")
-    rows = V.instances(spark, d).where("class_id is not null").join(named, "file_id", "left").withColumn("status", F.coalesce("status", F.lit("kept")))
-    return rows.groupBy("split", "class_id", "status").agg(F.count("*").alias("instances"), F.countDistinct("file_id").alias("files"), F.count_if(F.col("geometry_status") == "valid").alias("valid"), F.count_if(F.col("geometry_status") == "soft_clipped").alias("soft_clipped"), F.round(F.avg(C.area(F.col("coords"))), 6).alias("mean_mask"))
+    lines = V.instances(spark, d).where("class_id is not null")
+    sums = {"instances": F.count("*"), "valid": F.count_if(F.col("geometry_status") == "valid"), "soft_clipped": F.count_if(F.col("geometry_status") == "soft_clipped"), "area": F.sum(C.area(F.col("coords"))), "sized": F.count("coords")}
+    by_file = lines.groupBy("split", "file_id", "class_id").agg(*(v.alias(k) for k, v in sums.items()))
+    rows = by_file.join(named, "file_id", "left").withColumn("status", F.coalesce("status", F.lit("kept")))
+    mean = F.round(F.sum("area") / F.when(F.sum("sized") > 0, F.sum("sized")), 6)
+    return rows.groupBy("split", "class_id", "status").agg(F.sum("instances").alias("instances"), F.count("*").alias("files"), F.sum("valid").alias("valid"), F.sum("soft_clipped").alias("soft_clipped"), mean.alias("mean_mask"))

@@ -67,3 +67,18 @@ def test_hot_hash_gives_classes_not_pairs(spark):
     assert [(r["group_key"], r["train_group_count"], r["val_group_count"], r["train_image"], r["val_image"]) for r in found] == [("0000000000000007", 1500, 1500, "a0", "a1")]
     pairs = dedup.identical_hash_pairs(prints).collect()
     assert len(pairs) == 100 and {r["train_group_count"] for r in pairs} == {1500}
+
+
+def test_places_in_any_order_and_bounded_buckets(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "a", "b"]), rng.randrange(50), k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, o int, id long").repartition(7)
+    got = {r["id"]: r["place"] for r in sampling.place_by_range(df, ["g", "o", "id"]).collect()}
+    want = {r[2]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])))}
+    assert got == want
+    assert sampling.place_by_range(df.limit(0), ["id"]).count() == 0
+    assert [sampling.bucket_digits(n) for n in (0, 10**6, 10**9, 10**12)] == [1, 1, 4, 6]
+    digests = df.withColumn("d", sampling.seed_order(df["id"], 3))
+    order = sorted((r["d"], r["id"]) for r in digests.collect())
+    for digits in (None, 1, 2):
+        assert {r["id"]: r["place"] for r in sampling.place_in_order(digests, "d", digits=digits).collect()} == {i: k + 1 for k, (_, i) in enumerate(order)}
