@@ -194,7 +194,7 @@ def covered_by_arrays(strings: DataFrame, met: DataFrame, width: int, size: int)
     return met.join(found, ["key", "sid"]).select("row", (F.col("low") + F.col("first")).alias("start"), (F.col("low") + F.col("last") + width).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, most: int = MOST) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the remaining bytes): each text without every byte that is covered by a
     ``width``-byte string which also starts elsewhere, in the same text or another; strings are judged on the input.
 
@@ -202,7 +202,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, id_
     bytes. Very long texts are searched whole, in overlapping parts. Extra columns are left out. An empty table gives no rows. ``docs``
     is read several times: give a stored table.
     """
-    spans = repeated_spans(docs, width=width, gram=gram, text_col=text_col)
+    spans = repeated_spans(docs, width=width, gram=gram, text_col=text_col, most=most)
     lists = store.keep(spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.xxhash64("_row"))
     there = bloom(lists.select(F.xxhash64("row").alias("key")), "key")

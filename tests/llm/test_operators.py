@@ -190,11 +190,7 @@ def test_repeated_bytes(docs, plain):
     width, raw = 60, {k: (t or "").encode() for k, t in plain.items()}
     count = collections.Counter(b[i : i + width] for b in raw.values() for i in range(len(b) - width + 1))
     for most in (4096, 2):  # the second cuts crowded cores down to single windows
-        import plumbline.llm.substrings as module
-
-        old, module.MOST = module.MOST, most
-        got = {r["doc_id"]: r for r in remove_repeats(docs, width=width, gram=16, keep_text=True).collect()}
-        module.MOST = old
+        got = {r["doc_id"]: r for r in remove_repeats(docs, width=width, gram=16, keep_text=True, most=most).collect()}
         for k, b in raw.items():
             cover = np.zeros(len(b) + 1, bool)
             for i in range(len(b) - width + 1):
