@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.store import bound_batches
-from plumbline.llm.textbytes import LOWER, SPACE, gram_digests, slices
+from plumbline.llm.textbytes import LOWER, SPACE, gram_digests, mixed_eights, slices
 
 #: Bytes of items that one pass holds in a task; a larger benchmark takes more passes.
 PASS_BYTES = 4 << 20
@@ -88,16 +88,17 @@ class Pieces:
     def starts(self, data: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], set[int]]:
         """For each text and item that share a piece, where the item would begin by each of the hits."""
         raw, out = data.tobytes(), {}
+        whole = mixed_eights(data)
         for gram, hashes, own, bits in self.groups:
             if len(data) < gram:
                 continue
-            h = gram_digests(data, gram)
+            h = gram_digests(data, gram, whole)
             low = (h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
             maybe = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
             place = np.searchsorted(hashes, h[maybe])
             ok = (place < len(hashes)) & (hashes[np.minimum(place, len(hashes) - 1)] == h[maybe])
-            for p, k in zip(maybe[ok].tolist(), place[ok].tolist(), strict=True):
-                t = int(np.searchsorted(at, p, "right")) - 1
+            found = maybe[ok]
+            for p, k, t in zip(found.tolist(), place[ok].tolist(), (np.searchsorted(at, found, "right") - 1).tolist(), strict=True):
                 while k < len(hashes) and hashes[k] == h[p]:
                     number, offset, n = own[k]
                     k += 1
@@ -112,6 +113,10 @@ class Pieces:
         for (t, number), starts in self.starts(data, at).items():
             item, budget = self.items[number][1], self.budget[number]
             first, last = int(at[t]), int(at[t + 1])
+            exact = min((s for s in starts if s >= first and raw.startswith(item, s, last)), default=None)
+            if exact is not None:  # all pieces hit: nothing to search
+                yield t, number, 0, exact - first, exact + len(item) - first
+                continue
             best, end, stretch = budget + 1, -1, None
             for start in [*sorted(starts), None]:
                 begin, stop = (max(first, start - budget), min(last, start + len(item) + budget)) if start is not None else (last + 1, last + 1)
@@ -120,8 +125,6 @@ class Pieces:
                     continue
                 if stretch and (got := closest_end(item, raw[stretch[0] : stretch[1]], min(budget, best - 1))):
                     best, end = got[0], stretch[0] + got[1]
-                    if not best:
-                        break
                 stretch = begin, stop
             if end >= 0:
                 back = closest_end(item[::-1], raw[max(first, end - len(item) - budget) : end][::-1], budget)

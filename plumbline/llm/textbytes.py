@@ -89,18 +89,23 @@ def range_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return out
 
 
-def gram_digests(data: np.ndarray, gram: int) -> np.ndarray:
-    """64-bit digests of all windows of ``gram`` bytes."""
+def mixed_eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, mixed: what windows of several lengths share."""
+    return mix(eights(data) + BASE)
+
+
+def gram_digests(data: np.ndarray, gram: int, whole: np.ndarray | None = None) -> np.ndarray:
+    """64-bit digests of all windows of ``gram`` bytes. ``whole``: ``mixed_eights`` of the data, if it is there already."""
     n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    view = eights(data)
     out = np.full(n, gram, np.uint64) * BASE
-    whole = mix(view[: n + gram - gram % 8] + BASE) if gram >= 8 else None
-    for k in range(gram // 8):
-        out += whole[8 * k : 8 * k + n] * _TIMES[k]
-    if gram % 8:
-        out += mix((view[gram - gram % 8 : gram - gram % 8 + n] & _HEADS[gram % 8]) + BASE) * _TIMES[gram // 8]
+    if gram < 8:
+        return mix(out + mix((eights(data)[:n] & _HEADS[gram]) + BASE) * _TIMES[0])
+    whole = mixed_eights(data) if whole is None else whole
+    # eights side by side, and for what is left over one more that ends with the window
+    for k, at in enumerate([*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]):
+        out += whole[at : at + n] * _TIMES[k]
     return mix(out)
 
 
