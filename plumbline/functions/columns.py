@@ -204,12 +204,12 @@ def validate_lines(lines: DataFrame, num_classes: int | None = None, mode: str =
     return lines.select(*own, _parsed(F.col(raw), checked).alias("_v")).select(*own, *(F.col(f"_v.{c}").alias(c) for c in names))
 
 
-def parse_instances(lines: DataFrame, class_ids: list[int], raw: str = "raw", values: str | None = None) -> DataFrame:
+def parse_instances(lines: DataFrame, class_ids: list[int], raw: str = "raw", values: str | None = None, mask: str | None = None) -> DataFrame:
     """``lines`` with ``class_id, coords, geometry_status, hard_error, soft_error``: label lines for the statistics.
 
     The class counts before the coordinates are looked at, and is read on its own: counts of classes parse no coordinates. A line has at most two errors: a
     soft range error, and then the geometry that clamping leaves. ``geometry_status`` is valid, soft_clipped or null; ``coords`` are the clamped ones. ``values`` names a column for
-    the coordinates as written, of lines whose coordinates were looked at; null for the others.
+    the coordinates as written, of lines whose coordinates were looked at, and ``mask`` one for the polygon's area as a share of the image; null for the others.
     """
 
     def known(c: Column) -> Column:
@@ -218,20 +218,24 @@ def parse_instances(lines: DataFrame, class_ids: list[int], raw: str = "raw", va
     def checked(x: Column) -> Column:
         early = F.when(~known(x["cls"]), "class_id").when((x["size"] < 7) | (F.size(x["coords"]) % 2 == 1), "polygon_coordinate_count").when(x["null"], "polygon_coordinate_value")
         outside = F.exists(x["coords"], lambda v: ~inside(v))
-        return let(F.struct(early.alias("early"), F.when(early.isNull(), outside).otherwise(F.lit(False)).alias("outside")), lambda y: let(y_error(x, y), lambda e: outcome(x, y, e)))
+        return let(F.struct(early.alias("early"), F.when(early.isNull(), outside).otherwise(F.lit(False)).alias("outside")), lambda y: let(y_error(x, y), lambda z: outcome(x, y, z)))
 
     def y_error(x: Column, y: Column) -> Column:
-        flat = (distinct_points(x["used"]) < 3) | (area(x["used"]) <= 0)
-        return F.coalesce(y["early"], F.when(y["outside"] & ~F.forall(x["coords"], within_tolerance), "polygon_coordinate_range").when(flat, "polygon_geometry"))
+        # fewer than three different points have no area either, exactly: their edges cancel in pairs
+        late = lambda a: F.when(y["outside"] & ~F.forall(x["coords"], within_tolerance), "polygon_coordinate_range").when(a <= 0, "polygon_geometry")
+        return let(F.when(y["early"].isNull(), area(x["used"])), lambda a: F.struct(F.coalesce(y["early"], late(a)).alias("error"), a.alias("area")))
 
-    def outcome(x: Column, y: Column, e: Column) -> Column:
+    def outcome(x: Column, y: Column, z: Column) -> Column:
+        e = z["error"]
         ok = e.isNull()
+        more = [F.when(y["early"].isNull(), x["coords"]).alias(values)] if values else []
+        more += [F.when(ok, z["area"]).alias(mask)] if mask else []
         return F.struct(
             F.when(ok, x["used"]).alias("coords"), F.when(ok, F.when(y["outside"], "soft_clipped").otherwise("valid")).alias("geometry_status"), e.alias("hard_error"),
-            F.when(ok | (e == "polygon_geometry"), y["outside"]).otherwise(F.lit(False)).alias("soft_error"), *([F.when(y["early"].isNull(), x["coords"]).alias(values)] if values else []),
+            F.when(ok | (e == "polygon_geometry"), y["outside"]).otherwise(F.lit(False)).alias("soft_error"), *more,
         )
 
-    names = ("coords", "geometry_status", "hard_error", "soft_error", *([values] if values else []))
+    names = ("coords", "geometry_status", "hard_error", "soft_error", *(c for c in (values, mask) if c))
     own = [c for c in lines.columns if c not in (*names, "class_id")]
     cls = let(line_class(F.col(raw)), lambda c: F.when(known(c), c))
     return lines.select(*own, cls.alias("class_id"), _parsed(F.col(raw), checked).alias("_v")).select(*own, "class_id", *(F.col(f"_v.{c}").alias(c) for c in names))

@@ -1088,8 +1088,8 @@ def changed_files(spark, d):
 def dataset_report(spark, d):
     """Flagship: one parse of the lines, summed by file and class first, so that files are counted as rows and only sums meet the decisions."""
     named = pairing.apply_decisions(V.documents(spark, d), V.decisions(spark, d), "filename").where("action is not null").select(F.col("doc_id").alias("file_id"), "status")
-    lines = V.instances(spark, d).where("class_id is not null")
-    sums = {"instances": F.count("*"), "valid": F.count_if(F.col("geometry_status") == "valid"), "soft_clipped": F.count_if(F.col("geometry_status") == "soft_clipped"), "area": F.sum(C.area(F.col("coords"))), "sized": F.count("coords")}
+    lines = V.instances(spark, d, mask="mask").where("class_id is not null")
+    sums = {"instances": F.count("*"), "valid": F.count_if(F.col("geometry_status") == "valid"), "soft_clipped": F.count_if(F.col("geometry_status") == "soft_clipped"), "area": F.sum("mask"), "sized": F.count("mask")}
     by_file = lines.groupBy("split", "file_id", "class_id").agg(*(v.alias(k) for k, v in sums.items()))
     rows = by_file.join(named, "file_id", "left").withColumn("status", F.coalesce("status", F.lit("kept")))
     mean = F.round(F.sum("area") / F.when(F.sum("sized") > 0, F.sum("sized")), 6)

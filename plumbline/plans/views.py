@@ -95,8 +95,8 @@ def validated(spark: SparkSession, sf_dir: str, mode: str = "auto-fix") -> DataF
     return validate_lines(label_lines(spark, sf_dir), CLASSES, mode)
 
 
-def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_instances(label_lines(spark, sf_dir).where("raw <> ''"), list(range(CLASSES)))
+def instances(spark: SparkSession, sf_dir: str, mask: str | None = None) -> DataFrame:
+    return parse_instances(label_lines(spark, sf_dir).where("raw <> ''"), list(range(CLASSES)), mask=mask)
 
 
 _ALL_SOFT = "len(list_filter(coords, lambda v: NOT v BETWEEN -0.01::DOUBLE AND 1.01::DOUBLE)) = 0"
