@@ -22,13 +22,12 @@ from plumbline.operators.pairing import decision_status
 from plumbline.sources.files import write_csv, write_json
 from plumbline.sources.tables import keep
 
-# Edges of the mask histogram are those of the reports; how many bad lines a report shows.
+# Fixed value: how many bad lines a report shows.
 SAMPLES = 100
-_FALSE = F.lit(False)
 
 
 def _yes(c: Column) -> Column:
-    return F.coalesce(c, _FALSE)
+    return F.coalesce(c, F.lit(False))
 
 
 @dataclass(frozen=True)
