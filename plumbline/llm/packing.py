@@ -37,8 +37,8 @@ COVERED, REMAINDER = 0.9, 0.06
 #: How much dearer the tokens of the longest pieces start, so that short ones are spared for filling: the first, and those tried while the rows are more
 #: than ``GAP`` over the bound.
 LARGE, GAP = (0.05, 0.3, 1.0, 3.0), 0.001
-#: Room of a placed row above which it may be given back; rows up to which the bound itself is sought, whatever the time.
-WASTES, SURE = (0, 1, 2, 4), 50_000
+#: Room of a placed row above which it is given back, and share of the others that stays, in the plans that are compared.
+RETURNED = ((4, 1.0), (1, 1.0), (0, 1.0), (0, 0.75), (0, 0.5))
 #: Share of the fractional rows, the fullest, that get whole rows.
 FULLEST = 0.7
 
@@ -129,29 +129,28 @@ def cover(need: Configuration, capacity: int, seed: int = 0, large: float = LARG
 
 
 def plan(histogram: Configuration, capacity: int) -> tuple[list[tuple[Configuration, int]], int]:
-    """[(configuration, number of rows)] that together hold each length exactly ``histogram`` times, and how many of these rows the linear program placed. Solutions are tried until one meets the
-    bound by volume; where a rounded row is not full, its pieces may also go back to what is left, which is more for best-fit decreasing to fill. Never more rows than best-fit decreasing makes alone."""
+    """[(configuration, number of rows)] that together hold each length exactly ``histogram`` times, and how many of these rows the linear program placed. Solutions are tried until one is within
+    ``GAP`` of the bound by volume. Of each, rows that are not full, and a share of the full ones, may also give their pieces back to what is left, which is then easier to fill (``RETURNED``); of plans of equally many rows
+    the one with most rows of the program is taken."""
     bound = -(-sum(l * n for l, n in histogram.items()) // capacity)
     count = lambda rows: sum(n for _, n in rows)
     found: list[tuple[list[tuple[Configuration, int]], int]] = []
     for large in LARGE:
         got = _solved(histogram, capacity, large)
-        found += [got, *(_returned(*got, capacity, waste) for waste in WASTES)]
-        best = min(count(rows) for rows, _ in found)
-        if best <= bound + (best > SURE) * max(1, int(bound * GAP)):
+        found += [got, *(_returned(*got, capacity, waste, share) for waste, share in RETURNED)]
+        if min(count(rows) for rows, _ in found) <= max(bound + 1, bound * (1 + GAP)):
             break
-    found.append((best_fit_decreasing(histogram, capacity), 0))
     return min(found, key=lambda x: (count(x[0]), -x[1]))
 
 
-def _returned(rows: list[tuple[Configuration, int]], placed: int, capacity: int, waste: int) -> tuple[list[tuple[Configuration, int]], int]:
-    """A plan whose placed rows with more than ``waste`` of room give their pieces back to best-fit decreasing."""
+def _returned(rows: list[tuple[Configuration, int]], placed: int, capacity: int, waste: int, share: float) -> tuple[list[tuple[Configuration, int]], int]:
+    """A plan of which only ``share`` of the placed rows of each configuration stay, and of those with more than ``waste`` of room none; best-fit decreasing gets the pieces of the others."""
     kept, left, upto = [], Counter(), 0
     for config, n in rows:
-        if upto < placed and capacity - sum(l * k for l, k in config.items()) <= waste:
-            kept.append((config, n))
-        else:
-            left.update({l: k * n for l, k in config.items()})
+        stay = int(n * share + 0.5) if upto < placed and capacity - sum(l * k for l, k in config.items()) <= waste else 0
+        if stay:
+            kept.append((config, stay))
+        left.update({l: k * (n - stay) for l, k in config.items() if n > stay})
         upto += n
     return kept + best_fit_decreasing(left, capacity), sum(n for _, n in kept)
 
