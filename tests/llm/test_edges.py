@@ -27,7 +27,8 @@ def test_empty_tables(spark, odd, tmp_path):
     assert linededup.dedup_lines(none).count() == 0
     assert minhash.near_duplicates(none).count() == 0
     assert surrogates.replace_entities(none, key="k").count() == 0
-    assert decontaminate.benchmark_hits(none, items).count() == 0 and decontaminate.benchmark_hits(odd, items.limit(0)).count() == 0
+    for most in (decontaminate.PASS_BYTES, 0):
+        assert decontaminate.benchmark_hits(none, items, pass_bytes=most).count() == 0 and decontaminate.benchmark_hits(odd, items.limit(0), pass_bytes=most).count() == 0
     assert toxicity.toxicity(none, labels).count() == 0
     assert substrings.remove_repeats(none).count() == 0
     assert token_counts.token_counts(none, public_tokenizers.path("piece_bpe_32k.model"), cache_path=str(tmp_path / "c")).count() == 0

@@ -357,7 +357,7 @@ def least_distance(item: bytes, text: bytes) -> int:
     return min(row)
 
 
-def test_decontamination_equals_all_pairs(spark):
+def test_decontamination_equals_all_pairs(spark, tmp_path):
     from plumbline.llm.decontaminate import benchmark_hits
 
     rng = random.Random(17)
@@ -369,6 +369,16 @@ def test_decontamination_equals_all_pairs(spark):
             at = rng.randrange(len(t))
             t[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "a", "b", "zz"])
         rows.append((k, "".join(t)))
+    items += [items[3], "é" * 12 + " und noch"]  # one item twice
+    rows += [(1007, "x" + "É" * 12 + "  UND noch"), (None, f"a {items[5]} b {items[6]}"), (1008, items[3]), (1008, items[3])]
+    docs, bench = spark.createDataFrame(rows, "item_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = sorted(map(repr, benchmark_hits(docs, bench, rate=0.12, id_col="item_id").collect()))
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    for most in (0, 200, 700):  # a benchmark that is joined gives the same rows, however little a task may hold
+        assert sorted(map(repr, benchmark_hits(stored, bench, rate=0.12, id_col="item_id", pass_bytes=most).collect())) == whole
+    assert sum("item_id=1008, item_item_id=3," in r for r in whole) == 2 and sum("item_id=None" in r for r in whole) >= 2 and any("item_item_id=13," in r for r in whole)
+    items, rows = items[:-2], rows[:-4]
     got = {(r["item_id"], r["item_item_id"]): r["distance"] for r in benchmark_hits(spark.createDataFrame(rows, "item_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), rate=0.12, id_col="item_id").collect()}
     want = {}
     for k, t in rows:
