@@ -1,29 +1,40 @@
-"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
+"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy on the shards of a Spark table.
 
 A word's vector is the sum of the hashed embeddings of the word, of its beginnings and of its ending, so that forms not
 seen in training share what their stems have taught. Filters of several widths run over the whole text, the greatest
 response of each filter is kept, and a logistic layer scores it. Platt scaling on rows that the weights did not see turns the
 score into a probability at the share of toxic rows among the labels; a threshold is then set for each language.
 
-The model is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` of each label, in the order of a hash of the id, texts
-up to ``TRAIN_BYTES``); every row is scored on its whole text. Language, source, label and id are never inputs of a score.
+Every labelled row that is not held out takes part with its whole text: four fifths of the ids, by a hash, teach the weights,
+the others calibrate. The rows are dealt into shards of some ``SHARD_ROWS``. In each round every shard goes once through
+its rows, starting from the weights of the round before, and Spark averages what the shards have learnt, an embedding
+weighted by how often each of them changed it. The sums are of whole numbers, so their order does not matter. The driver holds the weights
+(2^18 embeddings at most) and never a row. Language, source, label and id are never inputs of a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import bound_batches
+from plumbline.llm import store
+from plumbline.llm.bloom import bloom
 from plumbline.llm.textbytes import LOWER, mix, prefix_sums, range_hash, slices
 
-TRAIN_ROWS = 3000
-TRAIN_BYTES = 32_768
+#: Labelled rows of a shard, about: a fifth of them calibrates.
+SHARD_ROWS = 8192
+#: Words (and 32 for each text) that are put in random order at a time.
+BLOCK_WORDS = 1 << 18
+ROUNDS, BATCH, SEED = 6, 64, 7
+#: Weights are summed as multiples of 1 / FINE; raw scores are multiples of 1 / STEPS between -64 and 64.
+FINE, STEPS = 1 << 18, 1 << 10
 BUCKETS = 1 << 18
 DIM, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 #: Buckets met in fewer training texts keep a zero vector: what cannot be learnt must not add noise.
@@ -54,16 +65,6 @@ def word_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.searchsorted(at, start, "right") - 1
 
 
-def column_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """``word_features`` of a column, slice by slice, and its number of texts."""
-    parts, texts = [np.zeros((0, 5), np.int32)], [np.zeros(0, np.int64)]
-    for start, _, data, at in slices(column):
-        p, t = word_features(data, at)
-        parts.append(p)
-        texts.append(t + start)
-    return np.concatenate(parts), np.concatenate(texts), len(column)
-
-
 @dataclass
 class Model:
     embed: np.ndarray  # BUCKETS x DIM
@@ -99,13 +100,29 @@ class Model:
                     places[t, span] = begin[t] + np.argmax(z[begin[t] : begin[t] + counts[t]], axis=0)
         return (out, places, x) if where else out
 
-    def raw(self, parts: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-        return self.pooled(parts, text, texts) @ self.weights + self.bias
+    def raw(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Scores of texts before calibration, in steps."""
+        parts, text = word_features(data, at)
+        raw = self.pooled(parts, text, len(at) - 1) @ self.weights + self.bias
+        return np.rint(np.clip(raw.astype(np.float64), -64, 64) * STEPS).astype(np.int64)
+
+    def probability(self, raw: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * (raw / STEPS) + self.shift, -40, 40)))
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        parts, text = word_features(data, at)
-        logit = self.scale * self.raw(parts, text, len(at) - 1) + self.shift
-        return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -40, 40)))
+        return self.probability(self.raw(data, at))
+
+    def dense(self) -> np.ndarray:
+        """All weights but the embeddings, as rows of DIM numbers."""
+        flat = np.concatenate([*(w.ravel() for w in self.filters), *self.biases, self.weights, [self.bias]])
+        return np.pad(flat, (0, -len(flat) % DIM)).reshape(-1, DIM)
+
+    def with_weights(self, embed: np.ndarray, dense: np.ndarray) -> Model:
+        flat = dense.ravel().astype(np.float32)
+        sizes = [*(w.size for w in self.filters), *(b.size for b in self.biases), self.weights.size, 1]
+        own = np.split(flat, np.cumsum(sizes))
+        n = len(WIDTHS)
+        return Model(embed, [x.reshape(w.shape) for x, w in zip(own, self.filters, strict=False)], own[n : 2 * n], own[2 * n], float(own[2 * n + 1][0]))
 
 
 def _adam(state: dict, key, value: np.ndarray, grad: np.ndarray, rate: float, rows=None) -> None:
@@ -117,113 +134,226 @@ def _adam(state: dict, key, value: np.ndarray, grad: np.ndarray, rate: float, ro
     value[at] -= rate * (m[at] / (1 - 0.9 ** t[0])) / (np.sqrt(v[at] / (1 - 0.99 ** t[0])) + 1e-6)
 
 
-def train(parts: np.ndarray, text: np.ndarray, label: np.ndarray, *, epochs: int = 6, batch: int = 64, seed: int = 7) -> Model:
-    """Weights for texts given by the features of their words, with 0/1 labels."""
-    rng = np.random.default_rng(seed)
-    texts = len(label)
-    edges = np.searchsorted(text, np.arange(texts + 1))
-    seen = np.zeros(BUCKETS, np.int32)
-    for t in range(texts):
-        seen[np.unique(parts[edges[t] : edges[t + 1]])] += 1
-    known = seen >= LEAST_TEXTS
-    known[0] = False
+def new_model(known: np.ndarray) -> Model:
+    """Weights before the first round. ``known``: the buckets that are learnt."""
+    rng = np.random.default_rng(SEED)
     embed = np.zeros((BUCKETS, DIM), np.float32)
     embed[known] = rng.normal(0, 0.05, (int(known.sum()), DIM))
-    model = Model(embed, [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], [np.full(FILTERS, -0.05, np.float32) for _ in WIDTHS], rng.normal(0.3, 0.1, len(WIDTHS) * FILTERS).astype(np.float32), -2.0)
-    bias, state = np.array([-2.0], np.float32), {}
-    for epoch in range(epochs):
-        rate = 0.02 * 0.7**epoch
-        order = rng.permutation(texts)
-        for k in range(0, texts, batch):
-            own = order[k : k + batch]
-            rows = np.concatenate([np.arange(edges[t], edges[t + 1]) for t in own])
-            p, number = parts[rows], np.repeat(np.arange(len(own)), edges[own + 1] - edges[own])
-            pooled, places, x = model.pooled(p, number, len(own), where=True)
-            out = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + bias[0], -30, 30)))
-            back = ((out - label[own]) / len(own)).astype(np.float32)
-            to_pooled = back[:, None] * model.weights * (pooled > 0)
-            hit, grads = [], []
-            for n, width in enumerate(WIDTHS):
-                span = slice(n * FILTERS, (n + 1) * FILTERS)
-                g, place = to_pooled[:, span], places[:, span]
-                t, f = np.nonzero((g != 0) & (place >= 0))
-                gw = np.zeros_like(model.filters[n])
-                for j in range(width):
-                    at_j = place[t, f] + j
-                    ok = (at_j < len(p)) & (number[np.minimum(at_j, len(p) - 1)] == t)
-                    tt, ff, aa = t[ok], f[ok], at_j[ok]
-                    np.add.at(gw[j].T, ff, g[tt, ff][:, None] * x[aa])
-                    hit.append(p[aa])
-                    grads.append(g[tt, ff][:, None] * model.filters[n][j][:, ff].T)
-                _adam(state, ("w", n), model.filters[n], gw + 1e-4 * model.filters[n], rate)
-                _adam(state, ("b", n), model.biases[n], g.sum(0), rate)
-            _adam(state, "v", model.weights, pooled.T @ back + 1e-4 * model.weights, rate)
-            _adam(state, "c", bias, np.array([back.sum()], np.float32), rate)
-            if hit and len(rows_hit := np.concatenate(hit)):
-                ids, inverse = np.unique(rows_hit.ravel(), return_inverse=True)
-                ge = np.zeros((len(ids), DIM), np.float32)
-                np.add.at(ge, inverse, np.repeat(np.concatenate(grads), p.shape[1], axis=0))
-                ge *= known[ids][:, None]
-                _adam(state, "e", model.embed, ge + 1e-4 * model.embed[ids] * known[ids][:, None], rate, ids)
-    model.bias = float(bias[0])
+    return Model(embed, [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], [np.full(FILTERS, -0.05, np.float32) for _ in WIDTHS], rng.normal(0.3, 0.1, len(WIDTHS) * FILTERS).astype(np.float32), -2.0)
+
+
+#: A text on its way into the training: shard, bucket numbers of its words, label.
+Text = tuple[int, np.ndarray, int]
+
+
+def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[Text]:
+    """The texts of batches of (shard, label, text)."""
+    for batch in batches:
+        shard, label = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for start, stop, data, at in slices(batch.column(2), 1 << 20):
+            parts, text = word_features(data, at)
+            edges = np.searchsorted(text, np.arange(stop - start + 1))
+            for k in range(stop - start):
+                yield int(shard[start + k]), parts[edges[k] : edges[k + 1]], int(label[start + k])
+
+
+def _blocks(texts: Iterable[Text]) -> Iterator[list[Text]]:
+    block, words = [], 0
+    for t in texts:
+        block.append(t)
+        words += 32 + len(t[1])
+        if words >= BLOCK_WORDS:
+            yield block
+            block, words = [], 0
+    if block:
+        yield block
+
+
+class Learner:
+    """One shard's copy of the weights in one round."""
+
+    def __init__(self, model: Model, known: np.ndarray, turn: int):
+        self.model, self.known, self.turn = model.with_weights(model.embed.copy(), model.dense()), known, turn
+        self.bias, self.state = np.array([model.bias], np.float32), {}
+        self.texts, self.changes = 0, np.zeros(BUCKETS, np.int64)
+
+    def learn(self, shard: int, texts: Iterable[Text]) -> None:
+        for k, block in enumerate(_blocks(texts)):
+            order = np.random.default_rng((SEED, self.turn, shard, k)).permutation(len(block))
+            for own in np.array_split(order, -(-len(block) // BATCH)):
+                self.step([block[t] for t in own])
+
+    def step(self, own: list[Text]) -> None:
+        model, rate = self.model, 0.02 * 0.7**self.turn
+        p, number = np.concatenate([t[1] for t in own]), np.repeat(np.arange(len(own)), [len(t[1]) for t in own])
+        label = np.array([t[2] for t in own])
+        self.texts += len(own)
+        pooled, places, x = model.pooled(p, number, len(own), where=True)
+        out = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + self.bias[0], -30, 30)))
+        back = ((out - label) / len(own)).astype(np.float32)
+        to_pooled = back[:, None] * model.weights * (pooled > 0)
+        hit, grads = [], []
+        for n, width in enumerate(WIDTHS):
+            span = slice(n * FILTERS, (n + 1) * FILTERS)
+            g, place = to_pooled[:, span], places[:, span]
+            t, f = np.nonzero((g != 0) & (place >= 0))
+            gw = np.zeros_like(model.filters[n])
+            for j in range(width):
+                at_j = place[t, f] + j
+                ok = (at_j < len(p)) & (number[np.minimum(at_j, len(p) - 1)] == t) if len(t) else np.zeros(0, bool)
+                tt, ff, aa = t[ok], f[ok], at_j[ok]
+                if not len(tt):
+                    continue
+                np.add.at(gw[j].T, ff, g[tt, ff][:, None] * x[aa])
+                hit.append(p[aa])
+                grads.append(g[tt, ff][:, None] * model.filters[n][j][:, ff].T)
+            _adam(self.state, ("w", n), model.filters[n], gw + 1e-4 * model.filters[n], rate)
+            _adam(self.state, ("b", n), model.biases[n], g.sum(0), rate)
+        _adam(self.state, "v", model.weights, pooled.T @ back + 1e-4 * model.weights, rate)
+        _adam(self.state, "c", self.bias, np.array([back.sum()], np.float32), rate)
+        model.bias = float(self.bias[0])
+        if hit:
+            ids, inverse = np.unique(np.concatenate(hit).ravel(), return_inverse=True)
+            ge = np.zeros((len(ids), DIM), np.float32)
+            np.add.at(ge, inverse.ravel(), np.repeat(np.concatenate(grads), p.shape[1], axis=0))
+            own_known = self.known[ids]
+            ge *= own_known[:, None]
+            _adam(self.state, "e", model.embed, ge + 1e-4 * model.embed[ids] * own_known[:, None], rate, ids)
+            self.changes[ids[own_known]] += 1
+
+    def learnt(self) -> pa.RecordBatch:
+        """Rows (key, weight, numbers in steps of 1 / FINE): changed embeddings by bucket, the other weights under keys below 0."""
+        ids, dense = np.flatnonzero(self.changes), self.model.dense()
+        key = np.concatenate([ids, -1 - np.arange(len(dense))])
+        weight = np.concatenate([self.changes[ids], np.full(len(dense), self.texts)])
+        value = np.rint(np.concatenate([self.model.embed[ids], dense]).astype(np.float64) * FINE).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(weight), *(pa.array(value[:, k]) for k in range(DIM))], names=["key", "weight", *_VALUES])
+
+
+_VALUES = [f"v{k}" for k in range(DIM)]
+
+
+def known_buckets(rows: DataFrame) -> np.ndarray:
+    """Which buckets at least ``LEAST_TEXTS`` texts hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for _, parts, _ in texts_of(batches):
+            seen[np.unique(parts)] += 1
+        ids = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seen[ids])], names=["key", "n"])
+
+    got = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS).select("key").toArrow()
+    known = np.zeros(BUCKETS, bool)
+    known[got["key"].to_numpy()] = True
+    known[0] = False
+    return known
+
+
+def train(rows: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Weights learnt from all rows (shard, label, text); each shard lies in one file, in a fixed order."""
+    context = rows.sparkSession.sparkContext
+    known = known_buckets(rows)
+    model = new_model(known)
+    for turn in range(rounds):
+        shared = context.broadcast((model, known))
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            for shard, texts in itertools.groupby(texts_of(batches), key=lambda t: t[0]):
+                learner = Learner(*shared.value, turn)
+                learner.learn(shard, texts)
+                yield learner.learnt()
+
+        schema = ", ".join(f"{c} long" for c in ("key", "weight", *_VALUES))
+        mean = rows.mapInArrow(learn, schema).groupBy("key").agg(*((F.sum(F.col(c) * F.col("weight")) / F.sum("weight") / FINE).cast("float").alias(c) for c in _VALUES)).toArrow()
+        shared.destroy()
+        key, value = mean["key"].to_numpy(), np.stack([mean[c].to_numpy() for c in _VALUES], axis=1)
+        embed, dense = model.embed.copy(), model.dense()
+        embed[key[key >= 0]] = value[key >= 0]
+        dense[-1 - key[key < 0]] = value[key < 0]
+        model = model.with_weights(embed, dense)
     return model
 
 
-def calibrate(model: Model, raw: np.ndarray, label: np.ndarray, lang: list[str], positive_share: float, precision: float, default: float) -> None:
+def calibrate(model: Model, scored: DataFrame, positive_share: float, precision: float, default: float) -> None:
     """Platt scaling at the labels' own share of positives, then a threshold for each language: the lowest at which the
-    precision there is reached on the calibration rows, no lower than ``default`` / 2; ``default`` where a language has few."""
-    pos = max(1, int(label.sum()))
-    neg = max(1, len(label) - pos)
-    weight = np.where(label == 1, positive_share / pos, (1 - positive_share) / neg)
+    precision there is reached on the calibration rows, no lower than ``default`` / 2; ``default`` where a language has few.
+
+    ``scored``: numbers n of rows by (lang, label, raw). There are at most 2^17 raw scores, so the driver gets bounded counts."""
+    counts = scored.groupBy("raw", "label").agg(F.sum("n").alias("n")).orderBy("raw", "label").toArrow()
+    raw, label, n = (counts[c].to_numpy() for c in ("raw", "label", "n"))
+    x = raw / STEPS
+    pos, neg = (max(1, int(n[label == v].sum())) for v in (1, 0))
+    weight = n * np.where(label == 1, positive_share / pos, (1 - positive_share) / neg)
     a, b = 1.0, 0.0
     for _ in range(200):  # Newton steps on two numbers, with a weak pull to (1, 0)
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
-        g = np.array([np.sum(weight * (p - label) * raw) + 1e-3 * (a - 1), np.sum(weight * (p - label)) + 1e-4 * b])
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g = np.array([np.sum(weight * (p - label) * x) + 1e-3 * (a - 1), np.sum(weight * (p - label)) + 1e-4 * b])
         w = weight * p * (1 - p)
-        h = np.array([[np.sum(w * raw * raw) + 1e-3, np.sum(w * raw)], [np.sum(w * raw), np.sum(w) + 1e-4]])
+        h = np.array([[np.sum(w * x * x) + 1e-3, np.sum(w * x)], [np.sum(w * x), np.sum(w) + 1e-4]])
         step = np.linalg.solve(h, g)
         a, b = a - np.clip(step[0], -0.5, 0.5), b - np.clip(step[1], -0.5, 0.5)
         if np.abs(step).max() < 1e-9:
             break
     model.scale, model.shift = float(max(a, 1e-3)), float(b)
-    p = 1 / (1 + np.exp(-np.clip(model.scale * raw + model.shift, -30, 30)))
-    model.thresholds = {}
-    for l in sorted(set(lang)):
-        own = np.array([x == l for x in lang])
-        order = np.argsort(-p[own])
-        y, w, q = label[own][order], weight[own][order], p[own][order]
-        if y.sum() < 20:
-            continue
-        reached = np.flatnonzero(np.cumsum(w * y) / np.cumsum(w) >= precision)
-        model.thresholds[l] = float(min(0.95, max(default / 2, q[reached[-1]]))) if len(reached) else default
+    by_score = scored.groupBy("lang", "raw").agg(*(F.sum(F.when(F.col("label") == v, F.col("n")).otherwise(0)).alias(c) for v, c in ((1, "pos"), (0, "neg"))))
+    down = Window.partitionBy("lang").orderBy(F.desc("raw")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = by_score.select("lang", "raw", F.sum("pos").over(down).alias("pos"), F.sum("neg").over(down).alias("neg"))
+    good, bad = F.col("pos") * (positive_share / pos), F.col("neg") * ((1 - positive_share) / neg)
+    limits = over.groupBy("lang").agg(F.max("pos").alias("pos"), F.min(F.when(good >= precision * (good + bad), F.col("raw"))).alias("raw")).where("pos >= 20").orderBy("lang").collect()
+    model.thresholds = {r["lang"]: default if r["raw"] is None else float(min(0.95, max(default / 2, model.probability(r["raw"])))) for r in limits}
 
 
 def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, precision: float = 0.9, default: float = 0.7) -> Model | None:
-    """A model from labelled rows that are not held out; None if one of the two labels has no row."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).alias("_label"))
+def labelled_rows(docs: DataFrame, known: DataFrame, rows: int, *, id_col: str, text_col: str, lang_col: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Stored rows (shard, label, text, lang, calibrates), a file for each shard. ``known``: (_id, _label), ``rows`` of ``docs`` have one."""
+    shards = -(-rows // shard_rows)
+    among = bloom(known, F.xxhash64("_id"))
+
+    @F.pandas_udf("boolean")
+    def may_be_known(key: pd.Series) -> pd.Series:
+        return pd.Series(among.value.test(key.to_numpy().view(np.uint64)))
+
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lit(None).cast("int").alias("label"), F.col(text_col).alias("text"), lang.alias("lang"))
+    given = known.select("_id", F.col("_label").cast("int").alias("label"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"))
+    place = F.xxhash64("_id")
+    both = own.where(may_be_known(place)).withColumn("is_doc", F.lit(True)).unionByName(given.withColumn("is_doc", F.lit(False)))
+    dealt = both.withColumn("place", place).withColumn("shard", F.pmod(F.shiftright("place", 8), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
+    one_id = Window.partitionBy("shard", "place", "_id").orderBy("text", "lang").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = dealt.withColumn("label", F.max("label").over(one_id)).where("is_doc and label is not null")  # texts move once: labels come to them
+    return store.keep(found.select("shard", "label", "text", "lang", (F.pmod("place", F.lit(5)) == 4).alias("calibrates")), "labelled")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", precision: float = 0.9, default: float = 0.7, rounds: int = ROUNDS, shard_rows: int = SHARD_ROWS) -> Model | None:
+    """A model from all labelled rows that are not held out; None if one of the two labels has no row."""
+    spark = docs.sparkSession
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).groupBy(F.col(id_col).try_cast(docs.schema[id_col].dataType).alias("_id")).agg(F.max(label_col).alias("_label"))
     share = known.agg(F.avg("_label")).first()[0]
     if share is None or share in (0.0, 1.0):
         return None
-    parts = [known.where(F.col("_label") == v).orderBy(F.xxhash64(id_col), id_col).limit(train_rows) for v in (0, 1)]
-    sample = F.broadcast(parts[0].unionByName(parts[1]).withColumnRenamed(id_col, "_id"))  # 2 * train_rows pairs of numbers
-    lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col in docs.columns else F.lit("")
-    own = docs.where(F.octet_length(text_col) <= train_bytes).select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), lang.alias("_lang"))
-    rows = own.join(sample, F.col("_own") == F.col("_id")).select("_id", "_text", "_label", "_lang")
-    got = rows.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(2 * train_rows).toArrow()
-    if not got.num_rows:
+    rows = docs.select(F.col(id_col).alias("_own")).join(known, F.col("_own") == F.col("_id")).count()
+    if not rows:
         return None
-    label = got["_label"].to_numpy().astype(np.int64)
-    fold = np.arange(len(label)) % 5 == 4  # the fifth row of each five calibrates
-    column = got["_text"].combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    model = train(*column_features(column.filter(pa.array(~fold)))[:2], label[~fold])
-    raw = np.concatenate([model.raw(*(word_features(data, at)), len(at) - 1) for _, _, data, at in slices(column.filter(pa.array(fold)))])
-    calibrate(model, raw.astype(np.float64), label[fold], [l for l, f in zip(got["_lang"].to_pylist(), fold, strict=True) if f], float(share), precision, default)
+    with store.collecting() as made:
+        found = labelled_rows(docs, known, rows, id_col=id_col, text_col=text_col, lang_col=lang_col, shard_rows=shard_rows)
+        model = train(found.where(~F.col("calibrates")).select("shard", "label", "text"), rounds)
+        shared = spark.sparkContext.broadcast(model)
+
+        def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start, stop, data, at in slices(batch.column(2), 1 << 20):
+                    own = batch.slice(start, stop - start)
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(shared.value.raw(data, at))], names=["lang", "label", "raw"])
+
+        scored = found.where("calibrates").select("lang", "label", "text").mapInArrow(raw, "lang string, label int, raw long")
+        calibrate(model, store.keep(scored.groupBy("lang", "label", "raw").agg(F.count("*").alias("n")), "calibration"), float(share), precision, default)
+        shared.destroy()
+    for path in made:
+        store.delete(spark, path)
     return model
 
 
@@ -231,11 +361,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """``docs`` with ``score`` (0 to 1), ``predicted`` (score >= ``threshold``) and ``rejected`` (score >= the threshold calibrated
     for the row's language).
 
-    Null and empty texts have no words and get the score of the bias alone. Very long texts are scored whole. Repeated rows get
+    Null and empty texts have no words and get the score of the bias alone. Very long texts are learnt from and scored whole. Repeated rows get
     equal scores. Without labelled rows of both kinds every score is 0. Columns of ``docs`` named like an output are replaced.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    store.bound_batches(spark)
     model = fit(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, default=threshold, **fitting)
     shared = spark.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c not in ("score", "predicted", "rejected")]

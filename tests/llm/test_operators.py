@@ -447,6 +447,80 @@ def test_toxicity(spark):
     assert all(r["score"] == 0 for r in nothing)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """One toxic word is seen only in rows after the first 3,000 of each label in the order of the ids' hash."""
+    from plumbline.llm.toxicity import is_held_out, toxicity
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    ids = spark.range(13_000).select("id", F.xxhash64("id").alias("h"), is_held_out(F.col("id")).alias("held")).orderBy("h", "id").collect()
+    seen, rows = [0, 0], []
+    for r in ids:
+        label = r["id"] % 2
+        seen[label] += not r["held"]
+        words = [rng.choice(WORDS) for _ in range(rng.randint(4, 10))]
+        if label:
+            words.insert(rng.randrange(len(words)), "vileword" if r["held"] or seen[1] > 3000 else "grimnoun")
+        rows.append((r["id"], " ".join(words), label))
+    assert min(seen) > 4000
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = toxicity(df.drop("toxic"), df.select("doc_id", "toxic")).where(is_held_out(F.col("doc_id"))).join(df.select("doc_id", "toxic"), "doc_id").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.98
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    from plumbline.llm.toxicity import is_held_out, toxicity
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(600):
+        words = rng.choices(WORDS, k=6500)
+        if k % 2:
+            words[rng.randrange(len(words))] = "vileword"
+        rows.append((k, " ".join(words), k % 2))
+    assert min(len(t) for _, t, _ in rows) > 32_768
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = toxicity(df.drop("toxic"), df.select("doc_id", "toxic")).where(is_held_out(F.col("doc_id"))).join(df.select("doc_id", "toxic"), "doc_id").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in held) / len(held) > 0.95
+
+
+def test_toxicity_shards(spark):
+    """Many shards, in whatever order and files the rows come, give one model."""
+    from plumbline.llm.toxicity import toxicity
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    rows = [(k // 2, " ".join([rng.choice(WORDS) for _ in range(9)] + ["vileword"] * (k // 2 % 3 == 0)), rng.choice(["en", None]), int(k // 2 % 3 == 0)) for k in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(1).cache()
+    labels = df.select("doc_id", "toxic").distinct()
+    got = [{(r["doc_id"], r["text"]): (r["score"], r["rejected"]) for r in toxicity(d.drop("toxic"), labels, shard_rows=200).collect()} for d in (df, df.repartition(5, F.rand(3)))]
+    assert got[0] == got[1] and len(got[0]) == 2400
+    right = sum((score >= 0.7) == (k % 3 == 0) for (k, _), (score, _) in got[0].items())
+    assert right / 2400 > 0.98
+
+
+def test_toxicity_calibration(spark):
+    from plumbline.llm.toxicity import calibrate, new_model
+
+    rng, rows = np.random.default_rng(14), []
+    for lang, spread in (("a", 1.0), ("b", 3.0), ("c", 0.1)):
+        for _ in range(400 if lang != "c" else 15):
+            label = int(rng.random() < 0.3)
+            rows.append((lang, label, int(round(100 * rng.normal(2 * label - 1, spread))) * 10))
+    model = new_model(np.zeros(1 << 18, bool))
+    df = spark.createDataFrame(rows, "lang string, label int, raw long")
+    calibrate(model, df.groupBy("lang", "label", "raw").count().withColumnRenamed("count", "n"), 0.2, 0.9, 0.7)
+    label, raw = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    weight = np.where(label == 1, 0.2 / label.sum(), 0.8 / (1 - label).sum())
+    p = model.probability(raw)
+    assert abs(np.sum(weight * p) - 0.2) < 0.01 and set(model.thresholds) == {"a", "b"}
+    for lang in "ab":
+        own = np.array([r[0] == lang for r in rows])
+        good = [t for t in p[own] if np.sum((weight * label)[own & (p >= t)]) >= 0.9 * np.sum(weight[own & (p >= t)])]
+        assert model.thresholds[lang] == (min(0.95, max(0.35, min(good))) if good else 0.7)
+
+
 def test_pipeline_columns(spark):
     import os
 
