@@ -17,6 +17,8 @@ from plumbline.sources.tables import keep
 
 #: Distinct hashes of a side that one block of a crowded key holds, about.
 HASHES = 2000
+#: Files of a side that one block of a crowded hash holds, about; a task holds the pairs of two blocks.
+FILES = 256
 
 
 def content_hash(files: DataFrame, content: str, out: str = "sha256") -> DataFrame:
@@ -175,12 +177,38 @@ def near_hash_classes(prints: DataFrame, threshold: int = 4, pieces: int | None
 
 
 def near_hash_pairs(prints: DataFrame, threshold: int = 4, exclude: DataFrame | None = None, sides: tuple[str, str] = ("train", "val")) -> DataFrame:
-    """The pairs of files behind ``near_hash_classes``: ``train_id, val_id, distance``. Files of one hash are all paired, so ask for it where that is wanted."""
-    members = prints.where(F.col("hash").isNotNull()).select("id", "split", "hash").distinct()
-    a, b = (members.where(F.col("split") == s).select(F.col("id").alias(f"{n}_id"), F.col("hash").alias(f"{n}_hash")) for s, n in zip(sides, ("train", "val"), strict=True))
+    """The pairs of files behind ``near_hash_classes``: ``train_id, val_id, distance``. Files of one hash are all paired, so ask for it where that is wanted. ``exclude``: ``train_id, val_id``.
+
+    No pair of files is shuffled: the files of a hash lie in blocks of some ``FILES`` ids, pairs of blocks are shuffled with the ids of one side, and the last stage joins the other side's ids and unfolds
+    both. It is dealt over all shuffle partitions, however small the blocks are. The joins are sort-merge joins, as a broadcast join makes all rows of one key at once and holds them."""
+    known = prints.where(F.col("hash").isNotNull() & F.col("split").isin(*sides)).select("id", "split", "hash").distinct()
+    crowded = known.groupBy("hash", "split").agg(F.ceil(F.count("*") / FILES).alias("parts")).where("parts > 1")
+    members = known.join(crowded, ["hash", "split"], "left").withColumn("block", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.lit(0).cast("long")))
+    members = keep(members.select("id", "split", "hash", "block"), "members")
+
+    def side(n: str) -> DataFrame:
+        own = members.where(F.col("split") == sides[("train", "val").index(n)])
+        return own.select(F.col("id").alias(f"{n}_id"), F.col("hash").alias(f"{n}_hash"), F.col("block").alias(f"{n}_block"))
+
+    keys = {n: [f"{n}_hash", f"{n}_block"] for n in ("train", "val")}
+    parts = {n: keys[n][:1] + [f"{n}_parts"] for n in keys}
     near = near_hash_classes(prints, threshold, sides=sides).select("train_hash", "val_hash", "distance")
-    pairs = near.join(a, "train_hash").join(b, "val_hash").select("train_id", "val_id", "distance")
-    return pairs if exclude is None else pairs.join(exclude.select("train_id", "val_id"), ["train_id", "val_id"], "left_anti")
+    for n, own in parts.items():
+        near = near.join(crowded.where(F.col("split") == sides[("train", "val").index(n)]).select(F.col("hash").alias(own[0]), F.col("parts").alias(own[1])), own[0], "left")
+    blocks = [F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{n}_parts", F.lit(1).cast("long")) - 1)).alias(f"{n}_block") for n in keys]
+    met = near.select("*", blocks[0]).select("*", blocks[1]).select(*keys["train"], *keys["val"], "distance")
+    if exclude is not None:
+        gone = exclude.select("train_id", "val_id").distinct().join(side("train"), "train_id").join(side("val"), "val_id").where(F.bit_count(F.col("train_hash").bitwiseXOR(F.col("val_hash"))) <= threshold)
+        met = met.join(gone.groupBy(*keys["train"], *keys["val"]).agg(F.collect_list(F.struct("train_id", "val_id")).alias("gone")), [*keys["train"], *keys["val"]], "left")
+    listed = {n: F.transform(F.collect_list(F.struct(F.col(f"{n}_id").alias("id"))), lambda x: x["id"]) for n in keys}  # null ids too
+    ids = {n: side(n).groupBy(*keys[n]).agg(listed[n].alias(f"{n}_ids")) for n in keys}
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.join(ids["val"].hint("merge"), keys["val"]).repartition(tasks, *keys["train"]).join(ids["train"].repartition(tasks, *keys["train"]).hint("merge"), keys["train"])
+    pairs = met.select("*", F.explode("val_ids").alias("val_id"))
+    if exclude is not None:
+        out = F.transform(F.filter("gone", lambda g: g["val_id"] == F.col("val_id")), lambda g: g["train_id"])
+        pairs = pairs.withColumn("train_ids", F.when(F.col("gone").isNull(), F.col("train_ids")).otherwise(F.array_except("train_ids", out)))
+    return pairs.select("val_id", "distance", F.explode("train_ids").alias("train_id")).select("train_id", "val_id", "distance")
 
 
 def near_hash_report(prints: DataFrame, threshold: int = 4, bucket_pairs: int = 50_000, cap: int = 50_000, exclude: DataFrame | None = None, sides: tuple[str, str] = ("train", "val")) -> DataFrame:

@@ -1,6 +1,9 @@
 """Near hashes as classes, first rows of groups."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -82,3 +85,40 @@ def test_places_in_any_order_and_bounded_buckets(spark):
     order = sorted((r["d"], r["id"]) for r in digests.collect())
     for digits in (None, 1, 2):
         assert {r["id"]: r["place"] for r in sampling.place_in_order(digests, "d", digits=digits).collect()} == {i: k + 1 for k, (_, i) in enumerate(order)}
+
+
+def test_pairs_of_files_of_near_hashes_without_excluded_ones(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FILES", 3)  # crowded hashes are dealt into blocks
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    hashes = [b ^ sum({1 << rng.randrange(64) for _ in range(k)}) for b in base for k in (0, 1, 2, 4)]
+    rows = [(f"i{k}", ("train", "val")[rng.randrange(2)], signed(rng.choice(hashes[:3] if k % 2 else hashes))) for k in range(160)] + [("x", "test", 5), (None, "train", signed(hashes[0])), ("y", "val", None)]
+    rows += rows[:3]
+    gone = [(a, b) for a, s, _ in rows for b, t, _ in rows if (s, t) == ("train", "val") and rng.random() < 0.2] + [("i1", "nobody"), (None, "i2")]
+    want = {(a, b, n) for a, s, g in rows if s == "train" for b, t, h in rows if t == "val" and h is not None and (n := ((g ^ h) & U64).bit_count()) <= 4}
+    prints = spark.createDataFrame(rows, "id string, split string, hash long")
+    assert sorted(map(tuple, dedup.near_hash_pairs(prints).collect()), key=repr) == sorted(want, key=repr)
+    left = sorted((r for r in want if r[:2] not in {g for g in gone if None not in g}), key=repr)
+    got = dedup.near_hash_pairs(prints, exclude=spark.createDataFrame(gone, "train_id string, val_id string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == left and len(left) < len(want)
+
+
+_HOT = """
+import sys, tempfile
+from pyspark.sql import Observation, SparkSession, functions as F
+from plumbline.operators import dedup, leakage
+conf = {"spark.driver.memory": "700m", "spark.driver.extraJavaOptions": "-XX:+ExitOnOutOfMemoryError", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="plumbline-"), "spark.local.dir": tempfile.mkdtemp(prefix="plumbline-")}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+k = F.col("id")
+columns = [k.cast("string").alias("id"), F.when(k % 8 == 0, "val").otherwise("train").alias("split"), F.lit("").alias("capture_key"), F.lit(None).cast("long").alias("frame"), F.lit("p").alias("part_key"), F.lit(7).cast("long").alias("hash"), F.lit(None).cast("string").alias("decode_error")]
+report = leakage.leakage_report(spark.range(12_000).select(*columns)).where("risk_type = 'near_duplicate'")
+seen = Observation("seen")
+report.observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+print("rows", seen.get["n"])
+"""
+
+
+def test_hot_hash_is_unfolded_within_a_small_heap():
+    """15 million pairs of one hash: a broadcast join made them at once and held them."""
+    run = subprocess.run([sys.executable, "-c", _HOT], capture_output=True, text=True, env=os.environ, timeout=600)
+    assert f"rows {10_500 * 1_500}" in run.stdout, run.stderr[-2000:]
