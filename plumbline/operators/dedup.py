@@ -135,12 +135,27 @@ def identical_hash_pairs(prints: DataFrame, exclude: DataFrame | None = None, ea
     return pairs if exclude is None else pairs.join(exclude.select("train_id", "val_id"), ["train_id", "val_id"], "left_anti")
 
 
+def _parts(pieces: int) -> list[int]:
+    edges = [64 * k // pieces for k in range(pieces + 1)]
+    return [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:])]
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
 def _masks(pieces: int, threshold: int) -> list[int]:
     """The bits of each choice of ``pieces - threshold`` out of ``pieces`` nearly equal parts of a hash, as signed numbers."""
-    edges = [64 * k // pieces for k in range(pieces + 1)]
-    parts = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:])]
-    wide = [sum(chosen) for chosen in combinations(parts, pieces - threshold)]
-    return [m - (1 << 64) if m >> 63 else m for m in wide]
+    return [_signed(sum(chosen)) for chosen in combinations(_parts(pieces), pieces - threshold)]
+
+
+def first_key(different: Column, key_index: Column, pieces: int, threshold: int) -> Column:
+    """Whether the key of number ``key_index`` that two hashes share is the first that they share, from the bits in which they differ: every part that its choice leaves out before the last one taken
+    differs. A comparison with each key in turn is so much code that the JVM no longer compiles it."""
+    chosen = combinations(range(pieces), pieces - threshold)
+    needed = F.get(F.array(*(F.lit(sum(1 << p for p in range(max(c)) if p not in c)) for c in chosen)), key_index)
+    differ = reduce(Column.bitwiseOR, (F.when(different.bitwiseAND(F.lit(_signed(m)).cast("long")) != 0, F.lit(1 << p)).otherwise(F.lit(0)) for p, m in enumerate(_parts(pieces))))
+    return differ.bitwiseAND(needed) == needed
 
 
 def key_pieces(hashes: int, threshold: int) -> int:
@@ -156,7 +171,8 @@ def near_hash_classes(prints: DataFrame, threshold: int = 4, pieces: int | None
     that it shares alone. Keys have so many bits that random hashes hardly meet; a key that many hashes have all the same is dealt into blocks, and blocks meet in pairs. The
     table of distinct hashes is stored, as it is read for its size and by both sides."""
     classes = keep(hash_classes(prints, sides), "hashes")
-    masks = _masks(pieces or key_pieces(classes.count(), threshold), threshold)
+    pieces = pieces or key_pieces(classes.count(), threshold)
+    masks = _masks(pieces, threshold)
     keyed = classes.select("*", F.posexplode(F.array(*(F.col("hash").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("key_index", "key"))
     keys = ["key_index", "key"]
     held = {n: F.count_if(F.col(f"{n}_count") > 0) for n in ("train", "val")}
@@ -167,12 +183,13 @@ def near_hash_classes(prints: DataFrame, threshold: int = 4, pieces: int | None
         """One side in its own blocks, once for each block of the other."""
         block = F.pmod(F.xxhash64("hash"), F.col(f"{own}_parts")).alias(f"{own}_block")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)).alias(f"{other}_block")
-        return dealt.where(F.col(f"{own}_count") > 0).select(*keys, block, every, F.col("hash").alias(f"{own}_hash"), f"{own}_count", f"{own}_id")
+        rows = dealt.where(F.col(f"{own}_count") > 0).select(*keys, block, every, F.col("hash").alias(f"{own}_hash"), f"{own}_count", f"{own}_id")
+        return rows.repartition(tasks, *keys, "train_block", "val_block")
 
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as few bytes meet in many pairs, tasks are not joined by their bytes
     met = side("train", "val").join(side("val", "train"), [*keys, "train_block", "val_block"])
     different = F.col("train_hash").bitwiseXOR(F.col("val_hash"))
-    first = F.coalesce(*(F.when(different.bitwiseAND(F.lit(m).cast("long")) == 0, k) for k, m in enumerate(masks)))
-    near = met.withColumn("distance", F.bit_count(different)).where(F.col("distance") <= threshold).where(F.col("key_index") == first)
+    near = met.withColumn("distance", F.bit_count(different)).where(F.col("distance") <= threshold).where(first_key(different, F.col("key_index"), pieces, threshold))
     return near.select("train_hash", "val_hash", "distance", "train_count", "val_count", "train_id", "val_id")
 
 

@@ -439,7 +439,7 @@ def near_duplicates(spark, d):
 
 @query(f"SELECT t.id AS train_id, v.id AS val_id, bit_count(xor(t.hash, v.hash))::INTEGER AS distance FROM {V.PRINTS} t JOIN {V.PRINTS} v ON bit_count(xor(t.hash, v.hash)) <= 4 WHERE t.split = 'train' AND v.split = 'val'")
 def near_duplicates_whole(spark, d):
-    return dedup.near_hash_pairs(V.prints(spark, d))
+    return dedup.near_hash_pairs(keep(V.prints(spark, d), "prints"))  # both the hashes and their files are taken from it
 
 
 _HASHES = f"(SELECT hash, count(*) FILTER (split = 'train') AS train_count, count(*) FILTER (split = 'val') AS val_count, min(id) FILTER (split = 'train') AS train_id, min(id) FILTER (split = 'val') AS val_id FROM {V.PRINTS} GROUP BY hash)"

@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import dedup, leakage, sampling
 
@@ -122,3 +123,23 @@ def test_hot_hash_is_unfolded_within_a_small_heap():
     """15 million pairs of one hash: a broadcast join made them at once and held them."""
     run = subprocess.run([sys.executable, "-c", _HOT], capture_output=True, text=True, env=os.environ, timeout=600)
     assert f"rows {10_500 * 1_500}" in run.stdout, run.stderr[-2000:]
+
+
+@pytest.mark.parametrize("threshold,pieces", [(0, 1), (1, 3), (4, 6), (4, 8), (5, 9)])
+def test_first_shared_key_of_any_two_hashes(spark, threshold, pieces):
+    rng = random.Random(pieces)
+    masks = [m & U64 for m in dedup._masks(pieces, threshold)]
+    rows = [(k, signed(d)) for d in [0, *(sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, threshold + 2))}) for _ in range(60))] for k, m in enumerate(masks) if d & m == 0]
+    got = spark.createDataFrame(rows, "k int, d long").select("k", "d", dedup.first_key(F.col("d"), F.col("k"), pieces, threshold).alias("first")).collect()
+    firsts = {d: min(k for k, e in rows if e == d) for _, d in rows}
+    assert all(r["first"] == (firsts[r["d"]] == r["k"]) for r in got) and len(got) == len(rows) > 0
+
+
+def test_few_near_hashes_are_unfolded_in_all_tasks(spark):
+    """Tasks are not joined by the few bytes that they read: 2,000 files make half a million pairs."""
+    prints = spark.range(2000).selectExpr("id", "if(id % 2 = 0, 'train', 'val') as split", "id % 200 as hash")
+    used = dedup.near_hash_pairs(prints).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(used) == 4 and sum(r["count"] for r in used) > 500_000
+    classes = dedup.near_hash_classes(prints)
+    classes.collect()
+    assert classes.rdd.getNumPartitions() == 4
