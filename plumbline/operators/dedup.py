@@ -151,7 +151,7 @@ def _masks(pieces: int, threshold: int) -> list[int]:
 
 def first_key(different: Column, key_index: Column, pieces: int, threshold: int) -> Column:
     """Whether the key of number ``key_index`` that two hashes share is the first that they share, from the bits in which they differ: every part that its choice leaves out before the last one taken
-    differs. A comparison with each key in turn is so much code that the JVM no longer compiles it."""
+    differs. A comparison with each of 70 keys in turn is so much code that the JVM no longer compiles it."""
     chosen = combinations(range(pieces), pieces - threshold)
     needed = F.get(F.array(*(F.lit(sum(1 << p for p in range(max(c)) if p not in c)) for c in chosen)), key_index)
     differ = reduce(Column.bitwiseOR, (F.when(different.bitwiseAND(F.lit(_signed(m)).cast("long")) != 0, F.lit(1 << p)).otherwise(F.lit(0)) for p, m in enumerate(_parts(pieces))))
@@ -170,7 +170,11 @@ def near_hash_classes(prints: DataFrame, threshold: int = 4, pieces: int | None
     Cut into ``pieces`` parts, two such hashes are equal in all but ``threshold`` of them, so they share the key of some choice of the others; a pair is given by the first key
     that it shares alone. Keys have so many bits that random hashes hardly meet; a key that many hashes have all the same is dealt into blocks, and blocks meet in pairs. The
     table of distinct hashes is stored, as it is read for its size and by both sides."""
-    classes = keep(hash_classes(prints, sides), "hashes")
+    return near_classes(keep(hash_classes(prints, sides), "hashes"), threshold, pieces)
+
+
+def near_classes(classes: DataFrame, threshold: int = 4, pieces: int | None = None) -> DataFrame:
+    """``near_hash_classes`` of a stored table of ``hash_classes``."""
     pieces = pieces or key_pieces(classes.count(), threshold)
     masks = _masks(pieces, threshold)
     keyed = classes.select("*", F.posexplode(F.array(*(F.col("hash").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("key_index", "key"))
@@ -186,7 +190,7 @@ def near_hash_classes(prints: DataFrame, threshold: int = 4, pieces: int | None
         rows = dealt.where(F.col(f"{own}_count") > 0).select(*keys, block, every, F.col("hash").alias(f"{own}_hash"), f"{own}_count", f"{own}_id")
         return rows.repartition(tasks, *keys, "train_block", "val_block")
 
-    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as few bytes meet in many pairs, tasks are not joined by their bytes
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as few bytes meet in many pairs, tasks are not joined by their bytes
     met = side("train", "val").join(side("val", "train"), [*keys, "train_block", "val_block"])
     different = F.col("train_hash").bitwiseXOR(F.col("val_hash"))
     near = met.withColumn("distance", F.bit_count(different)).where(F.col("distance") <= threshold).where(first_key(different, F.col("key_index"), pieces, threshold))

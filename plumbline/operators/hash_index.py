@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.dedup import _masks
+from plumbline.operators.dedup import _masks, first_key, near_classes
 from plumbline.sources.tables import keep
 
 KEYS = ["key_index", "key"]
@@ -45,12 +45,11 @@ class HashIndex:
     def links(self, new: DataFrame, old: DataFrame) -> DataFrame:
         """``train_hash, val_hash, distance, train_count, val_count, train_id, val_id`` across the splits between two sets of rows of the index."""
         # Names of the old side stay as they are in the table: a bucketed scan is known by its own columns.
-        other = new.select(*(F.col(c).alias(f"_{c}") for c in [*KEYS, "hash", "split", "n", "id"]))
-        met = old.join(other, (F.col("key_index") == F.col("_key_index")) & (F.col("key") == F.col("_key")) & (F.col("split") != F.col("_split")))
-        different = F.col("hash").bitwiseXOR(F.col("_hash"))
-        first = F.coalesce(*(F.when(different.bitwiseAND(F.lit(m).cast("long")) == 0, k) for k, m in enumerate(_masks(self.pieces, self.threshold))))
-        near = met.where((F.bit_count(different) <= self.threshold) & (F.col("key_index") == first))
-        train = F.col("split") == self.sides[0]
+        other = new.select(*(F.col(c).alias(f"_{c}") for c in [*KEYS, "hash", "n", "id"]), (F.col("split") == self.sides[0]).alias("_train"))
+        met = old.join(other, (F.col("key_index") == F.col("_key_index")) & (F.col("key") == F.col("_key")))
+        different, train = F.col("hash").bitwiseXOR(F.col("_hash")), F.col("split") == self.sides[0]
+        # Distances come first: most rows of a key that meet are of one split, and a comparison of their texts costs more than one of bits.
+        near = met.where((F.bit_count(different) <= self.threshold) & (train != F.col("_train")) & first_key(different, F.col("key_index"), self.pieces, self.threshold))
         side = lambda c, yes, no, name: F.when(train, F.col(yes)).otherwise(F.col(no)).alias(name)
         columns = [side(c, *pair, f"{n}_{c2}") for n, swap in (("train", False), ("val", True)) for c, c2 in (("hash", "hash"), ("n", "count"), ("id", "id")) for pair in [(f"_{c}", c) if swap else (c, f"_{c}")]]
         return near.select(*columns, F.bit_count(different).alias("distance"))
@@ -60,7 +59,10 @@ class HashIndex:
         sides; counts are those of the addition and of one earlier one, so sums over all links of a pair are not sums of files. Null ids count as files without an id."""
         old = self.attach(prints.sparkSession)
         new = keep(self.keyed(prints), "additions")
-        within = self.links(new.where(F.col("split") == self.sides[1]), new.where(F.col("split") == self.sides[0]))
+        one = {n: F.col("split") == s for s, n in zip(self.sides, ("train", "val"), strict=True)}
+        counts = [F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0).cast("long")).alias(f"{n}_count") for n, c in one.items()]
+        classes = new.where("key_index = 0").groupBy("hash").agg(*counts, *(F.min(F.when(c, F.col("id"))).alias(f"{n}_id") for n, c in one.items()))
+        within = near_classes(keep(classes, "hashes"), self.threshold)
         found = keep(self.links(new, old).unionByName(within), "links")
         new.repartition(self.buckets, *KEYS).write.mode("append").format("parquet").bucketBy(self.buckets, *KEYS).sortBy(*KEYS).option("path", self.path).saveAsTable(self.table)
         return found

@@ -93,6 +93,19 @@ def test_index_and_additions_equal_the_whole(spark, tmp_path, no_broadcast):
     assert plan.count("Exchange hashpartitioning(_key_index") + plan.count("Exchange hashpartitioning(key_index") == 1 and "Exchange hashpartitioning(key_index" not in old_side
 
 
+def test_code_that_compares_hashes_is_compiled(spark, tmp_path, no_broadcast):
+    """The JVM leaves methods of more than 8,000 bytes uncompiled, which made each comparison cost microseconds."""
+    index = HashIndex("plumbline_compiled", str(tmp_path / "index"), buckets=4)
+    rows = index.keyed(spark.createDataFrame([(1, "train", 5), (2, "val", 7)], "id long, split string, hash long"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = [d._jdf.queryExecution().debug().codegenToSeq() for d in (index.links(rows, rows), index.links(rows, index.attach(spark)), dedup.near_hash_classes(spark.range(40).selectExpr("id", "'train' as split", "id as hash"), pieces=8))]
+        sizes = [s.apply(k)._3().maxMethodCodeSize() for s in made for k in range(s.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+
+
 def test_a_killed_write_is_resumed(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "labels")
     df = spark.range(1000).select(F.when(F.col("id") % 100 != 0, F.col("id")).alias("key"), (F.col("id") * 2).alias("v"))
